@@ -112,7 +112,7 @@ picked AS (
   UNION ALL SELECT group_app_id, 'version', app_id FROM grouped WHERE version IS NOT NULL QUALIFY row_number() OVER (PARTITION BY k ORDER BY version DESC, app_id) = 1)
 """
 SQL = {
-    "p1_scores": _TERMS + "SELECT variant_id, term, tf, record_terms, total_tf, groups, round(score, 4) AS score FROM scored",
+    "p1_scores": _TERMS + "SELECT variant_id, term, tf, record_terms, total_tf, groups, round(score, 4) + 0.0 AS score FROM scored",
     "p1_found": _TERMS + "SELECT variant_id, term FROM scored WHERE score > 0 AND tf >= 3 AND groups BETWEEN 2 AND 8 AND regexp_matches(term, '^[a-z]{4,}$')",
     "p5_found": _SURVIVORS + "SELECT group_app_id, field, app_id FROM picked",
     "p5_records": _SURVIVORS
