@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .blocks import fit_labeller, label_blocks, main_content
 from .common import current, table
 from .distinctive import distinctive_cases, distinctive_terms
 from .forms import consistent_records, look_alikes
@@ -50,14 +51,34 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return a.union(b)
 
 
+def _app_texts(spark: SparkSession, d: str) -> DataFrame:
+    apps = current(table(spark, d, "app_entry").select("app_id", "last_seen", "contract_key", "title", "description"), "app_id", "last_seen")
+    variants = current(table(spark, d, "catalog_variant").select("variant_id", "total_weight", "contract_key", "mini_snippet"), "variant_id", "total_weight")
+    return app_text(apps, variants)
+
+
+def p3_blocks(spark: SparkSession, d: str) -> DataFrame:
+    pages = _pages(spark, d)
+    return label_blocks(pages, "page_id", fit_labeller(pages)).withColumn("furniture", F.round("furniture", 4))
+
+
+def p3_main(spark: SparkSession, d: str) -> DataFrame:
+    return main_content(_pages(spark, d), "page_id")
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    pages = _pages(spark, d)
+    return label_blocks(pages, "page_id", fit_labeller(pages)).where("furniture >= 0.5").select("page_id", "line_no")
+
+
 def p4_groups(spark: SparkSession, d: str) -> DataFrame:
-    texts = app_text(_apps(spark, d), _variants(spark, d))
+    texts = _app_texts(spark, d)
     out = near_copy_groups(texts, "app_id", F.col("text"), 0.7)
     return out.select(F.col("id").alias("app_id"), F.col("rep").alias("class_app_id"), F.col("group").alias("group_app_id"), "links")
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    texts = app_text(_apps(spark, d), _variants(spark, d))
+    texts = _app_texts(spark, d)
     return near_copy_pairs(texts, "app_id", F.col("text"), 0.7).toDF("app_id_a", "app_id_b")
 
 
@@ -73,7 +94,7 @@ def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     return encode_corpus(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", "ids")
 
 
-QUERIES = {f.__name__: f for f in (p1_scores, p1_found, p2_forms, p2_found, p4_groups, p4_found, p5_found, p5_records, p6_ids)}
+QUERIES = {f.__name__: f for f in (p1_scores, p1_found, p2_forms, p2_found, p3_blocks, p3_main, p3_found, p4_groups, p4_found, p5_found, p5_records, p6_ids)}
 
 _VARIANTS = """variants AS (
   SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY variant_id ORDER BY total_weight DESC NULLS LAST, contract_key DESC NULLS LAST,
