@@ -7,7 +7,7 @@ region is dense and grows deeper by itself: it gets `ORDERS` sorted orders of it
 depth rises only there and a similar pair still has many chances to meet. What remains dense after `LEVELS` such steps
 shares so many values that its records are copies; its neighbours are compared as they are, none is dropped.
 
-A 256-bit sketch travels with each entry, and neighbours whose sketches are too far apart for the threshold (by more than
+A 192-bit sketch travels with each entry, and neighbours whose sketches are too far apart for the threshold (by more than
 four standard deviations) end in the join itself, in generated code. What is left is verified exactly on the hashed word
 sets. Python only computes signatures, in Arrow batches; only ids, prefixes and sketches are shuffled, never texts.
 
@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from .common import materialize, text_of
 
 TREES, DEPTH, REGION, ORDERS, DEEPER, LEVELS = 24, 5, 128, 10, 3, 3
-SKETCH_BITS = 256
+SKETCH_BITS = 192
 _SEED = 20_011
 
 
@@ -95,15 +95,16 @@ def candidates(signed: DataFrame, threshold: float) -> DataFrame:
 def near_copy_links(df: DataFrame, key: str, text: Column, threshold: float) -> tuple[DataFrame, DataFrame]:
     """Links (id_a, id_b, similarity) between representatives of equal word sets, and members (rep, id) of these classes.
     Rows where `text` is null take no part."""
-    rows = df.select(F.col(key).alias("id"), word_hashes(text).alias("words")).where(F.size("words") > 0).withColumn("sig", signature(F.col("words")))
+    rows = df.select(F.col(key).alias("id"), text.alias("text")).withColumn("words", word_hashes(F.col("text"))).where(F.size("words") > 0)
     digest = F.unhex(F.sha2(F.concat_ws(",", F.transform("words", lambda w: F.hex(w))), 256)).alias("set")
-    rows = materialize(rows.select(digest, "id", "words", "sig.values", *[F.col("sig.sketch")[k].alias(f"s{k}") for k in range(SKETCH_BITS // 64)]))
+    signed = rows.withColumn("sig", signature(F.col("words")))
+    rows = materialize(signed.select(digest, "id", "text", "sig.values", *[F.col("sig.sketch")[k].alias(f"s{k}") for k in range(SKETCH_BITS // 64)]))
     reps = rows.groupBy("set").agg(F.min("id").alias("rep"))
     members = materialize(rows.select("set", "id").join(reps, "set").select("rep", "id"))
-    signed = rows.drop("set", "words").join(members.where("rep = id").select("id"), "id", "left_semi")
+    signed = rows.drop("set", "text").join(members.where("rep = id").select("id"), "id", "left_semi")
     pairs = materialize(candidates(signed, threshold))
     needed = rows.join(pairs.select(F.explode(F.array("id_a", "id_b")).alias("id")).distinct(), "id", "left_semi")
-    words = lambda s: needed.select(F.col("id").alias(f"id_{s}"), F.col("words").alias(f"words_{s}"))
+    words = lambda s: needed.select(F.col("id").alias(f"id_{s}"), word_hashes(F.col("text")).alias(f"words_{s}"))
     common = F.size(F.array_intersect("words_a", "words_b"))
     links = (
         pairs.join(words("a"), "id_a").join(words("b"), "id_b")
@@ -151,7 +152,8 @@ def near_copy_groups(df: DataFrame, key: str, text: Column, threshold: float) ->
 
 
 def app_text(apps: DataFrame, variants: DataFrame) -> DataFrame:
-    """(app_id, text): title, description and the mini snippet of the key's heaviest variant; null without title or description."""
+    """(app_id, text): title, description and the mini snippet of the key's heaviest variant; null without title or
+    description. `variants` may hold outdated rows: they weigh less than the current row of their variant, so none is heaviest."""
     best = variants.groupBy(F.col("contract_key").alias("_key")).agg(F.max(F.struct("total_weight", "variant_id", "mini_snippet")).alias("_best"))
     joined = apps.join(best, F.col("contract_key") == F.col("_key"), "left")
     described = (F.col("title") != "") & (F.col("description") != "")
