@@ -6,10 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .blocks import fit_labeller, label_blocks, main_content
-from .common import current, table
+from .common import current, materialize, table
 from .distinctive import distinctive_cases, distinctive_terms
 from .forms import consistent_records, look_alikes
+from .mixture import mixture, packets, shares
 from .nearcopies import app_text, near_copy_groups, near_copy_pairs
+from .subjects import subject_posteriors, subjects_found
 from .survivors import app_survivors, surviving_records
 from .tokens import encode_corpus
 
@@ -53,21 +55,25 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 
 def _app_texts(spark: SparkSession, d: str) -> DataFrame:
     apps = current(table(spark, d, "app_entry").select("app_id", "last_seen", "contract_key", "title", "description"), "app_id", "last_seen")
-    variants = current(table(spark, d, "catalog_variant").select("variant_id", "total_weight", "contract_key", "mini_snippet"), "variant_id", "total_weight")
-    return app_text(apps, variants)
+    return app_text(apps, table(spark, d, "catalog_variant"))
+
+
+def _page_texts(spark: SparkSession, d: str) -> DataFrame:
+    """Written once, as the labeller's sample and its application both read it."""
+    return materialize(current(table(spark, d, "page_metadata").select("page_id", "captured_at", "description", "snippet"), "page_id", "captured_at"))
 
 
 def p3_blocks(spark: SparkSession, d: str) -> DataFrame:
-    pages = _pages(spark, d)
+    pages = _page_texts(spark, d)
     return label_blocks(pages, "page_id", fit_labeller(pages)).withColumn("furniture", F.round("furniture", 4))
 
 
 def p3_main(spark: SparkSession, d: str) -> DataFrame:
-    return main_content(_pages(spark, d), "page_id")
+    return main_content(_page_texts(spark, d), "page_id")
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    pages = _pages(spark, d)
+    pages = _page_texts(spark, d)
     return label_blocks(pages, "page_id", fit_labeller(pages)).where("furniture >= 0.5").select("page_id", "line_no")
 
 
@@ -94,7 +100,36 @@ def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     return encode_corpus(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", "ids")
 
 
-QUERIES = {f.__name__: f for f in (p1_scores, p1_found, p2_forms, p2_found, p3_blocks, p3_main, p3_found, p4_groups, p4_found, p5_found, p5_records, p6_ids)}
+def p7_mixture(spark: SparkSession, d: str) -> DataFrame:
+    mixed = mixture(packets(table(spark, d, "documents"), table(spark, d, "mix_target")))
+    return mixed.orderBy("position")
+
+
+def p7_shares(spark: SparkSession, d: str) -> DataFrame:
+    targets = table(spark, d, "mix_target")
+    queue = packets(table(spark, d, "documents"), targets)
+    return shares(materialize(mixture(queue)), queue, targets)
+
+
+def _subject_tables(spark: SparkSession, d: str) -> tuple[DataFrame, ...]:
+    return table(spark, d, "documents"), table(spark, d, "subject_label"), table(spark, d, "subject_area"), _apps(spark, d)
+
+
+def p8_posteriors(spark: SparkSession, d: str) -> DataFrame:
+    out = subject_posteriors(*_subject_tables(spark, d))
+    return out.withColumns({"share": F.round("share", 4), "posterior": F.round("posterior", 4)})
+
+
+def p8_composition(spark: SparkSession, d: str) -> DataFrame:
+    found = subjects_found(*_subject_tables(spark, d))
+    return found.groupBy("subject").agg(F.count(F.lit(1)).alias("documents"))
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return subjects_found(*_subject_tables(spark, d))
+
+
+QUERIES = {f.__name__: f for f in (p1_scores, p1_found, p2_forms, p2_found, p3_blocks, p3_main, p3_found, p4_groups, p4_found, p5_found, p5_records, p6_ids, p7_mixture, p7_shares, p8_posteriors, p8_composition, p8_found)}
 
 _VARIANTS = """variants AS (
   SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY variant_id ORDER BY total_weight DESC NULLS LAST, contract_key DESC NULLS LAST,
