@@ -7,7 +7,7 @@ missing: a term needs several documents. A sentence is about the subject whose t
 
 Labelling functions, each giving every (document, subject) pair with any such sentence one of a few votes:
 * lexicon - the share of the document's sentences about the subject;
-* section - in how many of the document's sections (lines) the subject stands, and whether it leads one;
+* section - whether the subject stands in one or several of the document's sections (lines), and whether it leads one;
 * address - whether the app under the document's address is itself about the subject by its title and description;
 * source  - the kind of document, as its own vote.
 
@@ -40,7 +40,7 @@ from .forms import transducer
 FIT_LABELS, LEAST_DOCUMENTS, TELLING, AMBIGUOUS = 20_000, 4, 0.55, 0.28
 #: From these shares of sentences on, the lexicon's vote is one step higher; at least a fifth is the definition of a subject,
 #: at most a twelfth that of a passing mention.
-SHARES = (1 / 12 + 1e-9, 0.15, 0.25, 0.4)
+SHARES = (1 / 12 + 1e-9, 0.15)
 ROUNDS = 40
 
 _WORDS = re.compile(r"[^\W\d_]+")
@@ -95,7 +95,7 @@ class Lexicon:
         return max(score, key=lambda k: (score[k], -k)) if score else -1
 
     def read(self, text: str | None) -> list[tuple[int, float, int, int]]:
-        """(subject, share of sentences, votes of sections 0-3, sentences) of a text."""
+        """(subject, share of sentences, vote of sections, sentences) of a text."""
         if not text or not self.word:
             return []
         total, of, sections, leads, n_sections = 0, defaultdict(int), defaultdict(int), set(), 0
@@ -123,7 +123,7 @@ class Lexicon:
                 leads.add(first)
         out = []
         for k, n in of.items():
-            spread = 0 if n_sections == 1 else 1 if sections[k] * 3 <= n_sections else 2 if sections[k] * 3 <= 2 * n_sections else 3
+            spread = 0 if n_sections == 1 else 1 if sections[k] == 1 else 2
             out.append((k, n / total, 2 * spread + (k in leads), total))
         return sorted(out)
 
@@ -198,7 +198,7 @@ def learn(patterns: list[tuple[tuple, int]], rounds: int = ROUNDS) -> dict[tuple
     for values in zip(*keys, strict=True):
         levels = {v: i for i, v in enumerate(sorted(set(values)))}
         codes.append((np.array([levels[v] for v in values]), len(levels)))
-    yes = np.array([(0.02, 0.1, 0.9, 0.97, 0.98)[p[0]] for p in keys])
+    yes = np.array([(0.02, 0.1, 0.95)[p[0]] for p in keys])
     for _ in range(rounds):
         ratio = np.log((n @ yes + 1) / (n @ (1 - yes) + 1))
         score = np.full(len(keys), ratio)
