@@ -40,11 +40,11 @@ def word_hashes(text: Column) -> Column:
 
 
 def signature(hashes: Column) -> Column:
-    """struct(values array<short>, sketch array<long>): the MinHash values of a set of at least one hash, and one bit of each
-    of `SKETCH_BITS` further MinHash values, packed."""
+    """struct(values array<short>, sketch array<long>, keys array<long>): the MinHash values of a set of at least one hash,
+    one bit of each of `SKETCH_BITS` further MinHash values, packed, and a hash of each tree's number and first values."""
     values, bits = TREES * DEPTH, SKETCH_BITS
 
-    @F.arrow_udf("struct<values: array<smallint>, sketch: array<bigint>>")
+    @F.arrow_udf("struct<values: array<smallint>, sketch: array<bigint>, keys: array<bigint>>")
     def sign(sets: pa.Array) -> pa.Array:
         rng = np.random.default_rng(_SEED)
         mix, odd = (rng.integers(0, 1 << 63, values + bits, dtype=np.uint64) for _ in range(2))
@@ -59,7 +59,12 @@ def signature(hashes: Column) -> Column:
                 out[:, k] = np.minimum.reduceat((x >> np.uint64(32)).astype(np.uint32), starts)
         sketch = np.packbits(((out[:, values:] * np.uint32(2654435761)) >> np.uint32(31)).astype(np.uint8), axis=1, bitorder="little").view(np.int64)
         lists = lambda a: pa.ListArray.from_arrays(pa.array(np.arange(0, a.size + 1, a.shape[1], dtype=np.int32)), pa.array(np.ascontiguousarray(a).reshape(-1)))
-        return pa.StructArray.from_arrays([lists(out[:, :values].astype(np.uint16).view(np.int16)), lists(sketch)], ["values", "sketch"])
+        keys = np.zeros((len(out), TREES), np.uint64) + np.arange(1, TREES + 1, dtype=np.uint64)
+        for k in range(DEPTH):
+            keys = (keys ^ out[:, k:values:DEPTH].astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+            keys ^= keys >> np.uint64(32)
+        parts = out[:, :values].astype(np.uint16).view(np.int16), sketch, keys.view(np.int64)
+        return pa.StructArray.from_arrays(list(map(lists, parts)), ["values", "sketch", "keys"])
 
     return sign(hashes)
 
@@ -72,12 +77,11 @@ def _neighbours(entries: DataFrame, most_bits: int) -> DataFrame:
 
 
 def candidates(signed: DataFrame, threshold: float) -> DataFrame:
-    """(id_a, id_b), each once, of `signed` (id, values, s0...): pairs that the forest brings together."""
+    """(id_a, id_b), each once, of `signed` (id, values, keys, s0...): pairs that the forest brings together."""
     differ = (1 - threshold) / 2
     most_bits = int(SKETCH_BITS * (differ + 4.2 * (differ * (1 - differ) / SKETCH_BITS) ** 0.5))
     sketch = [f"s{k}" for k in range(SKETCH_BITS // 64)]
-    prefix = lambda t: F.xxhash64(t, F.slice("values", t * DEPTH + 1, DEPTH))
-    entries = signed.select("id", *sketch, F.explode(F.transform(F.sequence(F.lit(0), F.lit(TREES - 1)), lambda t: F.struct(t.alias("tree"), prefix(t).alias("key")))).alias("e")).select("id", *sketch, "e.tree", "e.key")
+    entries = signed.select("id", *sketch, F.posexplode("keys").alias("tree", "key"))
     found = []
     for level in range(LEVELS):
         dense = materialize(entries.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > REGION).select("key"))
@@ -86,7 +90,7 @@ def candidates(signed: DataFrame, threshold: float) -> DataFrame:
         found.append(_neighbours(entries.join(dense, "key", "left_anti"), most_bits))
         order = lambda j, at=level: (F.col("tree") + 1 + at * ORDERS + j) % TREES
         deeper = lambda j: F.xxhash64("key", j, F.slice("values", order(j) * DEPTH + 1, DEEPER))  # noqa: E731, B023
-        dense = entries.join(dense, "key", "left_semi").select("key", "tree", "id").join(signed, "id")
+        dense = entries.join(dense, "key", "left_semi").select("key", "tree", "id").join(signed.drop("keys"), "id")
         entries = dense.select("id", *sketch, "tree", F.explode(F.transform(F.sequence(F.lit(0), F.lit(ORDERS - 1)), deeper)).alias("key"))
     found.append(_neighbours(entries, most_bits))
     return reduce(DataFrame.union, found).distinct()
@@ -98,7 +102,7 @@ def near_copy_links(df: DataFrame, key: str, text: Column, threshold: float) ->
     rows = df.select(F.col(key).alias("id"), text.alias("text")).withColumn("words", word_hashes(F.col("text"))).where(F.size("words") > 0)
     digest = F.unhex(F.sha2(F.concat_ws(",", F.transform("words", lambda w: F.hex(w))), 256)).alias("set")
     signed = rows.withColumn("sig", signature(F.col("words")))
-    rows = materialize(signed.select(digest, "id", "text", "sig.values", *[F.col("sig.sketch")[k].alias(f"s{k}") for k in range(SKETCH_BITS // 64)]))
+    rows = materialize(signed.select(digest, "id", "text", "sig.values", "sig.keys", *[F.col("sig.sketch")[k].alias(f"s{k}") for k in range(SKETCH_BITS // 64)]))
     reps = rows.groupBy("set").agg(F.min("id").alias("rep"))
     members = materialize(rows.select("set", "id").join(reps, "set").select("rep", "id"))
     signed = rows.drop("set", "text").join(members.where("rep = id").select("id"), "id", "left_semi")
