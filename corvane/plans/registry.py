@@ -1,3 +1,6 @@
 """Every query by name, and its SQL."""
-QUERIES: dict = {}
-SQL: dict = {}
+
+from .queries import QUERIES
+from .sql import SQL
+
+__all__ = ["QUERIES", "SQL"]
