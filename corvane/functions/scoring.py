@@ -27,8 +27,9 @@ def scaled_log2(x: Column) -> Column:
 
 
 def tf_idf(term_count: Column, total_terms: Column, total_docs: Column, docs_with_term: Column) -> Column:
-    tf, ratio = _div(term_count * 10_000, total_terms), _div(total_docs * 10_000, docs_with_term)
-    return F.coalesce(_div(tf * (scaled_log2(ratio) + 10_000), 10_000), F.lit(0).cast("long"))
+    tf, ratio = _div(term_count.cast("long") * 10_000, total_terms), _div(total_docs.cast("long") * 10_000, docs_with_term)
+    score = _div(tf * (scaled_log2(ratio) + 10_000), 10_000)
+    return F.when((total_terms == 0) | (docs_with_term == 0), F.lit(0)).otherwise(score).cast("long")
 
 
 def log_scale(x: Column) -> Column:
@@ -42,4 +43,4 @@ def rank_score(weighted_attestations: Column, version: Column, subscribers: Colu
 
 
 def combined_score(relevance: Column, rank: Column) -> Column:
-    return _div(relevance * 7000 + rank * 3000, 10_000)
+    return _div(relevance.cast("long") * 7000 + rank.cast("long") * 3000, 10_000)

@@ -39,27 +39,25 @@ def plain(text: str) -> str:
 
 @lru_cache(maxsize=1)
 def _accents() -> tuple[str, str, str]:
-    """Letters with a one-character plain form, these forms, and a pattern of the other letters that change."""
+    """Letters with a one-character plain form, these forms, and a pattern of ranges around the other letters that change."""
     one, other = [], []
     for n in (*range(0xA0, 0xD800), *range(0xF900, 0x20000), *range(0x2F800, 0x2FA20)):
         c = chr(n)
         p = plain(c)
         if p != c and not _is_mark(c):
             (one if len(p) == 1 else other).append(c)
-    ranges, start = [], None
-    for c in sorted(other, key=ord):
-        if start is None or ord(c) != last + 1:
-            if start is not None:
-                ranges.append((start, last))
-            start = ord(c)
-        last = ord(c)
-    ranges.append((start, last))
+    ranges: list[list[int]] = []
+    for n in sorted(map(ord, other)):
+        if ranges and n - ranges[-1][1] < 512:  # few and wide, as every letter of every text is held against them
+            ranges[-1][1] = n
+        else:
+            ranges.append([n, n])
     pattern = "[" + "".join(rf"\x{{{a:X}}}-\x{{{b:X}}}" for a, b in ranges) + "]"
     return "".join(one), "".join(map(plain, one)), pattern
 
 
 def several_letters() -> str:
-    """A pattern of letters whose plain form has several characters (Hangul syllables and the like)."""
+    """A pattern of letters whose plain form has several characters (Hangul syllables and the like), and of some near them."""
     return _accents()[2]
 
 
@@ -69,31 +67,34 @@ _MARKS = "[" + "".join(rf"\x{{{a:X}}}-\x{{{b:X}}}" for a, b in MARK_RANGES) + "]
 def plain_letters(text: Column) -> Column:
     """Without accents; exact for texts without `several_letters`."""
     one, forms, _ = _accents()
-    return F.regexp_replace(F.translate(text, one, forms), _MARKS, "")
+    return F.when(text.rlike(r"[^\x00-\x7F]"), F.regexp_replace(F.translate(text, one, forms), _MARKS, "")).otherwise(text)
 
 
-def _words(text: Column, letters) -> Column:
-    parts = F.filter(F.split(text, NOT_WORD), lambda w: w != "")
-    return F.filter(F.transform(parts, lambda w: letters(F.lower(w))), lambda w: (w != "") & ~w.isin(*STOP_WORDS))
+def _lowered(text: Column) -> Column:
+    """Runs of letters and digits in lower case with one blank between them. One pass each over the whole text: its words
+    are separate before accents go, so nothing has to run word by word."""
+    return F.lower(F.regexp_replace(text, NOT_WORD, " "))
+
+
+def _kept(words: Column) -> Column:
+    return F.filter(words, lambda w: (w != "") & ~w.isin(*STOP_WORDS))
 
 
 def tokenize(text: Column) -> Column:
     """array<string>: the index words of a text in order, repeated ones too: runs of letters and digits, lower case, without
     accents and stop words. All in the JVM; exact for texts without `several_letters`."""
-    return _words(text, plain_letters)
+    return _kept(F.split(plain_letters(_lowered(text)), " "))
 
 
 def with_words(df: DataFrame, text: Column, out: str = "words") -> DataFrame:
     """`df` with the index words of `text`, exact for every text."""
     rare = F.coalesce(text.rlike(several_letters()), F.lit(False))
 
-    @F.arrow_udf("array<string>")
-    def plain_words(parts: pa.Array) -> pa.Array:
-        stop = set(STOP_WORDS)
-        return pa.array([[w for x in ws if (w := plain(x)) and w not in stop] if ws is not None else None for ws in parts.to_pylist()], pa.list_(pa.string()))
+    @F.arrow_udf("string")
+    def plain_text(texts: pa.Array) -> pa.Array:
+        return pa.array([t if t is None else plain(t) for t in texts.to_pylist()], pa.string())
 
-    lowered = F.transform(F.filter(F.split(text, NOT_WORD), lambda w: w != ""), lambda w: F.lower(w))
-    return df.where(~rare).withColumn(out, tokenize(text)).union(df.where(rare).withColumn(out, plain_words(lowered)))
+    return df.where(~rare).withColumn(out, tokenize(text)).union(df.where(rare).withColumn(out, _kept(F.split(plain_text(_lowered(text)), " "))))
 
 
 def tokenize_text(text: str) -> list[str]:

@@ -16,10 +16,19 @@ from ..schemas import CONFIG
 BITS, HASHES = CONFIG.bloom_bits, CONFIG.bloom_hashes
 
 
+def _positions(item: Column, bits: int) -> list[Column]:
+    def one(i: int) -> Column:
+        digest = F.sha2(F.concat(F.unhex(F.lit(f"{i:02x}")), item), 256)
+        if bits & bits - 1 == 0 and bits <= 1 << 16:  # the remainder is in the last two of the eight bytes
+            return F.conv(F.substring(digest, 13, 4), 16, 10).cast("int").bitwiseAND(F.lit(bits - 1))
+        return (F.conv(F.substring(digest, 1, 16), 16, 10).cast("decimal(20,0)") % bits).cast("int")
+
+    return [one(i) for i in range(HASHES)]
+
+
 def positions(item: Column, bits: int = BITS) -> Column:
     """array<int>: the item's bit for each hash, the first eight bytes of SHA-256 over the hash's number and the item."""
-    one = lambda i: (F.conv(F.substring(F.sha2(F.concat(F.unhex(F.lit(f"{i:02x}")), item), 256), 1, 16), 16, 10).cast("decimal(20,0)") % bits).cast("int")
-    return F.array(*[one(i) for i in range(HASHES)])
+    return F.array(*_positions(item, bits))
 
 
 def bloom_bits(df: DataFrame, item: Column, *by: str, bits: int = BITS) -> DataFrame:
@@ -36,12 +45,28 @@ def packed(bit_rows: DataFrame, bits: int = BITS) -> DataFrame:
     return byte.agg(F.unhex(F.array_join(hexes, "")).alias("bytes"))
 
 
+def bitmaps(bit_rows: DataFrame, *by: str, bits: int = BITS) -> DataFrame:
+    """(*by, bitmap array<long>): each filter as words of 64 bits."""
+    words = bit_rows.groupBy(*by, F.shiftright("bit", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, bit % 64)")).alias("v"))
+    dense = F.transform(F.sequence(F.lit(0), F.lit((bits - 1) // 64)), lambda k: F.coalesce(F.try_element_at(F.col("m"), k), F.lit(0).cast("long")))
+    return words.groupBy(*by).agg(F.map_from_entries(F.collect_list(F.struct("w", "v"))).alias("m")).select(*by, dense.alias("bitmap"))
+
+
+def with_known(df: DataFrame, item: Column, bit_rows: DataFrame, *by: str, bits: int = BITS) -> DataFrame:
+    """`df` with `known`: whether all bits of the item are set in its filter. A filter has `bits / 8` bytes whatever it was
+    built from, and `by` tells apart a fixed number of filters, so they are broadcast and no row of `df` moves."""
+    maps = F.broadcast(bitmaps(bit_rows, *by, bits=bits))
+    joined = df.join(maps, list(by), "left") if by else df.join(maps, F.lit(True), "left")
+    hits = [F.getbit(F.get("bitmap", F.shiftright(p, 6)), p.bitwiseAND(F.lit(63))) == 1 for p in _positions(item, bits)]
+    every = hits[0]
+    for hit in hits[1:]:
+        every = every & hit
+    return joined.withColumn("known", F.coalesce(every, F.lit(False))).drop("bitmap")
+
+
 def contains(df: DataFrame, key: str, item: Column, bit_rows: DataFrame, *by: str, bits: int = BITS) -> DataFrame:
-    """(key, known): whether all bits of the item are set in its filter; `key` names each row once. Filters have a bounded
-    number of rows, so they are broadcast and the only shuffle is the count per key."""
-    asked = df.select(F.col(key), *by, F.explode(F.array_distinct(positions(item, bits))).alias("bit"))
-    hit = asked.join(F.broadcast(bit_rows.withColumn("set", F.lit(1))), [*by, "bit"], "left")
-    return hit.groupBy(key).agg((F.count("set") == F.count(F.lit(1))).alias("known"))
+    """(key, known)."""
+    return with_known(df, item, bit_rows, *by, bits=bits).select(key, "known")
 
 
 def catalog_item(contract_key: Column, best_hash: Column, best_weight: Column) -> Column:
@@ -54,17 +79,15 @@ def posting_item(word: Column, contract_key: Column) -> Column:
 
 def missing_postings(postings: DataFrame, peer_bits: DataFrame) -> DataFrame:
     """Postings whose key the peer's summary of their shard lacks, with the exchange's token of eight zero bytes."""
-    keyed = postings.withColumn("_id", F.concat_ws("\x00", "word", "contract_key"))
-    known = contains(keyed, "_id", posting_item(F.col("word"), F.col("contract_key")), peer_bits, "shard_id")
-    sent = keyed.join(known.where("known"), "_id", "left_anti").drop("_id")
+    sent = with_known(postings, posting_item(F.col("word"), F.col("contract_key")), peer_bits, "shard_id").where("NOT known").drop("known")
     return sent.withColumn("nonce", F.lit(bytes(8))).withColumn("difficulty", F.lit(1).cast("short"))
 
 
 def missing_entries(entries: DataFrame, attestations: DataFrame, variants: DataFrame, peer_bits: DataFrame) -> DataFrame:
     """One delta per attestation of the entries (contract_key, best_hash, best_weight, size_bytes, version) that the peer's
     summary lacks."""
-    known = contains(entries, "contract_key", catalog_item(F.col("contract_key"), F.col("best_hash"), F.col("best_weight")), peer_bits)
-    lacking = entries.join(known.where("known"), "contract_key", "left_anti")
+    item = catalog_item(F.col("contract_key"), F.col("best_hash"), F.col("best_weight"))
+    lacking = with_known(entries, item, peer_bits).where("NOT known")
     sent = attestations.join(lacking.select("contract_key", "size_bytes", "version"), "contract_key")
     full = sent.join(variants, ["contract_key", "metadata_hash"])
     return full.select("contract_key", "title", "description", "mini_snippet", F.col("mini_snippet").alias("snippet"), "size_bytes", "version", "metadata_hash", "contributor_pubkey", "nonce", "difficulty", "token_created_at")

