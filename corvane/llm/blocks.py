@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from .forms import transducer
 
 #: How many pages the labeller is fitted on at most, and how often it sees them.
-FIT_PAGES, EPOCHS, BATCH = 3000, 10, 32
+FIT_PAGES, EPOCHS, BATCH = 3000, 6, 64
 BUCKETS, PATHS, WIDTH, HIDDEN = 8192, 512, 20, 24
 
 # How furniture of sites begins, in the consistent form, lower case, digits as 0.
