@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from collections import Counter
 from functools import lru_cache
 
 import numpy as np
@@ -31,7 +32,7 @@ from .forms import transducer
 
 #: How many pages the labeller is fitted on at most, and how often it sees them.
 FIT_PAGES, EPOCHS, BATCH = 3000, 6, 64
-BUCKETS, PATHS, WIDTH, HIDDEN = 8192, 512, 20, 24
+BUCKETS, PATHS, WIDTH, HIDDEN, KNOWN = 8192, 512, 20, 24, 4
 
 # How furniture of sites begins, in the consistent form, lower case, digits as 0.
 CUES = """
@@ -100,14 +101,20 @@ def _bucket(word: str) -> int:
     return zlib.crc32(word.encode("utf-8", "replace")) % BUCKETS
 
 
-def words_of(form: str) -> list[int]:
-    """Buckets of the block's words; words of run-together list items are told apart at their capitals, long ones by parts."""
-    low = _HUMP.sub(" ", form).lower()
-    words = ["0" if w[0].isdigit() else w for w in _WORDS.findall(low)]
-    out = [_bucket("^" + " ".join(words[:n])) for n in (1, 2) if words]
+def split_words(form: str) -> list[str]:
+    """Lower-case words, numbers as 0; run-together list items are told apart at their capitals."""
+    return ["0" if w[0].isdigit() else w for w in _WORDS.findall(_HUMP.sub(" ", form).lower())]
+
+
+def words_of(form: str, known: frozenset[str] | None = None) -> list[int]:
+    """Buckets of the block's words and its first ones; words that aren't known, as invented names, all count as one, long
+    ones also by their parts."""
+    words = [w if known is None or w in known else "?" for w in split_words(form)]
+    out = [_bucket("^" + " ".join(words[:n])) for n in (1, 2, 3) if words]
     for w in words:
         out.append(_bucket(w))
-        if len(w) > 13:
+    for w in split_words(form):
+        if len(w) > 13 and known is not None and w not in known:
             out += [_bucket("+" + w[k : k + 5]) for k in range(0, len(w) - 4)]
     return out or [_bucket("")]
 
@@ -124,13 +131,13 @@ def blocks_of(description: str | None, snippet: str | None) -> list[tuple[int, s
 class Features:
     """Hashed words and paths of the blocks of some pages, with each block's place in a padded (page, step) grid."""
 
-    def __init__(self, pages: list[list[tuple[int, str]]]):
+    def __init__(self, pages: list[list[tuple[int, str]]], known: frozenset[str] | None = None):
         words, paths, counts, self.at = [], [], [], []
         self.length = np.array([len(p) for p in pages])
         for k, page in enumerate(pages):
             lines = [n for n, _ in page if n]
             for step, (n, form) in enumerate(page):
-                w = words_of(form)
+                w = words_of(form, known)
                 words += w
                 counts.append(len(w))
                 nth = step - (len(page) - len(lines))
@@ -157,6 +164,10 @@ class Labeller:
         for way in "fb":
             self.w |= {f"x{way}": rng.normal(0, d**-0.5, (d, 4 * h)), f"h{way}": rng.normal(0, h**-0.5, (h, 4 * h)), f"c{way}": np.concatenate([np.zeros(h), np.ones(h), np.zeros(2 * h)])}
         self.w = {k: v.astype(np.float32) for k, v in self.w.items()}
+        self.known: frozenset[str] | None = None
+
+    def features(self, pages: list[list[tuple[int, str]]]) -> Features:
+        return Features(pages, self.known)
 
     def read(self, f: Features) -> np.ndarray:
         starts = np.concatenate([[0], np.cumsum(f.counts)])[:-1]
@@ -224,10 +235,13 @@ class Labeller:
         return grad
 
     def fit(self, pages: list[list[tuple[int, str]]], labels: list[list[bool]], epochs: int = EPOCHS, rate: float = 0.01) -> Labeller:
-        """Adam on the mean cross-entropy, pages of similar length together, in an order fixed by the seed."""
+        """Adam on the mean cross-entropy, pages of similar length together, in an order fixed by the seed. Words of fewer than
+        `KNOWN` of the pages are left unknown, so that the labeller learns what to make of those it will not know."""
+        seen = Counter(w for page in pages for w in {w for _, form in page for w in split_words(form)})
+        self.known = frozenset(w for w, n in seen.items() if n >= KNOWN)
         order = sorted(range(len(pages)), key=lambda k: len(pages[k]))
         batches = [[k for k in order[a : a + BATCH] if pages[k]] for a in range(0, len(order), BATCH)]
-        ready = [(Features([pages[k] for k in b]), np.array([x for k in b for x in labels[k]], np.float32)) for b in batches if b]
+        ready = [(self.features([pages[k] for k in b]), np.array([x for k in b for x in labels[k]], np.float32)) for b in batches if b]
         first, second = ({k: np.zeros_like(v) for k, v in self.w.items()} for _ in range(2))
         rng, step = np.random.default_rng(2), 0
         for epoch in range(epochs):
@@ -254,12 +268,12 @@ def fit_labeller(pages: DataFrame, most: int = FIT_PAGES) -> Labeller | None:
 def label_blocks(pages: DataFrame, key: str, labeller: Labeller | None) -> DataFrame:
     """(key, line_no, line, furniture): all blocks of all pages as they stand, with the probability that each is furniture."""
     kind = dict(pages.dtypes)[key]
-    shared = pages.sparkSession.sparkContext.broadcast(labeller.w if labeller else None)
+    shared = pages.sparkSession.sparkContext.broadcast((labeller.w, labeller.known) if labeller else None)
 
     def label(batches):
         model = Labeller() if shared.value is not None else None
         if model:
-            model.w = shared.value
+            model.w, model.known = shared.value
         for batch in batches:
             rows = batch.to_pydict()
             for a in range(0, len(rows["id"]), 512):
@@ -268,7 +282,7 @@ def label_blocks(pages: DataFrame, key: str, labeller: Labeller | None) -> DataF
                 found = sorted(((k, b) for k, b in found if b), key=lambda x: len(x[1]))
                 for c in range(0, len(found), 64):
                     group = found[c : c + 64]
-                    p = model.probabilities(Features([b for _, b in group])) if model else np.zeros(sum(len(b) for _, b in group))
+                    p = model.probabilities(model.features([b for _, b in group])) if model else np.zeros(sum(len(b) for _, b in group))
                     ids, numbers, lines = [], [], []
                     for k, b in group:
                         raw = (rows["snippet"][k] or "").split("\n")

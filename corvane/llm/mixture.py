@@ -31,6 +31,8 @@ from .tokens import VOCABULARY, token_count
 
 #: Ranges of hashes per source and pass, and of finish times over all.
 SLICES = 1024
+#: Targets there may be: they are sent to every task.
+MOST_SOURCES = 10_000
 
 
 def _slice(x: Column) -> Column:
@@ -40,6 +42,8 @@ def _slice(x: Column) -> Column:
 
 def packets(documents: DataFrame, targets: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     """(text_hash, doc_id, source, n_tokens, weight, repeats): one row per text. `targets` has a row per source, few in all."""
+    if len(targets.take(MOST_SOURCES + 1)) > MOST_SOURCES:
+        raise ValueError(f"more than {MOST_SOURCES} targets")
     wanted = targets.where("target_share > 0 AND source IS NOT NULL").groupBy("source").agg(F.max("target_share").alias("weight"), F.greatest(F.lit(1), F.coalesce(F.max("max_repeats"), F.lit(1))).alias("repeats"))
     rows = documents.where("text IS NOT NULL AND text <> '' AND source IS NOT NULL").join(F.broadcast(wanted), "source")
     sized = rows.select(F.sha2("text", 256).alias("digest"), "doc_id", "source", token_count(F.col("text"), vocabulary).cast("long").alias("n_tokens"), "weight", "repeats")
@@ -59,20 +63,20 @@ def mixture(queue: DataFrame, budget: int | None = None) -> DataFrame:
     # The latest finish time that can lie within the budget: passes and packets beyond it are not built at all.
     until = _latest(sums, budget) + max((r.tokens / r.weight for r in sums), default=0) * 1e-9
     passes = {r.source: min(r.repeats, int(until * r.weight / r.tokens) + 1) for r in sums}
-    n_pass = F.coalesce(*[F.when(F.col("source") == s, F.lit(n)) for s, n in passes.items()])
-    total = F.coalesce(*[F.when(F.col("source") == r.source, F.lit(r.tokens)) for r in sums])
-    copies = queue.withColumn("copy", F.explode(F.sequence(F.lit(1), n_pass))).withColumn("at", F.xxhash64("text_hash", "copy")).withColumn("slice", _slice(F.col("at")))
+    plan = queue.sparkSession.createDataFrame([(r.source, passes[r.source], r.tokens) for r in sums], "source string, passes int, total long")
+    copies = queue.join(F.broadcast(plan), "source").withColumn("copy", F.explode(F.sequence(F.lit(1), "passes"))).withColumn("at", F.xxhash64("text_hash", "copy")).withColumn("slice", _slice(F.col("at")))
     before = (
         copies.groupBy("source", "copy", "slice").agg(F.sum("n_tokens").alias("t"))
         .withColumn("before", F.sum("t").over(W.partitionBy("source", "copy").orderBy("slice")) - F.col("t")).drop("t")
     )  # fmt: skip  - at most SLICES rows per source and pass
     within = F.sum("n_tokens").over(W.partitionBy("source", "copy", "slice").orderBy("at", "text_hash", "doc_id").rowsBetween(W.unboundedPreceding, 0))
-    so_far = (F.col("copy") - 1) * total + F.col("before") + within
-    timed = copies.join(F.broadcast(before), ["source", "copy", "slice"]).withColumn("finish", so_far / F.col("weight")).where(F.col("finish") <= until)
+    so_far = (F.col("copy") - 1) * F.col("total") + F.col("before") + within
+    # The join and the window both need the rows of a slice together: one shuffle.
+    timed = copies.join(before, ["source", "copy", "slice"]).withColumn("finish", so_far / F.col("weight")).where(F.col("finish") <= until)
     timed = materialize(timed.select("doc_id", "source", "copy", "n_tokens", "at", "finish", F.least(F.lit(SLICES * 4 - 1), F.floor(F.col("finish") / until * SLICES * 4)).cast("int").alias("range")))
     offset = timed.groupBy("range").agg(F.sum("n_tokens").alias("t")).withColumn("offset", F.sum("t").over(W.orderBy("range")) - F.col("t")).drop("t")  # few rows
     order = W.partitionBy("range").orderBy("finish", "source", "at", "doc_id")
-    placed = timed.join(F.broadcast(offset), "range").withColumn("position", F.col("offset") + F.sum("n_tokens").over(order.rowsBetween(W.unboundedPreceding, 0)) - F.col("n_tokens"))
+    placed = timed.join(offset, "range").withColumn("position", F.col("offset") + F.sum("n_tokens").over(order.rowsBetween(W.unboundedPreceding, 0)) - F.col("n_tokens"))
     return placed.where(F.col("position") + F.col("n_tokens") <= budget).select("position", "doc_id", "source", "copy", "n_tokens", "finish")
 
 

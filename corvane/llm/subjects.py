@@ -9,7 +9,7 @@ Labelling functions, each giving every (document, subject) pair with any such se
 * lexicon - the share of the document's sentences about the subject;
 * section - whether the subject stands in one or several of the document's sections (lines), and whether it leads one;
 * address - whether the app under the document's address is itself about the subject by its title and description;
-* source  - the kind of document, as its own vote.
+* source  - the kind of document, as its own vote (of `SOURCES` ones, told apart by hash, so that there are no more).
 
 A latent model with one hidden yes or no per pair learns from all documents, without labels, how reliable each vote is
 (expectation maximisation over counts of vote patterns, of which there are at most a few thousand whatever the number of
@@ -41,7 +41,7 @@ FIT_LABELS, LEAST_DOCUMENTS, TELLING, AMBIGUOUS = 20_000, 4, 0.55, 0.28
 #: From these shares of sentences on, the lexicon's vote is one step higher; at least a fifth is the definition of a subject,
 #: at most a twelfth that of a passing mention.
 SHARES = (1 / 12 + 1e-9, 0.15)
-ROUNDS = 40
+ROUNDS, SOURCES = 40, 64
 
 _WORDS = re.compile(r"[^\W\d_]+")
 _UNUSUAL = re.compile("[^\x00-\xff–—’‘“”„…œŒ•]|\xad|\xa0")
@@ -185,7 +185,7 @@ def votes(documents: DataFrame, apps: DataFrame, lexicon: Lexicon) -> DataFrame:
     lex = sum((F.col("share") >= s).cast("int") for s in SHARES)
     adr = F.when(F.col("own").isNull(), 0).when(F.array_contains("own", F.col("k")), 2).otherwise(1)
     joined = found.join(own, "contract_key", "left")
-    return joined.select("doc_id", "k", "share", lex.alias("lex"), "sec", adr.alias("adr"), F.coalesce("source", F.lit("")).alias("src"))
+    return joined.select("doc_id", "k", "share", lex.alias("lex"), "sec", adr.alias("adr"), F.pmod(F.xxhash64("source"), F.lit(SOURCES)).cast("int").alias("src"))
 
 
 def learn(patterns: list[tuple[tuple, int]], rounds: int = ROUNDS) -> dict[tuple, float]:
@@ -218,7 +218,7 @@ def subject_posteriors(documents: DataFrame, labels: DataFrame, areas: DataFrame
     cols = ["lex", "sec", "adr", "src"]
     patterns = [(tuple(r[c] for c in cols), r["n"]) for r in pairs.groupBy(*cols).agg(F.count(F.lit(1)).alias("n")).collect()]
     learned = [(*p, x) for p, x in learn(sorted(patterns)).items()]
-    posterior = spark.createDataFrame(learned, "lex int, sec int, adr int, src string, posterior double")
+    posterior = spark.createDataFrame(learned, "lex int, sec int, adr int, src int, posterior double")
     name = F.element_at(F.array(*map(F.lit, subjects)), F.col("k") + 1) if subjects else F.lit("")
     return pairs.join(F.broadcast(posterior), cols).select("doc_id", name.alias("subject"), "share", "posterior")
 
