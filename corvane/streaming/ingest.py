@@ -85,4 +85,4 @@ def unknown(batch: DataFrame, known: DataFrame, queued: DataFrame) -> DataFrame:
 
 def route(responses: DataFrame, handlers: DataFrame) -> DataFrame:
     """Responses with their handler, from a small fixed table of keys; other keys are apps."""
-    return responses.join(F.broadcast(handlers.limit(schemas.CONFIG.shard_count + 1)), "contract_key", "left").withColumn("handler", F.coalesce("handler", F.lit("app")))
+    return responses.join(handlers, "contract_key", "left").withColumn("handler", F.coalesce("handler", F.lit("app")))
