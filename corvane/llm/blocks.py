@@ -30,8 +30,8 @@ from pyspark.sql import functions as F
 
 from .forms import transducer
 
-#: How many pages the labeller is fitted on at most, and how often it sees them.
-FIT_PAGES, EPOCHS, BATCH = 3000, 6, 64
+#: How many pages the labeller is fitted on at most, in how many steps, and of how many pages each.
+FIT_PAGES, STEPS, BATCH = 3000, 300, 64
 BUCKETS, PATHS, WIDTH, HIDDEN, KNOWN = 8192, 512, 20, 24, 4
 
 # How furniture of sites begins, in the consistent form, lower case, digits as 0.
@@ -234,7 +234,7 @@ class Labeller:
         np.add.at(grad["paths"], f.paths.reshape(-1), np.repeat(dx[:, WIDTH:] / f.paths.shape[1], f.paths.shape[1], 0))
         return grad
 
-    def fit(self, pages: list[list[tuple[int, str]]], labels: list[list[bool]], epochs: int = EPOCHS, rate: float = 0.01) -> Labeller:
+    def fit(self, pages: list[list[tuple[int, str]]], labels: list[list[bool]], steps: int = STEPS, rate: float = 0.01) -> Labeller:
         """Adam on the mean cross-entropy, pages of similar length together, in an order fixed by the seed. Words of fewer than
         `KNOWN` of the pages are left unknown, so that the labeller learns what to make of those it will not know."""
         seen = Counter(w for page in pages for w in {w for _, form in page for w in split_words(form)})
@@ -244,13 +244,13 @@ class Labeller:
         ready = [(self.features([pages[k] for k in b]), np.array([x for k in b for x in labels[k]], np.float32)) for b in batches if b]
         first, second = ({k: np.zeros_like(v) for k, v in self.w.items()} for _ in range(2))
         rng, step = np.random.default_rng(2), 0
-        for epoch in range(epochs):
-            for k in rng.permutation(len(ready)):
+        while ready and step < steps:
+            for k in rng.permutation(len(ready))[: steps - step]:
                 step += 1
                 for name, g in self.gradient(*ready[k]).items():
                     first[name] += 0.1 * (g - first[name])
                     second[name] += 0.001 * (g * g - second[name])
-                    scale = rate * (1 - epoch / epochs) * (1 - 0.999**step) ** 0.5 / (1 - 0.9**step)
+                    scale = rate * (1 - (step - 1) / steps) * (1 - 0.999**step) ** 0.5 / (1 - 0.9**step)
                     self.w[name] -= (scale * first[name] / (np.sqrt(second[name]) + 1e-8)).astype(np.float32)
         return self
 
