@@ -113,6 +113,14 @@ def highlighted(results: DataFrame, query: str) -> DataFrame:
     return results.withColumn("highlighted_snippet", mark("snippet")).drop("snippet")
 
 
+def search_or_browse(postings: DataFrame, entries: DataFrame, directory: DataFrame, query: str) -> tuple[str, DataFrame]:
+    """("search", results) if the query has any, else ("directory", what the directory lists for it)."""
+    from .directory import directory_filter
+
+    results = search(postings, entries, query)
+    return ("search", results) if query and not results.isEmpty() else ("directory", directory_filter(directory, query))
+
+
 def search_all_words(postings: DataFrame, entries: DataFrame, query: str, boost: int = 2, limit: int = CONFIG.max_results) -> DataFrame:
     """Opt-in: keys that hold every word of the query have their relevance multiplied by `boost`."""
     matches = matching_postings(postings, query)

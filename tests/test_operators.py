@@ -163,6 +163,11 @@ def test_search(spark, index):
     assert search.search(index, entries.limit(0), "weather", limit=1).count() == 1
     marked = {r.contract_key: r.highlighted_snippet for r in search.highlighted(search.search(index.withColumn("snippet", F.lit("Wéather map")), entries, "weather"), "weather").collect()}
     assert marked == {"a": "<mark>Wéather</mark> map", "e": "<mark>Wéather</mark> map"}
+    apps = spark.createDataFrame([("z", "Weather station", None)], "contract_key string, title string, description string")
+    assert search.search_or_browse(index, entries, apps, "weather")[0] == "search"
+    kind, shown = search.search_or_browse(index, entries, apps, "station")
+    assert (kind, [r.contract_key for r in shown.collect()]) == ("directory", ["z"])
+    assert search.search_or_browse(index, entries, apps, "")[0] == "directory"
     both = search.search_all_words(index, entries, "weather map").collect()
     assert both[0].contract_key == "a"
 
