@@ -59,8 +59,10 @@ def _app_texts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _page_texts(spark: SparkSession, d: str) -> DataFrame:
-    """Written once, as the labeller's sample and its application both read it."""
-    return materialize(current(table(spark, d, "page_metadata").select("page_id", "captured_at", "description", "snippet"), "page_id", "captured_at"))
+    """Written once, as the labeller's sample and its application both read it. The partitions by page are asked for, as few
+    bytes are much work here and adaptive execution would join them; the choice of the current row needs them anyway."""
+    rows = table(spark, d, "page_metadata").select("page_id", "captured_at", "description", "snippet")
+    return materialize(current(rows.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "page_id"), "page_id", "captured_at"))
 
 
 def p3_blocks(spark: SparkSession, d: str) -> DataFrame:

@@ -3,7 +3,8 @@
 Lexicon. On a bounded sample of the labelled documents (at most `FIT_LABELS` labels, those of smallest hash), terms are
 counted by the labels of their documents. Terms whose share of one subject is high beyond chance make the lexicon; words
 that are frequent in a few subjects are ambiguous and count only within a telling pair of words. Labels may be wrong or
-missing: a term needs several documents. A sentence is about the subject whose terms in it weigh most.
+missing: a term needs several documents. A sentence is about the subject whose terms in it weigh most; one of mostly
+furniture words ("Terms of use | Privacy") is about none.
 
 Labelling functions, each giving every (document, subject) pair with any such sentence one of a few votes:
 * lexicon - the share of the document's sentences about the subject;
@@ -34,6 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize
+from .blocks import CUES, NAVIGATION
 from .forms import transducer
 
 #: Labels used at most, documents a term needs, and the lower bound of the share of its subject.
@@ -48,6 +50,19 @@ _UNUSUAL = re.compile("[^\x00-\xff–—’‘“”„…œŒ•]|\xad|\xa0")
 _SENTENCES = re.compile(r"(?<=[.!?…])\s+")
 
 
+#: The words that furniture of sites is made of; a sentence of mostly these is about no subject, whatever it names.
+_FURNITURE = {w for w in _WORDS.findall(CUES + NAVIGATION + " imprint nodes runs status systems normal collective rights reserved content licence contributors theme") if len(w) > 2}
+_FURNITURE |= set("confidentialité conditions droits réservés datenschutz nutzungsbedingungen rechte vorbehalten privacidad condiciones derechos reservados".split())
+MOSTLY = 0.6
+#: Items of navigation lists may have run together.
+_LISTED = tuple(w for w in NAVIGATION.split() if len(w) > 2)
+
+
+def furniture(words: list[str]) -> bool:
+    long = [w for w in words if len(w) > 2]
+    return sum(w in _FURNITURE or len(w) > 12 and w.startswith(_LISTED) for w in long) >= MOSTLY * len(long)
+
+
 def readable(text: str) -> str:
     """The text in consistent form, line by line, where it holds unusual characters."""
     if not _UNUSUAL.search(text):
@@ -92,7 +107,7 @@ class Lexicon:
                 entry = (self.pair.get(f"{words[i - 1]} {w}") if i else None) or (self.pair.get(f"{w} {words[i + 1]}") if i + 1 < len(words) else None)
                 if entry:
                     score[entry[0]] = score.get(entry[0], 0.0) + entry[1]
-        return max(score, key=lambda k: (score[k], -k)) if score else -1
+        return max(score, key=lambda k: (score[k], -k)) if score and not furniture(words) else -1
 
     def read(self, text: str | None) -> list[tuple[int, float, int, int]]:
         """(subject, share of sentences, vote of sections, sentences) of a text."""
