@@ -6,6 +6,9 @@ that are frequent in a few subjects are ambiguous and count only within a tellin
 missing: a term needs several documents. A sentence is about the subject whose terms in it weigh most; one of mostly
 furniture words ("Terms of use | Privacy") is about none.
 
+The lexicon then grows over all documents, labelled or not: words that stand almost only in texts plainly about one subject
+join it. So the words of languages and themes with few labels are found.
+
 Labelling functions, each giving every (document, subject) pair with any such sentence one of a few votes:
 * lexicon - the share of the document's sentences about the subject;
 * section - whether the subject stands in one or several of the document's sections (lines), and whether it leads one;
@@ -16,7 +19,7 @@ A latent model with one hidden yes or no per pair learns from all documents, wit
 (expectation maximisation over counts of vote patterns, of which there are at most a few thousand whatever the number of
 documents). A document has a subject where the posterior is at least one half.
 
-Plan: one pass over the texts in Arrow batches, no text is shuffled, the votes are joined with the apps on the address
+Plan: two passes over the texts in Arrow batches, one to grow the lexicon and one to vote; no text is shuffled, the votes are joined with the apps on the address
 (ids and numbers only), and vote patterns are counted with map-side combining before they reach the driver.
 
 Defined results: null, empty and blank texts, texts without any term of a subject have no rows; headings without a sentence
@@ -40,6 +43,8 @@ from .forms import transducer
 
 #: Labels used at most, documents a term needs, and the lower bound of the share of its subject.
 FIT_LABELS, LEAST_DOCUMENTS, TELLING, AMBIGUOUS = 20_000, 4, 0.55, 0.28
+#: The same for words learned from texts without labels, and how many of these there may be.
+LEAST_GROWN, TELLING_GROWN, MOST_GROWN = 8, 0.6, 50_000
 #: From these shares of sentences on, the lexicon's vote is one step higher; at least a fifth is the definition of a subject,
 #: at most a twelfth that of a passing mention.
 SHARES = (1 / 12 + 1e-9, 0.15)
@@ -51,7 +56,7 @@ _SENTENCES = re.compile(r"(?<=[.!?…])\s+")
 
 
 #: The words that furniture of sites is made of; a sentence of mostly these is about no subject, whatever it names.
-_FURNITURE = {w for w in _WORDS.findall(CUES + NAVIGATION + " imprint nodes runs status systems normal collective rights reserved content licence contributors theme") if len(w) > 2}
+_FURNITURE = {w for w in _WORDS.findall(CUES + NAVIGATION + " imprint nodes runs status systems normal collective rights reserved content licence contributors theme") if len(w) > 3}
 _FURNITURE |= set("confidentialité conditions droits réservés datenschutz nutzungsbedingungen rechte vorbehalten privacidad condiciones derechos reservados".split())
 MOSTLY = 0.6
 #: Items of navigation lists may have run together.
@@ -59,8 +64,8 @@ _LISTED = tuple(w for w in NAVIGATION.split() if len(w) > 2)
 
 
 def furniture(words: list[str]) -> bool:
-    long = [w for w in words if len(w) > 2]
-    return sum(w in _FURNITURE or len(w) > 12 and w.startswith(_LISTED) for w in long) >= MOSTLY * len(long)
+    long = [w for w in words if len(w) > 3]
+    return sum(w in _FURNITURE or len(w) > 12 and w.startswith(_LISTED) for w in long) >= MOSTLY * max(1, len(long))
 
 
 def readable(text: str) -> str:
@@ -142,6 +147,36 @@ class Lexicon:
             out.append((k, n / total, 2 * spread + (k in leads), total))
         return sorted(out)
 
+    def evidence(self, text: str | None) -> tuple[int, set[str]]:
+        """The one subject that a text is plainly about, -1 for none, and the words of its other sentences that the lexicon
+        lacks."""
+        if not text or not self.word:
+            return -1, set()
+        of, total, words = defaultdict(int), 0, set()
+        for line in readable(text).split("\n"):
+            for s in _SENTENCES.split(line):
+                here = _WORDS.findall(s.lower())
+                if len(here) > 1 and not furniture(here):
+                    total += 1
+                    words.update(here)
+                    of[self.sentence(here)] += 1
+        of.pop(-1, None)
+        if not of:
+            return -1, set()
+        k = max(of, key=lambda x: (of[x], -x))
+        if of[k] < 2 or of[k] < 0.15 * total or of[k] < 0.8 * sum(of.values()):
+            return -1, set()
+        return k, {w for w in words if len(w) > 3 and w not in self.word and w not in self.ambiguous}
+
+    def learn(self, rows: list, prior: list[float]) -> Lexicon:
+        """With further telling words, of (word, number of texts, numbers by subject)."""
+        for w, n, shares in rows:
+            k = max(range(len(shares)), key=lambda j: (shares[j], -j))
+            p = shares[k] / n
+            if p - (p * (1 - p) / n) ** 0.5 - 0.5 / n > TELLING_GROWN:
+                self.word[w] = (k, float(np.log((shares[k] + 0.5) / (n + 2) / max(prior[k], 0.02))))
+        return self
+
     def main(self, text: str | None) -> int:
         found = self.read(text)
         return max(found, key=lambda x: (x[1], -x[0]))[0] if found else -1
@@ -180,6 +215,44 @@ def fit_lexicon(documents: DataFrame, labels: DataFrame, subjects: list[str], mo
     return Lexicon([r for r in rows if r[0]], subjects, prior)
 
 
+def grow_lexicon(documents: DataFrame, lexicon: Lexicon) -> Lexicon:
+    """The lexicon with words that stand, over all documents, almost only in texts plainly about one subject. Counts are
+    combined in the tasks and again before the shuffle; the words of most texts, at most `MOST_GROWN`, reach the driver."""
+    shared = documents.sparkSession.sparkContext.broadcast(lexicon)
+    size = len(lexicon.subjects)
+    names = [f"s{k}" for k in range(size)]
+
+    def count(batches):
+        got: dict[str, list[int]] = {}
+
+        def flushed():
+            cols = list(zip(*got.values(), strict=True)) if got else [[] for _ in names]
+            out = pa.RecordBatch.from_arrays([pa.array(list(got), pa.string()), *[pa.array(c, pa.int64()) for c in cols]], names=["word", *names])
+            got.clear()
+            return out
+
+        for batch in batches:
+            for text in batch.column("text").to_pylist():
+                k, words = shared.value.evidence(text)
+                if k >= 0:
+                    for w in (*words, ""):
+                        if w not in got:
+                            got[w] = [0] * size
+                        got[w][k] += 1
+            if len(got) > 200_000:
+                yield flushed()
+        yield flushed()
+
+    counted = documents.select("text").where("text IS NOT NULL").mapInArrow(count, "word string, " + ", ".join(f"{c} bigint" for c in names))
+    summed = counted.groupBy("word").agg(*[F.sum(c).alias(c) for c in names]).withColumn("n", sum((F.col(c) for c in names), F.lit(0)))
+    top = F.greatest(*names) if size > 1 else F.col(names[0])
+    kept = summed.where((F.col("word") == "") | ((F.col("n") >= LEAST_GROWN) & (top > TELLING_GROWN * F.col("n")))).orderBy(F.desc("n"), "word").limit(MOST_GROWN).collect()
+    whole = next((r for r in kept if r.word == ""), None)
+    if whole is None:
+        return lexicon
+    return lexicon.learn([(r.word, r.n, [r[c] for c in names]) for r in kept if r.word], [whole[c] / whole.n for c in names])
+
+
 def votes(documents: DataFrame, apps: DataFrame, lexicon: Lexicon) -> DataFrame:
     """(doc_id, subject index, share, lex, sec, adr, src): the votes on each pair of a document and a subject it mentions."""
     shared = documents.sparkSession.sparkContext.broadcast(lexicon)
@@ -229,7 +302,8 @@ def subject_posteriors(documents: DataFrame, labels: DataFrame, areas: DataFrame
     small table of subjects."""
     spark = documents.sparkSession
     subjects = sorted({r.subject for r in areas.select("subject").collect() if r.subject})
-    pairs = materialize(votes(documents, apps, fit_lexicon(documents, labels, subjects)))
+    lexicon = grow_lexicon(documents, fit_lexicon(documents, labels, subjects))
+    pairs = materialize(votes(documents, apps, lexicon))
     cols = ["lex", "sec", "adr", "src"]
     patterns = [(tuple(r[c] for c in cols), r["n"]) for r in pairs.groupBy(*cols).agg(F.count(F.lit(1)).alias("n")).collect()]
     learned = [(*p, x) for p, x in learn(sorted(patterns)).items()]

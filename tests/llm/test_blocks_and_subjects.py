@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 from corvane.llm.blocks import Features, Labeller, blocks_of, cue, fit_labeller, label_blocks, main_content
-from corvane.llm.subjects import Lexicon, fit_lexicon, learn, subject_posteriors, subjects_found
+from corvane.llm.subjects import Lexicon, fit_lexicon, grow_lexicon, learn, subject_posteriors, subjects_found
 
 CONTENT = ["The makers care about guild archives more than about pilgrim roads.", "Print any page of treaties with one tap.", "Old fortresses can be moved to the shelf.", "* 12 pottery shards", "Short version: Three editors check all census rolls for errors."]
 FURNITURE = ["Back to top", "Home | About | Search | Help", "© 2015 Kelafofi collective. All rights reserved.", "We use cookies to improve your visit. Accept all Reject Settings", "Advertisement", "Sign up for our newsletter and never miss an update."]
@@ -106,6 +106,31 @@ def test_subjects_of_documents(spark):
     assert subject_posteriors(d, lab.limit(0), areas, apps).count() == 0
 
 
+def test_the_lexicon_grows_over_texts_without_labels(spark):
+    rng = random.Random(9)
+    seeds, unseen = ["marinades", "dumplings", "notaries", "treaties"], {"marinades": "teigtaschen", "notaries": "urkunden"}
+    docs = []
+    for k in range(120):
+        food = k % 2 == 0
+        known = seeds[:2] if food else seeds[2:]
+        words = [rng.choice(known) for _ in range(4)] + [unseen[known[0]]] * 2
+        docs.append((k, " ".join(f"Readers asked for {w} again." for w in words) + " That is all for today."))
+    docs += [(1000 + k, "Readers asked for teigtaschen again.") for k in range(3)] + [(2000, None)]
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    rows = [(w, 30, [30, 0] if w in seeds[:2] else [0, 30]) for w in seeds]
+    lexicon = grow_lexicon(d, Lexicon(rows, ["food", "law"], [0.5, 0.5]))
+    assert {w: k for w, (k, _) in lexicon.word.items()} == {"marinades": 0, "dumplings": 0, "teigtaschen": 0, "notaries": 1, "treaties": 1, "urkunden": 1}
+    assert lexicon.read(docs[-2][1])[0][:2] == (0, 1.0)
+    assert not grow_lexicon(d.limit(0), Lexicon([], ["food", "law"], [0.5, 0.5])).word
+
+
+def test_furniture_is_about_nothing():
+    x = Lexicon([("privacy", 40, [38, 2]), ("terms", 40, [2, 38])], ["law", "finance"], [0.5, 0.5])
+    assert x.sentence("terms of use privacy imprint".split()) == -1
+    assert x.sentence("home boards contact log in terms of use privacy".split()) == -1
+    assert x.sentence("readers asked for privacy complaints".split()) == 0
+
+
 def test_labels_are_bounded_by_hash(spark):
     d = spark.createDataFrame([(k, "marinades dumplings") for k in range(50)], "doc_id long, text string")
     lab = spark.createDataFrame([(k, "food") for k in range(50)], "doc_id long, subject string")
