@@ -31,6 +31,7 @@ from __future__ import annotations
 
 import re
 from collections import defaultdict
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -51,7 +52,8 @@ SHARES = (1 / 12 + 1e-9, 0.15)
 ROUNDS, SOURCES = 40, 64
 
 _WORDS = re.compile(r"[^\W\d_]+")
-_UNUSUAL = re.compile("[^\x00-\xff–—’‘“”„…œŒ•]|\xad|\xa0")
+#: Characters that may stand for other letters or hide within words; other signs only part words.
+_UNUSUAL = re.compile("[\xad\u0300-\u058f\u13a0-\u13ff\u200b-\u200f\u2060-\u206f\u2100-\u218f\u3099\u309a\ua4d0-\ua4ff\ufb00-\ufb06\ufe00-\ufe0f\ufeff\uff00-\uffef\U0001d400-\U0001d7ff]")
 _SENTENCES = re.compile(r"(?<=[.!?…])\s+")
 
 
@@ -64,8 +66,11 @@ _LISTED = tuple(w for w in NAVIGATION.split() if len(w) > 2)
 
 
 def furniture(words: list[str]) -> bool:
+    here = sum(map(_FURNITURE.__contains__, words))
+    if len(words) > 6 and 5 * here < len(words):
+        return False
     long = [w for w in words if len(w) > 3]
-    return sum(w in _FURNITURE or len(w) > 12 and w.startswith(_LISTED) for w in long) >= MOSTLY * max(1, len(long))
+    return here + sum(len(w) > 12 and w not in _FURNITURE and w.startswith(_LISTED) for w in long) >= MOSTLY * max(1, len(long))
 
 
 def readable(text: str) -> str:
@@ -76,6 +81,14 @@ def readable(text: str) -> str:
     return "\n".join(map(form, text.split("\n")))
 
 
+def lines_of(text: str) -> Iterator[tuple[bool, list[list[str]]]]:
+    """Of each line, whether it is a heading, and the lower-case words of its sentences."""
+    for line in readable(text).lower().split("\n"):
+        words = [w for s in _SENTENCES.split(line) if (w := _WORDS.findall(s))]
+        if words:
+            yield line.lstrip().startswith("#"), words
+
+
 def terms_of(words: list[str]) -> set[str]:
     return {*words, *(f"{a} {b}" for a, b in zip(words, words[1:]))}
 
@@ -98,20 +111,27 @@ class Lexicon:
             elif " " not in term and low > AMBIGUOUS:
                 self.ambiguous.add(term)
         self.pair = {t: e for t, e in pairs.items() if any(w in self.ambiguous for w in t.split(" "))}
+        self.index()
+
+    def index(self) -> None:
+        """One look-up for each word: its subject and weight, subject -1 for the ambiguous."""
+        self.entry = {**dict.fromkeys(self.ambiguous, (-1, 0.0)), **self.word}
 
     def sentence(self, words: list[str]) -> int:
         """The subject of a sentence, -1 for none."""
+        hits = [e for e in map(self.entry.get, words) if e]
+        if not hits:
+            return -1
         score: dict[int, float] = {}
-        word, ambiguous = self.word, self.ambiguous
-        for w in words:
-            if w in word:
-                k, x = word[w]
-                score[k] = score.get(k, 0.0) + x
-            elif w in ambiguous:
-                i = words.index(w)
-                entry = (self.pair.get(f"{words[i - 1]} {w}") if i else None) or (self.pair.get(f"{w} {words[i + 1]}") if i + 1 < len(words) else None)
-                if entry:
-                    score[entry[0]] = score.get(entry[0], 0.0) + entry[1]
+        for k, x in hits:
+            score[k] = score.get(k, 0.0) + x
+        if -1 in score:
+            del score[-1]
+            for i, w in enumerate(words):
+                if w in self.ambiguous:
+                    e = (self.pair.get(f"{words[i - 1]} {w}") if i else None) or (self.pair.get(f"{w} {words[i + 1]}") if i + 1 < len(words) else None)
+                    if e:
+                        score[e[0]] = score.get(e[0], 0.0) + e[1]
         return max(score, key=lambda k: (score[k], -k)) if score and not furniture(words) else -1
 
     def read(self, text: str | None) -> list[tuple[int, float, int, int]]:
@@ -119,13 +139,8 @@ class Lexicon:
         if not text or not self.word:
             return []
         total, of, sections, leads, n_sections = 0, defaultdict(int), defaultdict(int), set(), 0
-        for line in readable(text).split("\n"):
-            heading = line.lstrip().startswith("#")
-            here = []
-            for s in _SENTENCES.split(line):
-                words = _WORDS.findall(s.lower())
-                if len(words) > 1 or (heading and words):
-                    here.append(self.sentence(words))
+        for heading, sentences in lines_of(text):
+            here = [self.sentence(words) for words in sentences if len(words) > 1 or heading]
             if not here:
                 continue
             if heading:
@@ -148,25 +163,23 @@ class Lexicon:
         return sorted(out)
 
     def evidence(self, text: str | None) -> tuple[int, set[str]]:
-        """The one subject that a text is plainly about, -1 for none, and the words of its other sentences that the lexicon
-        lacks."""
+        """The one subject that a text is plainly about, -1 for none, and its words that the lexicon lacks, furniture
+        aside."""
         if not text or not self.word:
             return -1, set()
         of, total, words = defaultdict(int), 0, set()
-        for line in readable(text).split("\n"):
-            for s in _SENTENCES.split(line):
-                here = _WORDS.findall(s.lower())
-                if len(here) > 1 and not furniture(here):
-                    total += 1
-                    words.update(here)
-                    of[self.sentence(here)] += 1
+        for _, sentences in lines_of(text):
+            for here in sentences:
+                total += 1
+                words.update(here)
+                of[self.sentence(here)] += 1
         of.pop(-1, None)
         if not of:
             return -1, set()
         k = max(of, key=lambda x: (of[x], -x))
         if of[k] < 2 or of[k] < 0.15 * total or of[k] < 0.8 * sum(of.values()):
             return -1, set()
-        return k, {w for w in words if len(w) > 3 and w not in self.word and w not in self.ambiguous}
+        return k, {w for w in words if len(w) > 3 and w not in self.entry and w not in _FURNITURE and not (len(w) > 12 and w.startswith(_LISTED))}
 
     def learn(self, rows: list, prior: list[float]) -> Lexicon:
         """With further telling words, of (word, number of texts, numbers by subject)."""
@@ -175,6 +188,7 @@ class Lexicon:
             p = shares[k] / n
             if p - (p * (1 - p) / n) ** 0.5 - 0.5 / n > TELLING_GROWN:
                 self.word[w] = (k, float(np.log((shares[k] + 0.5) / (n + 2) / max(prior[k], 0.02))))
+        self.index()
         return self
 
     def main(self, text: str | None) -> int:
