@@ -112,7 +112,7 @@ def _saved_postings(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _replica_postings(spark: SparkSession, d: str) -> list[DataFrame]:
-    return [_postings(spark, d).join(r.select("contract_key"), "contract_key", "left_semi") for r in _replicas(spark, d)]
+    return [_saved_postings(spark, d).join(r.select("contract_key"), "contract_key", "left_semi") for r in _replicas(spark, d)]
 
 
 def _pages(spark: SparkSession, d: str) -> DataFrame:
