@@ -7,7 +7,8 @@ missing: a term needs several documents. A sentence is about the subject whose t
 furniture words ("Terms of use | Privacy") is about none.
 
 The lexicon then grows over all documents, labelled or not: words that stand almost only in texts plainly about one subject
-join it. So the words of languages and themes with few labels are found.
+join it. So the words of languages and themes with few labels are found. All that qualify join, however many: the
+`MOST_GROWN` most frequent are broadcast, the rest reach the texts that hold them by a join on the word.
 
 Labelling functions, each giving every (document, subject) pair with any such sentence one of a few votes:
 * lexicon - the share of the document's sentences about the subject;
@@ -20,7 +21,8 @@ A latent model with one hidden yes or no per pair learns from all documents, wit
 documents). A document has a subject where the posterior is at least one half.
 
 Plan: two passes over the texts in Arrow batches, one to grow the lexicon and one to vote; no text is shuffled, the votes are joined with the apps on the address
-(ids and numbers only), and vote patterns are counted with map-side combining before they reach the driver.
+(ids and numbers only), and vote patterns are counted with map-side combining before they reach the driver. Only where more
+than `MOST_GROWN` words qualify, one more pass gives the different words of each text for the join, and texts are shuffled once.
 
 Defined results: null, empty and blank texts, texts without any term of a subject have no rows; headings without a sentence
 and lines without words are no sentences; unclean characters are read in their consistent form; whole texts are read. Without
@@ -32,6 +34,7 @@ from __future__ import annotations
 import re
 from collections import defaultdict
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -44,8 +47,8 @@ from .forms import transducer
 
 #: Labels used at most, documents a term needs, and the lower bound of the share of its subject.
 FIT_LABELS, LEAST_DOCUMENTS, TELLING, AMBIGUOUS = 20_000, 4, 0.55, 0.28
-#: The same for words learned from texts without labels, and how many of these there may be.
-LEAST_GROWN, TELLING_GROWN, MOST_GROWN = 8, 0.6, 50_000
+#: The same for words learned from texts without labels, and how many of these, of at most so many letters, are broadcast.
+LEAST_GROWN, TELLING_GROWN, MOST_GROWN, LONGEST_GROWN = 8, 0.6, 50_000, 64
 #: From these shares of sentences on, the lexicon's vote is one step higher; at least a fifth is the definition of a subject,
 #: at most a twelfth that of a passing mention.
 SHARES = (1 / 12 + 1e-9, 0.15)
@@ -96,6 +99,12 @@ def terms_of(words: list[str]) -> set[str]:
 class Lexicon:
     """Words and pairs of words with their subject and weight, and the ambiguous words."""
 
+    #: (word, k, weight) of the grown words that are not broadcast; the table itself stays with the driver.
+    rest: DataFrame | None = None
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k != "rest"}
+
     def __init__(self, rows: list, subjects: list[str], prior: list[float]):
         self.subjects = subjects
         self.word: dict[str, tuple[int, float]] = {}
@@ -179,18 +188,29 @@ class Lexicon:
         k = max(of, key=lambda x: (of[x], -x))
         if of[k] < 2 or of[k] < 0.15 * total or of[k] < 0.8 * sum(of.values()):
             return -1, set()
-        return k, {w for w in words if len(w) > 3 and w not in self.entry and w not in _FURNITURE and not (len(w) > 12 and w.startswith(_LISTED))}
-
-    def learn(self, rows: list, prior: list[float]) -> Lexicon:
-        """With further telling words, of (word, number of texts, numbers by subject)."""
-        for w, n, shares in rows:
-            k = max(range(len(shares)), key=lambda j: (shares[j], -j))
-            p = shares[k] / n
-            if p - (p * (1 - p) / n) ** 0.5 - 0.5 / n > TELLING_GROWN:
-                self.word[w] = (k, float(np.log((shares[k] + 0.5) / (n + 2) / max(prior[k], 0.02))))
+        return k, self.lacking(words)
+
+    def lacking(self, words: set[str]) -> set[str]:
+        """Those of the words that are not in the lexicon but may join it."""
+        return {w for w in words if len(w) > 3 and w not in self.entry and w not in _FURNITURE and not (len(w) > 12 and w.startswith(_LISTED))}
+
+    def learn(self, rows: list) -> Lexicon:
+        """With further words, of (word, subject, weight)."""
+        self.word.update((w, (k, x)) for w, k, x in rows)
         self.index()
         return self
 
+    @contextmanager
+    def along(self, rows: list | None) -> Iterator[Lexicon]:
+        """The lexicon with the entries of `rest` that one text needs."""
+        more = {r["word"]: (r["k"], r["weight"]) for r in rows or ()}
+        self.entry.update(more)
+        try:
+            yield self
+        finally:
+            for w in more:
+                del self.entry[w]
+
     def main(self, text: str | None) -> int:
         found = self.read(text)
         return max(found, key=lambda x: (x[1], -x[0]))[0] if found else -1
@@ -229,9 +249,17 @@ def fit_lexicon(documents: DataFrame, labels: DataFrame, subjects: list[str], mo
     return Lexicon([r for r in rows if r[0]], subjects, prior)
 
 
+def telling(n: int, shares: list[int], prior: list[float]) -> tuple[int, float] | None:
+    """Subject and weight of a word of `n` texts, so many by subject, if it tells the subject."""
+    k = max(range(len(shares)), key=lambda j: (shares[j], -j))
+    p = shares[k] / n
+    return (k, float(np.log((shares[k] + 0.5) / (n + 2) / max(prior[k], 0.02)))) if p - (p * (1 - p) / n) ** 0.5 - 0.5 / n > TELLING_GROWN else None
+
+
 def grow_lexicon(documents: DataFrame, lexicon: Lexicon) -> Lexicon:
     """The lexicon with words that stand, over all documents, almost only in texts plainly about one subject. Counts are
-    combined in the tasks and again before the shuffle; the words of most texts, at most `MOST_GROWN`, reach the driver."""
+    combined in the tasks and again before the shuffle; the words of most texts, `MOST_GROWN`, reach the driver, and the
+    others stay in the table `rest`."""
     shared = documents.sparkSession.sparkContext.broadcast(lexicon)
     size = len(lexicon.subjects)
     names = [f"s{k}" for k in range(size)]
@@ -260,11 +288,51 @@ def grow_lexicon(documents: DataFrame, lexicon: Lexicon) -> Lexicon:
     counted = documents.select("text").where("text IS NOT NULL").mapInArrow(count, "word string, " + ", ".join(f"{c} bigint" for c in names))
     summed = counted.groupBy("word").agg(*[F.sum(c).alias(c) for c in names]).withColumn("n", sum((F.col(c) for c in names), F.lit(0)))
     top = F.greatest(*names) if size > 1 else F.col(names[0])
-    kept = summed.where((F.col("word") == "") | ((F.col("n") >= LEAST_GROWN) & (top > TELLING_GROWN * F.col("n")))).orderBy(F.desc("n"), "word").limit(MOST_GROWN).collect()
-    whole = next((r for r in kept if r.word == ""), None)
+    counts = materialize(summed.where((F.col("word") == "") | ((F.col("n") >= LEAST_GROWN) & (top > TELLING_GROWN * F.col("n")))))
+    whole = counts.where("word = ''").first()
     if whole is None:
         return lexicon
-    return lexicon.learn([(r.word, r.n, [r[c] for c in names]) for r in kept if r.word], [whole[c] / whole.n for c in names])
+    prior = [whole[c] / whole.n for c in names]
+
+    def weigh(batches):
+        for batch in batches:
+            found = [telling(n, shares, prior) for n, *shares in zip(*[batch.column(c).to_pylist() for c in ("n", *names)], strict=True)]
+            at = [i for i, e in enumerate(found) if e]
+            k, weight = pa.array([found[i][0] for i in at], pa.int32()), pa.array([found[i][1] for i in at], pa.float64())
+            at = pa.array(at, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column("word").take(at), batch.column("n").take(at), k, weight], names=["word", "n", "k", "weight"])
+
+    grown = counts.where("word <> ''").select("word", "n", *names).mapInArrow(weigh, "word string, n bigint, k int, weight double")
+    short = F.length("word") <= LONGEST_GROWN
+    sent = grown.where(short).orderBy(F.desc("n"), "word").limit(MOST_GROWN).collect()
+    beyond = ~short
+    if len(sent) == MOST_GROWN:
+        last = sent[-1]
+        beyond = beyond | (F.col("n") < last.n) | ((F.col("n") == last.n) & (F.col("word") > last.word))
+    rest = grown.where(beyond).select("word", "k", "weight")
+    lexicon.learn([(r.word, r.k, r.weight) for r in sent])
+    if not rest.isEmpty():
+        lexicon.rest = rest
+    return lexicon
+
+
+def with_rest(texts: DataFrame, lexicon: Lexicon) -> DataFrame:
+    """`texts` with the column `more`: those entries of the lexicon's `rest` whose words stand in the text. Texts are known by
+    their hash; should two share one, each has entries that it does not look up."""
+    if lexicon.rest is None:
+        return texts.withColumn("more", F.lit(None).cast("array<struct<word: string, k: int, weight: double>>"))
+    shared = texts.sparkSession.sparkContext.broadcast(lexicon)
+
+    def words(batches):
+        for batch in batches:
+            for h, text in zip(batch.column("_h").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                here = list(shared.value.lacking({w for _, line in lines_of(text) for words in line for w in words}))
+                yield pa.RecordBatch.from_arrays([pa.array([h] * len(here), pa.int64()), pa.array(here, pa.string())], names=["_h", "word"])
+
+    keyed = texts.withColumn("_h", F.xxhash64("text"))
+    lists = keyed.where("text IS NOT NULL").select("_h", "text").mapInArrow(words, "_h bigint, word string").distinct()
+    more = lists.join(lexicon.rest, "word").groupBy("_h").agg(F.collect_list(F.struct("word", "k", "weight")).alias("more"))
+    return keyed.join(more, "_h", "left").drop("_h")
 
 
 def votes(documents: DataFrame, apps: DataFrame, lexicon: Lexicon) -> DataFrame:
@@ -273,16 +341,23 @@ def votes(documents: DataFrame, apps: DataFrame, lexicon: Lexicon) -> DataFrame:
 
     def read(batches):
         for batch in batches:
-            rows = [(i, k, share, level) for i, text in enumerate(batch.column("text").to_pylist()) for k, share, level, _ in shared.value.read(text)]
+            rows = []
+            for i, (text, more) in enumerate(zip(batch.column("text").to_pylist(), batch.column("more").to_pylist(), strict=True)):
+                with shared.value.along(more) as own:
+                    rows += [(i, k, share, level) for k, share, level, _ in own.read(text)]
             at = pa.array([r[0] for r in rows], pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(at), batch.column("source").take(at), batch.column("contract_key").take(at), *[pa.array([r[j] for r in rows], t) for j, t in ((1, pa.int32()), (2, pa.float64()), (3, pa.int32()))]], names=["doc_id", "source", "contract_key", "k", "share", "sec"])
 
     def about(batches):
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column("contract_key"), pa.array([shared.value.main(t) for t in batch.column("text").to_pylist()], pa.int32())], names=["contract_key", "own"])
-
-    found = documents.select("doc_id", "text", "source", "contract_key").mapInArrow(read, "doc_id bigint, source string, contract_key string, k int, share double, sec int")
-    own = apps.select("contract_key", F.concat_ws(".\n", "title", "description").alias("text")).mapInArrow(about, "contract_key string, own int")
+            mains = []
+            for text, more in zip(batch.column("text").to_pylist(), batch.column("more").to_pylist(), strict=True):
+                with shared.value.along(more) as own:
+                    mains.append(own.main(text))
+            yield pa.RecordBatch.from_arrays([batch.column("contract_key"), pa.array(mains, pa.int32())], names=["contract_key", "own"])
+
+    found = with_rest(documents.select("doc_id", "text", "source", "contract_key"), lexicon).mapInArrow(read, "doc_id bigint, source string, contract_key string, k int, share double, sec int")
+    own = with_rest(apps.select("contract_key", F.concat_ws(".\n", "title", "description").alias("text")), lexicon).mapInArrow(about, "contract_key string, own int")
     own = own.where("own >= 0 AND contract_key IS NOT NULL").groupBy("contract_key").agg(F.collect_set("own").alias("own"))
     lex = sum((F.col("share") >= s).cast("int") for s in SHARES)
     adr = F.when(F.col("own").isNull(), 0).when(F.array_contains("own", F.col("k")), 2).otherwise(1)

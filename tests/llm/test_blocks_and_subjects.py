@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 
 from corvane.llm.blocks import Features, Labeller, blocks_of, cue, fit_labeller, label_blocks, main_content
+from corvane.llm import subjects
 from corvane.llm.subjects import Lexicon, fit_lexicon, grow_lexicon, learn, subject_posteriors, subjects_found
 
 CONTENT = ["The makers care about guild archives more than about pilgrim roads.", "Print any page of treaties with one tap.", "Old fortresses can be moved to the shelf.", "* 12 pottery shards", "Short version: Three editors check all census rolls for errors."]
@@ -124,6 +125,26 @@ def test_the_lexicon_grows_over_texts_without_labels(spark):
     assert not grow_lexicon(d.limit(0), Lexicon([], ["food", "law"], [0.5, 0.5])).word
 
 
+@pytest.mark.parametrize("sent", [1, 2, 50_000])
+def test_all_grown_words_count_however_many(spark, monkeypatch, sent):
+    seeds, unseen = {"food": ["marinades", "dumplings"], "law": ["notaries", "treaties"]}, {"food": ["teigtaschen", "suppen"], "law": ["urkunden", "verfahrens" * 7]}
+    docs = []
+    for k in range(160):
+        subject = "food" if k % 2 else "law"
+        words = [*seeds[subject] * 2, *[unseen[subject][k % 10 > 6]] * 2]
+        docs.append((k, " ".join(f"Readers asked for {w} again." for w in words), "review", "key"))
+    known_by_one_word = [(1000 + 10 * i + k, f"Leser fragten nach {w} {k}.", None, "") for i, w in enumerate(w for s in unseen for w in unseen[s]) for k in range(2)]
+    d = spark.createDataFrame([*docs, *known_by_one_word, known_by_one_word[0], (2000, None, None, None)], "doc_id long, text string, source string, contract_key string")
+    apps = spark.createDataFrame([(1, "key", "Suppen heute", None)], "app_id long, contract_key string, title string, description string")
+    rows = [(w, 30, [30, 0] if s == "food" else [0, 30]) for s in seeds for w in seeds[s]]
+    monkeypatch.setattr(subjects, "MOST_GROWN", sent)
+    lexicon = grow_lexicon(d, Lexicon(rows, ["food", "law"], [0.5, 0.5]))
+    found = subjects.votes(d, apps, lexicon)
+    assert {(r.doc_id, r.k) for r in found.where("doc_id >= 1000").collect()} == {(i, int(i >= 1020)) for i, *_ in known_by_one_word}
+    assert {(r.k, r.adr) for r in found.where("doc_id < 1000").collect()} == {(0, 2), (1, 1)}
+    assert found.count() == 169
+
+
 def test_furniture_is_about_nothing():
     x = Lexicon([("privacy", 40, [38, 2]), ("terms", 40, [2, 38])], ["law", "finance"], [0.5, 0.5])
     assert x.sentence("terms of use privacy imprint".split()) == -1
