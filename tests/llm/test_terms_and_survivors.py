@@ -46,6 +46,13 @@ def test_cases_need_count_groups_and_letters(spark):
     assert {tuple(r) for r in distinctive_cases(df, "id", "grp", "a", "b", "c").collect()} == {(1, "pump"), (2, "pump"), (5, "pump")}
 
 
+def test_cases_go_by_counts_where_the_term_is_rarer_than_elsewhere(spark):
+    long = "pump pump pump " + " ".join(f"w{k}" for k in range(100))
+    df = spark.createDataFrame([(1, "k1", long, None, None), *((k, "k2", "pump pump pump", None, None) for k in range(2, 8))], COLS)
+    assert {r.score < 0 for r in distinctive_terms(df, "id", "grp", "a", "b", "c").where("id = 1 AND term = 'pump'").collect()} == {True}
+    assert {tuple(r) for r in distinctive_cases(df, "id", "grp", "a", "b", "c").collect()} == {(k, "pump") for k in range(1, 8)}
+
+
 def test_no_rows_no_terms(spark):
     assert distinctive_terms(spark.createDataFrame([], COLS), "id", "grp", "a", "b").count() == 0
     one = distinctive_terms(spark.createDataFrame([(1, "k", "a a b", "", None)], COLS), "id", "grp", "a", "b", "c")
