@@ -18,6 +18,7 @@ are taken whole. The form of a form is itself. Copies and ties need no choice; a
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from functools import lru_cache
 
@@ -165,6 +166,21 @@ def transducer() -> Transducer:
     return Transducer(mapping())
 
 
+@lru_cache(maxsize=1)
+def altered() -> re.Pattern:
+    """Finds the characters whose presence can make a text differ from its form in more than blanks: those mapped alone or after
+    a base, and those that show nothing. Beyond U+FFFF near ones are joined to ranges, as few of these are tested fast."""
+    every = "".join(map(chr, [*range(0x80, 0xD800), *range(0xE000, 0x110000)]))
+    found = {c for k in mapping() for c in (k[1:] or k) if not c.isascii()} | {*regex.findall(rf"(?V1){_NOTHING}", every)}
+    ranges: list[list[int]] = []
+    for c in sorted(map(ord, found)):
+        if ranges and c - ranges[-1][1] <= (1 if c < 0x10000 or ranges[-1][1] < 0x10000 else 0x1000):
+            ranges[-1][1] = c
+        else:
+            ranges.append([c, c])
+    return re.compile("[" + "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in ranges) + "]")
+
+
 def consistent_form(text: Column) -> Column:
     @F.arrow_udf("string")
     def form(texts: pa.Array) -> pa.Array:

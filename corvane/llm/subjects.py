@@ -43,7 +43,7 @@ from pyspark.sql import functions as F
 
 from .common import materialize
 from .blocks import CUES, NAVIGATION
-from .forms import transducer
+from .forms import altered, transducer
 
 #: Labels used at most, documents a term needs, and the lower bound of the share of its subject.
 FIT_LABELS, LEAST_DOCUMENTS, TELLING, AMBIGUOUS = 20_000, 4, 0.55, 0.28
@@ -55,8 +55,6 @@ SHARES = (1 / 12 + 1e-9, 0.15)
 ROUNDS, SOURCES = 40, 64
 
 _WORDS = re.compile(r"[^\W\d_]+")
-#: Characters that may stand for other letters or hide within words; other signs only part words.
-_UNUSUAL = re.compile("[\xad\u0300-\u058f\u13a0-\u13ff\u200b-\u200f\u2060-\u206f\u2100-\u218f\u3099\u309a\ua4d0-\ua4ff\ufb00-\ufb06\ufe00-\ufe0f\ufeff\uff00-\uffef\U0001d400-\U0001d7ff]")
 _SENTENCES = re.compile(r"(?<=[.!?…])\s+")
 
 
@@ -69,16 +67,15 @@ _LISTED = tuple(w for w in NAVIGATION.split() if len(w) > 2)
 
 
 def furniture(words: list[str]) -> bool:
-    here = sum(map(_FURNITURE.__contains__, words))
+    here = sum(map(_FURNITURE.__contains__, words)) + sum(len(w) > 12 and w not in _FURNITURE and w.startswith(_LISTED) for w in words)
     if len(words) > 6 and 5 * here < len(words):
         return False
-    long = [w for w in words if len(w) > 3]
-    return here + sum(len(w) > 12 and w not in _FURNITURE and w.startswith(_LISTED) for w in long) >= MOSTLY * max(1, len(long))
+    return here >= MOSTLY * max(1, sum(len(w) > 3 for w in words))
 
 
 def readable(text: str) -> str:
-    """The text in consistent form, line by line, where it holds unusual characters."""
-    if not _UNUSUAL.search(text):
+    """The text in consistent form, line by line, where it holds characters that the form may alter."""
+    if text.isascii() or not altered().search(text):
         return text
     form = transducer()
     return "\n".join(map(form, text.split("\n")))

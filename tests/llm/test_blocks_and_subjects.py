@@ -5,6 +5,7 @@ import pytest
 
 from corvane.llm.blocks import Features, Labeller, blocks_of, cue, fit_labeller, label_blocks, main_content
 from corvane.llm import subjects
+from corvane.llm.forms import transducer
 from corvane.llm.subjects import Lexicon, fit_lexicon, grow_lexicon, learn, subject_posteriors, subjects_found
 
 CONTENT = ["The makers care about guild archives more than about pilgrim roads.", "Print any page of treaties with one tap.", "Old fortresses can be moved to the shelf.", "* 12 pottery shards", "Short version: Three editors check all census rolls for errors."]
@@ -152,6 +153,23 @@ def test_furniture_is_about_nothing():
     assert x.sentence("readers asked for privacy complaints".split()) == 0
 
 
+def test_run_together_items_are_furniture_in_long_sentences():
+    x = Lexicon([("marinades", 40, [38, 2])], ["food", "law"], [0.5, 0.5])
+    listed = "homeboardscontact searchsettingshelp aboutarchiveblog downloadfaqgallery membersnewssearch helpcontactabout"
+    assert x.sentence(f"{listed} marinades".split()) == -1
+    assert x.sentence(f"{listed} readers asked for marinades with dumplings and other dishes".split()) == 0
+
+
+def test_every_unclean_character_is_read_in_the_consistent_form():
+    for c in "\u0131\u0251\u0261\u061c\u180e\u3164\u115f\xad\u200b\u0430\uff4e\U0001d41a":
+        assert subjects.readable(f"mar{c}nades") == transducer()(f"mar{c}nades") != f"mar{c}nades"
+    words = lambda text: [w for _, lines in subjects.lines_of(text) for line in lines for w in line]
+    for at in [*range(0x80, 0xD800), *range(0xE000, 0x20000), *range(0xE0000, 0xE0200)]:
+        text = f"ab{chr(at)}cd"
+        if subjects.readable(text) == text:
+            assert words(transducer()(text)) == words(text), hex(at)
+
+
 def test_labels_are_bounded_by_hash(spark):
     d = spark.createDataFrame([(k, "marinades dumplings") for k in range(50)], "doc_id long, text string")
     lab = spark.createDataFrame([(k, "food") for k in range(50)], "doc_id long, subject string")
