@@ -14,11 +14,11 @@ Labelling functions, each giving every (document, subject) pair with any such se
 * lexicon - the share of the document's sentences about the subject;
 * section - whether the subject stands in one or several of the document's sections (lines), and whether it leads one;
 * address - whether the app under the document's address is itself about the subject by its title and description;
-* source  - the kind of document, as its own vote (of `SOURCES` ones, told apart by hash, so that there are no more).
+* source  - the kind of document, each source and null with a vote of its own.
 
 A latent model with one hidden yes or no per pair learns from all documents, without labels, how reliable each vote is
-(expectation maximisation over counts of vote patterns, of which there are at most a few thousand whatever the number of
-documents). A document has a subject where the posterior is at least one half.
+(expectation maximisation over counts of vote patterns, of which there are at most 54 a source whatever the number of
+documents; more than `MOST_PATTERNS` of them stay in a table, one row a source, and each round is a sum over it). A document has a subject where the posterior is at least one half.
 
 Plan: two passes over the texts in Arrow batches, one to grow the lexicon and one to vote; no text is shuffled, the votes are joined with the apps on the address
 (ids and numbers only), and vote patterns are counted with map-side combining before they reach the driver. Only where more
@@ -52,7 +52,13 @@ LEAST_GROWN, TELLING_GROWN, MOST_GROWN, LONGEST_GROWN = 8, 0.6, 50_000, 64
 #: From these shares of sentences on, the lexicon's vote is one step higher; at least a fifth is the definition of a subject,
 #: at most a twelfth that of a passing mention.
 SHARES = (1 / 12 + 1e-9, 0.15)
-ROUNDS, SOURCES = 40, 64
+ROUNDS = 40
+#: Patterns of votes that may reach the driver.
+MOST_PATTERNS = 20_000
+#: The votes other than the source, and how many levels each has.
+LEVELS = {"lex": 3, "sec": 6, "adr": 3}
+#: The answer that the lexicon's vote is taken for at first.
+FIRST = (0.02, 0.1, 0.95)
 
 _WORDS = re.compile(r"[^\W\d_]+")
 _SENTENCES = re.compile(r"(?<=[.!?…])\s+")
@@ -359,7 +365,7 @@ def votes(documents: DataFrame, apps: DataFrame, lexicon: Lexicon) -> DataFrame:
     lex = sum((F.col("share") >= s).cast("int") for s in SHARES)
     adr = F.when(F.col("own").isNull(), 0).when(F.array_contains("own", F.col("k")), 2).otherwise(1)
     joined = found.join(own, "contract_key", "left")
-    return joined.select("doc_id", "k", "share", lex.alias("lex"), "sec", adr.alias("adr"), F.pmod(F.xxhash64("source"), F.lit(SOURCES)).cast("int").alias("src"))
+    return joined.select("doc_id", "k", "share", lex.alias("lex"), "sec", adr.alias("adr"), F.coalesce(F.concat(F.lit("="), "source"), F.lit("")).alias("src"))
 
 
 def learn(patterns: list[tuple[tuple, int]], rounds: int = ROUNDS) -> dict[tuple, float]:
@@ -372,7 +378,7 @@ def learn(patterns: list[tuple[tuple, int]], rounds: int = ROUNDS) -> dict[tuple
     for values in zip(*keys, strict=True):
         levels = {v: i for i, v in enumerate(sorted(set(values)))}
         codes.append((np.array([levels[v] for v in values]), len(levels)))
-    yes = np.array([(0.02, 0.1, 0.95)[p[0]] for p in keys])
+    yes = np.array([FIRST[p[0]] for p in keys])
     for _ in range(rounds):
         ratio = np.log((n @ yes + 1) / (n @ (1 - yes) + 1))
         score = np.full(len(keys), ratio)
@@ -383,6 +389,64 @@ def learn(patterns: list[tuple[tuple, int]], rounds: int = ROUNDS) -> dict[tuple
     return dict(zip(keys, yes.tolist(), strict=True))
 
 
+def _replayed(counts: np.ndarray, history: list[tuple[np.ndarray, np.ndarray]], sources: int) -> np.ndarray:
+    """The answers for the patterns of some sources (a row each) after the rounds of which `history` has the sums over all
+    sources, of the patterns for yes and for no."""
+    level = np.indices(tuple(LEVELS.values())).reshape(len(LEVELS), -1)
+    yes = np.broadcast_to(np.array(FIRST)[level[0]], counts.shape)
+    for a, b in history:
+        score = np.full(counts.shape[1], np.log((a.sum() + 1) / (b.sum() + 1)))
+        for code, size in zip(level, LEVELS.values(), strict=True):
+            seen = np.bincount(code, a + b, size) > 0
+            x, y = ((np.bincount(code, v, size) + 1) * seen for v in (a, b))
+            score += np.log(np.where(seen, x / x.sum(), 1) / np.where(seen, y / y.sum(), 1))[code]
+        x, y = ((counts * v).sum(1) + 1 for v in (yes, 1 - yes))
+        score = score + np.log(x / (a.sum() + sources) / (y / (b.sum() + sources)))[:, None]
+        yes = 1 / (1 + np.exp(-np.clip(score, -30, 30)))
+    return yes
+
+
+def learn_apart(counted: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+    """`learn` for any number of sources: (lex, sec, adr, src, posterior) of the patterns in (lex, sec, adr, src, n). Only sums
+    over all sources, of 54 numbers, reach the driver."""
+    size = int(np.prod([*LEVELS.values()]))
+    cell = (F.col("lex") * LEVELS["sec"] + F.col("sec")) * LEVELS["adr"] + F.col("adr")
+    table = materialize(counted.groupBy("src").agg(F.collect_list(F.struct(cell.cast("int").alias("cell"), "n")).alias("cells")))
+    sources = table.count()
+
+    def counts_of(batch):
+        out = np.zeros((batch.num_rows, size))
+        for i, cells in enumerate(batch.column("cells").to_pylist()):
+            for c in cells:
+                out[i, c["cell"]] += c["n"]
+        return out
+
+    history: list[tuple[np.ndarray, np.ndarray]] = []
+    for _ in range(rounds):
+
+        def sums(batches, history=tuple(history)):
+            a, b = np.zeros(size), np.zeros(size)
+            for batch in batches:
+                counts = counts_of(batch)
+                yes = _replayed(counts, history, sources)
+                a += (counts * yes).sum(0)
+                b += (counts * (1 - yes)).sum(0)
+            yield pa.RecordBatch.from_arrays([pa.array([a.tolist()], pa.list_(pa.float64())), pa.array([b.tolist()], pa.list_(pa.float64()))], names=["a", "b"])
+
+        parts = table.mapInArrow(sums, "a array<double>, b array<double>").collect()
+        history.append((np.sum([r.a for r in parts], 0), np.sum([r.b for r in parts], 0)))
+
+    def answers(batches):
+        for batch in batches:
+            counts = counts_of(batch)
+            i, c = np.nonzero(counts)
+            levels = np.unravel_index(c, tuple(LEVELS.values()))
+            yes = _replayed(counts, history, sources)[i, c]
+            yield pa.RecordBatch.from_arrays([*[pa.array(x.astype(np.int32)) for x in levels], batch.column("src").take(pa.array(i)), pa.array(yes)], names=["lex", "sec", "adr", "src", "posterior"])
+
+    return table.mapInArrow(answers, "lex int, sec int, adr int, src string, posterior double")
+
+
 def subject_posteriors(documents: DataFrame, labels: DataFrame, areas: DataFrame, apps: DataFrame) -> DataFrame:
     """(doc_id, subject, share, posterior) of every pair of a document and a subject that it mentions. `areas` is a fixed
     small table of subjects."""
@@ -391,11 +455,15 @@ def subject_posteriors(documents: DataFrame, labels: DataFrame, areas: DataFrame
     lexicon = grow_lexicon(documents, fit_lexicon(documents, labels, subjects))
     pairs = materialize(votes(documents, apps, lexicon))
     cols = ["lex", "sec", "adr", "src"]
-    patterns = [(tuple(r[c] for c in cols), r["n"]) for r in pairs.groupBy(*cols).agg(F.count(F.lit(1)).alias("n")).collect()]
-    learned = [(*p, x) for p, x in learn(sorted(patterns)).items()]
-    posterior = spark.createDataFrame(learned, "lex int, sec int, adr int, src int, posterior double")
+    counted = materialize(pairs.groupBy(*cols).agg(F.count(F.lit(1)).alias("n")))
+    few = counted.limit(MOST_PATTERNS + 1).collect()
+    if len(few) > MOST_PATTERNS:
+        posterior = learn_apart(counted)
+    else:
+        learned = [(*p, x) for p, x in learn(sorted((tuple(r[c] for c in cols), r["n"]) for r in few)).items()]
+        posterior = F.broadcast(spark.createDataFrame(learned, "lex int, sec int, adr int, src string, posterior double"))
     name = F.element_at(F.array(*map(F.lit, subjects)), F.col("k") + 1) if subjects else F.lit("")
-    return pairs.join(F.broadcast(posterior), cols).select("doc_id", name.alias("subject"), "share", "posterior")
+    return pairs.join(posterior, cols).select("doc_id", name.alias("subject"), "share", "posterior")
 
 
 def subjects_found(documents: DataFrame, labels: DataFrame, areas: DataFrame, apps: DataFrame) -> DataFrame:

@@ -193,6 +193,29 @@ def test_the_model_learns_which_vote_to_trust():
     assert learn([]) == {}
 
 
+@pytest.mark.parametrize("most", [1, 20_000])
+def test_every_source_has_its_own_vote(spark, monkeypatch, most):
+    rng, docs = random.Random(5), []
+    for k in range(1200):
+        source = f"source {k % 100}" if k % 7 else None
+        docs.append((k, document(rng, ["food", "law"][k % 2], ["law", "food"][k % 2] if k % 3 else None, 1 + k % 11), source, ""))
+    d = spark.createDataFrame(docs, "doc_id long, text string, source string, contract_key string")
+    labels = spark.createDataFrame([(k, ["food", "law"][k % 2]) for k in range(400)], "doc_id long, subject string")
+    areas = spark.createDataFrame([("law",), ("food",)], "subject string")
+    apps = spark.createDataFrame([], "contract_key string, title string, description string")
+    monkeypatch.setattr(subjects, "MOST_PATTERNS", most, raising=False)
+    got = {(r.doc_id, r.subject): r.posterior for r in subject_posteriors(d, labels, areas, apps).collect()}
+    found = subjects.votes(d, apps, grow_lexicon(d, fit_lexicon(d, labels, ["food", "law"]))).collect()
+    own = {i: str(source) for i, _, source, _ in docs}
+    patterns = {}
+    for r in found:
+        p = (r.lex, r.sec, r.adr, own[r.doc_id])
+        patterns[p] = patterns.get(p, 0) + 1
+    p = learn(sorted(patterns.items()))
+    assert len({r.src for r in found}) == 101
+    assert got == pytest.approx({(r.doc_id, ["food", "law"][r.k]): p[r.lex, r.sec, r.adr, own[r.doc_id]] for r in found}, abs=1e-6)
+
+
 def test_ambiguous_words_need_their_neighbour():
     rows = [("scores", 40, [20, 20]), ("orchestra scores", 20, [19.5, 0.5]), ("match", 20, [0.5, 19.5])]
     x = Lexicon(rows, ["music", "sport"], [0.5, 0.5])
