@@ -416,7 +416,7 @@ def pow_check(spark, d):
 
 
 def pow_token(spark, d):
-    return hashing.proof_of_work(spark, 16, 1 << 18)
+    return hashing.proof_of_work(spark, 16)
 
 
 # Pages and containers

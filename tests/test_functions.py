@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from corvane.functions import display, hashing, html, scoring, text
 from corvane.functions.identity import public_key, sign, verified, verify
 from corvane.operators.search import around, highlight
+from corvane.plans import queries
 
 
 def one(spark, column, **values):
@@ -114,6 +115,11 @@ def test_proof_of_work(spark):
     assert each(spark, hashing.leading_zero_bits(F.col("v")), digests) == [0, 4, 256, 15]
 
 
+def test_the_query_tries_the_whole_range_of_its_difficulty(spark, monkeypatch):
+    monkeypatch.setattr(hashing, "leading_zero_bits", lambda _: F.when(F.col("id") == 4_000_000, 16).otherwise(0))
+    assert queries.pow_token(spark, "").first().nonce == 4_000_000
+
+
 def test_scores(spark):
     def f(*a):
         return one(spark, scoring.tf_idf(*[F.lit(x) for x in a]))
