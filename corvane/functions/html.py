@@ -34,10 +34,14 @@ def tag_text(html: Column, tag: str, keep_inner_tags: bool = False) -> Column:
 
 
 def _meta(html: Column, attribute: str, value: str) -> Column:
-    """The content of the tag around the first attribute="value"."""
-    needle = rf'{attribute}="{value}"'
-    tag = F.regexp_extract(html, rf"(?is)^(?:(?!{needle}).)*(<[^<]*?{needle}[^>]*>)", 1)
-    return _filled(F.regexp_extract(tag, r'(?is)content="([^"]*)"', 1))
+    """The content of the tag around the first attribute="value". The page is cut at that, the tag is what stands between the
+    last < before and the first > after: nothing is repeated over a group, which Java's expressions would do by recursion."""
+    needle = f'{attribute}="{value}"'
+    parts = F.split(html, f"(?i){needle}", 2)
+    before, after = F.get(parts, F.lit(0)), F.get(parts, F.lit(1))
+    tag = F.concat(F.substring_index(before, "<", -1), F.lit(needle), F.substring_index(after, ">", 1))
+    in_tag = before.contains("<") & F.coalesce(after, F.lit("")).contains(">")
+    return F.when(in_tag, _filled(F.regexp_extract(tag, r'(?is)content="([^"]*)"', 1)))
 
 
 def meta_content(html: Column, name: str) -> Column:

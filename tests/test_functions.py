@@ -164,6 +164,18 @@ def test_titles_and_descriptions(spark):
     assert dict(zip(PAGES, each(spark, html.description(F.col("v")), pages), strict=True)) == {k: d for k, (_, _, d) in PAGES.items()}
 
 
+@pytest.mark.parametrize("run", ["😀a", "é", "\U0001d5ba"])
+def test_long_pages_of_characters_of_any_width(spark, run):
+    body = run * (1_000_000 // len(run))
+    pages = [f'<p>{body}</p>', f'<p>{body}</p><meta name="description" content="D"><meta property="og:title" content="O">', f'<title>{body}</title>', f'<meta name="description" content="{body}">', f'{body}<script>{body}</script><style>{body}</style><body>{body}']
+    titles = each(spark, html.title(F.col("v")), pages)
+    assert [t and len(t) for t in titles] == [None, 1, len(body), None, None]
+    assert [d and len(d) for d in each(spark, html.description(F.col("v")), pages)] == [None, 1, None, len(body), None]
+    for column in (html.snippet, html.body_text, html.head):
+        sizes = [len((t or "").encode()) for t in each(spark, column(F.col("v")), pages)]
+        assert all(n > 190 for n in (sizes[0], sizes[1], sizes[2], sizes[4]))
+
+
 def test_snippets(spark):
     pages = {
         "<p>Hello</p><p>World</p> 5 > 3 <!-- c > d -->": "HelloWorld 5 3 d --", "<script>x < 1</script>a<STYLE>b{}</STYLE>c": "ac",
