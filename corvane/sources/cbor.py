@@ -37,6 +37,14 @@ def decode(raw: bytes) -> Any:
     return item
 
 
+def first_item(raw: bytes) -> Any:
+    """The item that `raw` begins with, whatever follows."""
+    try:
+        return _item(memoryview(raw), 0, 0)[0]
+    except (IndexError, struct.error, UnicodeDecodeError, RecursionError) as e:
+        raise Malformed(str(e)) from e
+
+
 def _length(raw: memoryview, at: int, low: int) -> tuple[int | None, int]:
     if low < 24:
         return low, at

@@ -16,9 +16,10 @@ from pyspark.sql import functions as F
 
 from ..functions import html as H
 from ..functions.hashing import metadata_hash
-from ..functions.identity import sign, verified
-from ..functions.text import first_bytes, first_chars, may_compose, normalize_composed, normalize_text
+from ..functions.identity import sign, verify
+from ..functions.text import first_bytes, first_chars, normalized
 from ..schemas import CONFIG
+from .cbor import Malformed, encode, first_item
 
 MOST_METADATA, MOST_WEB, MOST_TAR = 1024, 100 * 1024 * 1024, 30 * 1024 * 1024
 
@@ -40,7 +41,7 @@ def metadata_size(state: Column) -> Column:
 
 
 def web_size(state: Column) -> Column:
-    return _u64(state, F.lit(9) + metadata_size(state).cast("int"))
+    return _u64(state, F.lit(9) + metadata_size(state).try_cast("int"))
 
 
 def is_container(state: Column) -> Column:
@@ -130,14 +131,9 @@ def page_metadata(pages: DataFrame, html: str = "html", snippet_bytes: int = CON
     h, empty = F.col(html), F.lit("")
     limits = {"title": CONFIG.title_chars, "description": CONFIG.description_chars, "snippet": snippet_bytes, "mini_snippet": mini}
 
-    def extracted(rows: DataFrame, normal) -> DataFrame:
-        raw = rows.withColumns({"title": F.coalesce(H.title(h), empty), "description": F.coalesce(H.description(h), empty), "_visible": F.coalesce(H.visible_text(h), empty)}).drop(html)
-        cut = raw.withColumns({"snippet": first_bytes(F.col("_visible"), snippet_bytes), "mini_snippet": first_bytes(F.col("_visible"), mini)}).drop("_visible")
-        return cut.withColumns({c: first_chars(normal(F.col(c)), n) for c, n in limits.items()})
-
-    # The texts are parts of the page, so the page tells whether Python is needed, before anything is extracted.
-    needs = may_compose(h)
-    texts = extracted(pages.where(~needs), normalize_composed).union(extracted(pages.where(needs), normalize_text))
+    raw = pages.withColumns({"title": F.coalesce(H.title(h), empty), "description": F.coalesce(H.description(h), empty), "_visible": F.coalesce(H.visible_text(h), empty)}).drop(html)
+    cut = raw.withColumns({"snippet": first_bytes(F.col("_visible"), snippet_bytes), "mini_snippet": first_bytes(F.col("_visible"), mini)}).drop("_visible")
+    texts = normalized(cut, *limits).withColumns({c: first_chars(F.col(c), n) for c, n in limits.items()})
     return texts.withColumn("metadata_hash", metadata_hash(F.col("title"), F.col("description"), F.col("snippet")))
 
 
@@ -155,17 +151,33 @@ def extract_containers(states: DataFrame, state: str = "state") -> DataFrame:
     return page_metadata(pages.where("html IS NOT NULL"))
 
 
+def holds(key: bytes, state: bytes) -> bool:
+    """Whether the metadata of a container has a version above 0 and a signature of it and the packed bytes by the key. A
+    signature is an array of 64 small numbers, or a byte string of 64."""
+    size = int.from_bytes(state[:8], "big")
+    try:
+        meta = first_item(state[8 : 8 + size])
+        version, signature = meta["version"], bytes(meta["signature"])
+    except (Malformed, KeyError, TypeError, ValueError):
+        return False
+    if not isinstance(version, int) or not 0 < version < 1 << 32:
+        return False
+    web = int.from_bytes(state[8 + size : 16 + size], "big")
+    return verify(key, struct.pack(">I", version) + state[16 + size : 16 + size + web], signature)
+
+
 def signed_container(parameters: Column, state: Column) -> Column:
-    """boolean: whether a signed container holds: a key of 32 bytes or more, lengths within limits, a version above 0, and a
-    signature of the 32-bit version and the packed bytes by the key."""
-    meta, version = metadata_size(state), container_version(state)
-    digits = F.hex(state.substr(F.lit(9), meta.cast("int")))
-    # The signature is a CBOR byte string of 64 bytes, or an array of 64 small integers.
-    as_bytes = F.unhex(F.regexp_extract(digits, "^(?:..)*?697369676E61747572655840(.{128})", 1))
-    body = state.substr(F.lit(17) + meta.cast("int"), web_size(state).cast("int"))
-    message = F.concat(F.unhex(F.lpad(F.hex(version), 8, "0")), body)
-    shape = (F.octet_length(parameters) >= 32) & meta.between(0, MOST_METADATA) & (version > 0) & (version < 1 << 32) & web_size(state).between(0, MOST_WEB) & (F.octet_length(body) == web_size(state))
-    return F.coalesce(shape, F.lit(False)) & verified(F.substring(parameters, 1, 32), message, as_bytes)
+    """boolean: whether a signed container holds: a key of 32 bytes or more, of which the first 32 count, lengths within limits,
+    and what `holds` asks for. Only rows of the right shape go to Python; bytes after the container do not matter."""
+    meta = metadata_size(state)
+    shape = (F.octet_length(parameters) >= 32) & meta.between(1, MOST_METADATA) & web_size(state).between(0, MOST_WEB) & (F.octet_length(state) >= 16 + meta + web_size(state))
+
+    @F.arrow_udf("boolean")
+    def check(keys: pa.Array, states: pa.Array) -> pa.Array:
+        rows = zip(keys, states, strict=True)
+        return pa.array([k.is_valid and s.is_valid and holds(k.as_py(), s.as_py()) for k, s in rows], pa.bool_())
+
+    return check(F.when(shape, F.substring(parameters, 1, 32)), F.when(shape, state))
 
 
 def container_latest(current: DataFrame, updates: DataFrame) -> DataFrame:
@@ -186,8 +198,8 @@ def _head(n: int) -> bytes:
     return bytes([n]) if n < 24 else b"\x18" + bytes([n]) if n < 256 else b"\x19" + struct.pack(">H", n) if n < 65_536 else b"\x1a" + struct.pack(">I", n) if n < 1 << 32 else b"\x1b" + struct.pack(">Q", n)
 
 
-def pack(html: str, version: int, secret: bytes | None = None, name: str = "index.html") -> bytes:
-    """A container with one page; signed if a secret is given."""
+def pack(html: str, version: int, secret: bytes | None = None, name: str = "index.html", as_array: bool = True) -> bytes:
+    """A container with one page; signed if a secret is given, the signature as an array of numbers or as a byte string."""
     content = html.encode()
     header = bytearray(512)
     header[: len(name)] = name.encode()
@@ -200,7 +212,7 @@ def pack(html: str, version: int, secret: bytes | None = None, name: str = "inde
     web = out.getvalue()
     meta = (b"\xa2" if secret else b"\xa1") + b"\x67version" + _head(version)
     if secret:
-        meta += b"\x69signature\x58\x40" + sign(secret, struct.pack(">I", version) + web)
+        meta += b"\x69signature" + encode((list if as_array else bytes)(sign(secret, struct.pack(">I", version) + web)))
     return struct.pack(">Q", len(meta)) + meta + struct.pack(">Q", len(web)) + web
 
 

@@ -301,9 +301,10 @@ def test_signed_containers(spark, page):
     secret = bytes(range(32))
     key, good = public_key(secret), containers.pack(page, 7, secret)
     rows_ = [("good", key, good), ("nonce", key + b"extra", good), ("short key", key[:31], good), ("other key", public_key(bytes(32)), good), ("spoiled", key, good[:-1] + bytes([good[-1] ^ 1])), ("version 0", key, containers.pack(page, 0, secret)), ("unsigned", key, containers.pack(page, 7))]
+    rows_ += [("byte string", key, containers.pack(page, 7, secret, as_array=False)), ("trailing", key, good + b"x"), ("cut", key, good[:-1]), ("huge", key, b"\xff" * 40), ("null", None, good), ("no state", key, None)]
     df = spark.createDataFrame(rows_, "n string, k binary, s binary")
     got = {r.n: r.ok for r in df.select("n", containers.signed_container(F.col("k"), F.col("s")).alias("ok")).collect()}
-    assert got == {"good": True, "nonce": True, "short key": False, "other key": False, "spoiled": False, "version 0": False, "unsigned": False}
+    assert got == {"good": True, "nonce": True, "short key": False, "other key": False, "spoiled": False, "version 0": False, "unsigned": False, "byte string": True, "trailing": True, "cut": False, "huge": False, "null": False, "no state": False}
 
 
 def test_only_newer_containers_pass(spark):
