@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,6 +27,11 @@ def shard_for_word(word: Column, shards: int = 16) -> Column:
     return (_leading(F.sha2(word, 256), 8).cast("long") % shards).cast("short")
 
 
+def shard_of(word: str, shards: int = 16) -> int:
+    """The same for one word on the driver."""
+    return int.from_bytes(hashlib.sha256(word.encode()).digest()[:4], "big") % shards
+
+
 def leading_zero_bits(digest_hex: Column) -> Column:
     """How many of the digest's bits are zero before the first one."""
     nibble = F.regexp_instr(digest_hex, F.lit("[^0]"))

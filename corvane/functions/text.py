@@ -1,8 +1,8 @@
 """Normalized text and index words, in generated code wherever Spark has the operation.
 
 Spark has no Unicode normal forms. Composing (NFC) and the few letters whose accent-free form has several characters run
-in Arrow batches, on those rows only: the rows are split by a plain regular expression and united again, so text that
-needs neither never reaches Python.
+in Arrow batches: a plain regular expression tells which texts need it, and the others go there as nulls, so no text is
+sent that needs neither and the rows are read once.
 """
 
 from __future__ import annotations
@@ -87,14 +87,17 @@ def tokenize(text: Column) -> Column:
 
 
 def with_words(df: DataFrame, text: Column, out: str = "words") -> DataFrame:
-    """`df` with the index words of `text`, exact for every text."""
-    rare = F.coalesce(text.rlike(several_letters()), F.lit(False))
+    """`df` with the index words of `text`, exact for every text. One pass: to Python go the texts with `several_letters`, the
+    others as nulls."""
+    lowered = F.col("_lowered_text")
+    rare = F.coalesce(lowered.rlike(several_letters()), F.lit(False))
 
     @F.arrow_udf("string")
     def plain_text(texts: pa.Array) -> pa.Array:
         return pa.array([t if t is None else plain(t) for t in texts.to_pylist()], pa.string())
 
-    return df.where(~rare).withColumn(out, tokenize(text)).union(df.where(rare).withColumn(out, _kept(F.split(plain_text(_lowered(text)), " "))))
+    plain_form = F.when(rare, plain_text(F.when(rare, lowered))).otherwise(plain_letters(lowered))
+    return df.withColumn("_lowered_text", _lowered(text)).withColumn(out, _kept(F.split(plain_form, " "))).drop("_lowered_text")
 
 
 def tokenize_text(text: str) -> list[str]:
@@ -143,10 +146,15 @@ def normalize_composed(text: Column) -> Column:
     return _collapsed(F.translate(text, "\ufeff", ""))
 
 
+def normalize_sparing(text: Column) -> Column:
+    """`normalize_text`, to which texts that composing cannot change go as nulls."""
+    needs = may_compose(text)
+    return F.when(needs, normalize_text(F.when(needs, text))).otherwise(normalize_composed(text))
+
+
 def normalized(df: DataFrame, *cols: str) -> DataFrame:
-    """`df` with these columns normalized. Rows that composing cannot change stay in the JVM."""
-    needs = may_compose(F.concat_ws("", *cols))
-    return df.where(~needs).withColumns({c: normalize_composed(F.col(c)) for c in cols}).union(df.where(needs).withColumns({c: normalize_text(F.col(c)) for c in cols}))
+    """`df` with these columns normalized, in one pass: only texts that composing can change go to Python."""
+    return df.withColumns({c: normalize_sparing(F.col(c)) for c in cols})
 
 
 def first_chars(text: Column, n: int) -> Column:

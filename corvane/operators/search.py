@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.hashing import shard_for_word
+from ..functions.hashing import shard_of
 from ..functions.scoring import U32_MAX, combined_score, rank_score
 from ..functions.text import plain, tokenize_text
 from ..schemas import CONFIG
@@ -27,8 +27,8 @@ def matching_postings(postings: DataFrame, query: str, shards: int = CONFIG.shar
     terms = query_terms(postings, query)
     if terms is None:
         return postings.where(F.lit(False)).withColumns({"times": F.lit(0), "pos": F.lit(0)})
-    words = [r.word for r in terms.collect()]
-    at = sorted({int(r[0]) for r in terms.select(shard_for_word(F.col("word"), shards)).collect()})
+    words = [*dict.fromkeys(tokenize_text(query))]
+    at = sorted({shard_of(w, shards) for w in words})
     return postings.where(F.col("shard_id").isin(at) & F.col("word").isin(words)).join(F.broadcast(terms), "word")
 
 
