@@ -7,13 +7,24 @@ the blocks of the page, so every block is judged in the context of the whole doc
 probability that the block is furniture of the site.
 
 There are no true labels. The labeller is fitted on the driver on at most `FIT_PAGES` pages (those of smallest hash, the
-same ones at any number of partitions); their blocks are labelled by the cue phrases below, which stand at the beginning
-of a block in the known languages, and by the words of navigation lists. The weights have a fixed size (about 0.7 MB) and go
-to the executors; every page is then labelled there in Arrow batches, without a shuffle.
+same ones at any number of partitions), whose blocks get weak labels from five votes (`votes_of`):
+
+* wording - whether the block begins with one of the common phrases below, and its share of common words of site furniture;
+* matter  - its share of words that belong to the matter of a page: words that stand in several blocks of the pages that have
+  them, far more often than their number of pages lets expect. Counted over all pages;
+* copies  - under how many different keys the same block stands, as a share of the pages. Counted over all pages;
+* shape   - sentence, list of items, label with items, few words;
+* place   - description, first or last lines, inside.
+
+How reliable each vote is, is learned without labels by expectation maximisation over the counts of vote patterns, and the
+labeller is fitted on the posteriors. The counts go over all pages in one pass, and only for words and blocks that the fitted
+pages have, so what reaches the driver is bounded by these. The weights have a fixed size (about 0.7 MB) and go
+to the executors; every page is then labelled there in Arrow batches, without a shuffle. A fitted labeller can be kept
+(`save_labeller`, `load_labeller`) and applied to other pages.
 
 Defined results: null and empty texts have no blocks; blank lines are no cases and stay out of the cleaned text; lines end
 at a line feed and count from 1, blank ones too; pages and lines of any number and length are read whole; equal pages get
-equal labels. With no page to fit on, no block is furniture. Other columns play no part.
+equal labels. With no page to fit on, no block is furniture. A null group counts as no key. Other columns play no part.
 """
 
 from __future__ import annotations
@@ -21,11 +32,13 @@ from __future__ import annotations
 import re
 import zlib
 from collections import Counter
+from collections.abc import Iterable
+from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .forms import transducer
@@ -34,35 +47,58 @@ from .forms import transducer
 FIT_PAGES, STEPS, BATCH = 3000, 300, 64
 BUCKETS, PATHS, WIDTH, HIDDEN, KNOWN = 8192, 512, 20, 24, 4
 
-# How furniture of sites begins, in the consistent form, lower case, digits as 0.
-CUES = """
-skip to content;back to top;terms of use;report a problem;copyright 0 the ;© 0;« previous 0;follow us on ;enjoying ;by browsing this page
-share this page;log in to leave;0 readers online;sign up for our newsletter;this site stores small files;filter by:;recent posts recent
-cookies help us;you might also like;accept necessary;we use cookies;trending now;your privacy matters;advertisement;powered by ;related apps
-you are here:;tags: ;similar apps
-zum inhalt springen;nach oben;impressum |;erstellt mit ;seite teilen;jetzt rundbrief;ähnliche apps;zum kommentieren;datenschutz-einstellungen
-wir verwenden cookies;mit der nutzung dieser;werbung;du bist hier;schlagwörter
-aller au contenu;haut de page;mentions légales |;propulsé par ;partager :;nous utilisons des cookies;applications similaires;abonnez-vous à
-gérer mes choix;en poursuivant, vous;connectez-vous pour;publicité;vous êtes ici
-saltar al contenido;volver arriba;aviso legal |;funciona con ;compartir:;usamos cookies;apps similares;apps parecidas;suscríbete al;al continuar aceptas
-gestionar preferencias;entra para comentar;publicidad;estás aquí
+#: From how many pages a word can be told to be matter of pages, and how much more often than by chance it stands in several blocks.
+LEAST_PAGES, MATTER = 4, 3.0
+ROUNDS = 30
+
+#: Common phrases with which furniture of sites begins, lower case.
+PHRASES = """
+skip to content;back to top;terms of use;privacy policy;copyright 0;©;all rights reserved;follow us;share this;sign up for;log in to;we use cookies
+cookies help us;accept all;advertisement;powered by;related ;you might also like;you are here;tags:;filter by;recent posts;trending now;report a problem
+zum inhalt springen;nach oben;impressum;erstellt mit;seite teilen;newsletter;ähnliche ;wir verwenden cookies;werbung;du bist hier;schlagwörter
+aller au contenu;haut de page;mentions légales;propulsé par;partager;nous utilisons des cookies;abonnez-vous;publicité;vous êtes ici;connectez-vous
+saltar al contenido;volver arriba;aviso legal;funciona con;compartir;usamos cookies;suscríbete;publicidad;estás aquí
 """
-#: What navigation lists are made of.
+#: What navigation lists are made of.
 NAVIGATION = """
 about archive blog boards contact download faq gallery help home log in members news search settings sign up
 anmelden archiv hilfe impressum kontakt mitglieder neuigkeiten startseite suche über uns
 accueil actualités aide archives à propos connexion contact membres mentions légales recherche
 acerca de archivo aviso legal ayuda buscar contacto entrar inicio miembros noticias
 """
-_CUES = tuple(c for line in CUES.strip().split("\n") for c in line.split(";"))
-_PARTS = (" runs on 0 nodes", " partners process data such as", " collective. all rights reserved")
+#: Other common words of furniture.
+COMMON = """
+accept account advertisement agree allow also apps back categories comment comments consent content contributors cookie cookies copy copyright daily
+device follow forum friends guests imprint leave licence license like liked link login logout manage menu might miss navigation necessary
+newest newsletter next nodes oldest online policy popular powered preferences previous print privacy problem profile rating readers
+recent recommended register reject related reply report reserved rights send share similar site sitemap skip sponsored status stores subscribe
+systems tags tell terms theme tips top trending updates use version visit browsing choices collective continuing partners
+abonnieren ablehnen akzeptieren anzeige beliebt dateien datenschutz drucken einstellungen einwilligung erlauben erstellt folgen gerät inhalt
+kommentieren kopieren nutzung nutzungsbedingungen notwendige oben rechte registrieren rundbrief schlagwörter seite senden speichern springen
+stimmst teilen urheberrecht verwandte verwenden vorbehalten werbung zustimmen ähnliche
+abonnez accepter acceptez aller améliorer appareil applications choix commentaire commenter conditions confidentialité connectez contenu copier
+droits enregistrement envoyer fichiers gérer haut imprimer inscription lettre partager poursuivant propulsé préférences publicité refuser réservés
+similaires suivez utilisons êtes ici
+aceptar aceptas aquí archivos arriba boletín comentar comentario compartir contenido continuar copiar derechos dispositivo enviar estás funciona
+gestionar guardemos imprimir mejorar parecidas preferencias privacidad publicidad rechazar registrarse reservados saltar similares suscríbete
+síguenos usamos volver
+"""
+#: Function words by which the language of a page is told, as words are rare or frequent within one.
+TONGUES = {"en": "the and of with from this", "de": "der die das und mit von", "fr": "les des et une dans pour", "es": "los las el una con por"}
+_TONGUE = {w: t for t, ws in TONGUES.items() for w in ws.split()}
+_OPENINGS = tuple(c for line in PHRASES.strip().split("\n") for c in line.split(";"))
 _NAV = sorted({w for w in NAVIGATION.split()}, key=len, reverse=True)
 _NAV_LINE = re.compile(rf"(?:(?:{'|'.join(_NAV)})[\s|/·»>,•]*){{2,}}[^\s|/·»>,]{{0,10}}")
+#: Words of furniture of more than two letters, without those that any sentence may have.
+FURNITURE_WORDS = frozenset(w for w in (NAVIGATION + COMMON).split() if len(w) > 2 and w != "about")
 _LEAD = re.compile(r"^(?:\[x\] ?|[^\w«©]+)+")
 _TAIL = re.compile(r"(?:\s*(?:\[\d+\]|ok|✕|▼))*\W*$")
 _WORDS = re.compile(r"[^\W\d_]+|\d+")
 #: Where one block may have run into the next.
 _JOINS = re.compile(r" [·|] |(?<=[a-zäöüéàß.])(?=[A-ZÄÖÜÉÀ©])")
+_ITEMS = re.compile(r"\s[|/·»>,•]\s|, ")
+_END = re.compile(r"[.!?…]\W*$")
+_LABEL = re.compile(r"\W*[^:]{2,24}: ")
 _HUMP = re.compile(r"(?<=[^\W\d_A-ZÄÖÜÉÀ])(?=[A-ZÄÖÜÉÀ])")
 
 
@@ -72,12 +108,73 @@ def bare(form: str) -> str:
 
 
 def cue(form: str) -> bool:
-    """Whether a block, in consistent form, begins as furniture does or is a navigation list."""
-    t = bare(form)
-    if t.startswith(_CUES) or any(p in t for p in _PARTS) or _NAV_LINE.fullmatch(t):
-        return True
-    parts = [bare(p) for p in _JOINS.split(form)]
-    return len(parts) > 1 and any(p.startswith(_CUES) or _NAV_LINE.fullmatch(p) for p in (parts[0], parts[-1]))
+    """Whether a block, in consistent form, or a part of it begins with a common phrase of furniture or is a navigation list."""
+    parts = [bare(form), *(map(bare, joined) if len(joined := _JOINS.split(form)) > 1 else ())]
+    return any(p.startswith(_OPENINGS) or _NAV_LINE.fullmatch(p) for p in (parts[0], parts[min(1, len(parts) - 1)], parts[-1]))
+
+
+def tongue_of(forms: Iterable[str]) -> str:
+    """The language of most function words of a page, empty without any."""
+    seen = Counter(t for f in forms for w in _WORDS.findall(f.lower()) if (t := _TONGUE.get(w)))
+    return min(seen, key=lambda t: (-seen[t], t)) if seen else ""
+
+
+@dataclass
+class Counts:
+    """Over all pages: their number by language, of each word of a language how many pages have it and how many have it in
+    several blocks, of each bare block under how many keys it stands."""
+
+    pages: dict[str, int]
+    words: dict[tuple[str, str], tuple[int, int]]
+    blocks: dict[str, int]
+
+    def frequent(self, tongue: str, word: str) -> bool:
+        return self.words.get((tongue, word), (0, 0))[0] >= LEAST_PAGES
+
+    def matter(self, tongue: str, word: str) -> bool:
+        n, several = self.words.get((tongue, word), (0, 0))
+        return n >= LEAST_PAGES and word not in FURNITURE_WORDS and several * self.pages.get(tongue, 0) >= MATTER * n * n
+
+
+#: How many levels each vote has: wording, matter, shape with and without words of furniture, copies, place.
+LEVELS = (5, 3, 12, 4, 5)
+
+
+def votes_of(page: list[tuple[int, str]], counts: Counts) -> list[tuple[int, ...]]:
+    """The votes on each block of a page."""
+    lines, tongue, pages, out = sum(1 for n, _ in page if n), tongue_of(f for _, f in page), sum(counts.pages.values()), []
+    for step, (n, form) in enumerate(page):
+        words, nth = split_words(form), step - (len(page) - lines)
+        weighty = [w for w in words if w in FURNITURE_WORDS or (len(w) > 3 and counts.frequent(tongue, w))]
+        share = sum(w in FURNITURE_WORDS for w in words) / max(1, len(weighty))
+        matter = len({w for w in words if counts.matter(tongue, w)}) / max(1, len(weighty))
+        copies, ended, items = counts.blocks.get(bare(form), 0), bool(_END.search(form)), len(_ITEMS.findall(form))
+        wording = 4 if cue(form) else 0 if share == 0 else 1 if share < 1 / 3 else 2 if share < 2 / 3 else 3
+        if ended and matter and items < 3 and wording < 4:  # a sentence on the matter of the page may name such words
+            wording = min(wording, 1)
+        if not ended and len(words) <= 14 and _LABEL.match(form):
+            shape = 5
+        else:
+            shape = 0 if len(words) >= 9 and ended and items < 3 else 1 if items >= 2 else 2 if len(words) <= 3 else 3 if ended else 4
+        place = 0 if n == 0 else 1 if nth == 0 else 2 if nth == lines - 1 else 3 if nth in (1, lines - 2) else 4
+        rate = copies / max(1, pages)
+        out.append((wording, 0 if matter == 0 else 1 if matter < 0.3 else 2, 2 * shape + (share >= 0.2), 0 if copies < 2 else 1 if rate < 0.003 else 2 if rate < 0.02 else 3, place))
+    return out
+
+
+def agreed(votes: np.ndarray, rounds: int = ROUNDS) -> np.ndarray:
+    """The posterior of each row of votes under a model in which they are independent given the hidden answer. It starts from
+    the wording, and from the matter where the wording says nothing."""
+    patterns, at, n = np.unique(votes, axis=0, return_inverse=True, return_counts=True)
+    wording, matter = patterns[:, 0], patterns[:, 1]
+    yes = np.select([wording == 4, (wording == 3) & (matter == 0), (wording == 2) & (matter == 0), matter > 0], [0.97, 0.7, 0.5, 0.03], 0.1)
+    for _ in range(rounds):
+        score = np.full(len(patterns), np.log((n @ yes + 1) / (n @ (1 - yes) + 1)))
+        for j, size in enumerate(LEVELS):
+            a, b = np.bincount(patterns[:, j], n * yes, size) + 1, np.bincount(patterns[:, j], n * (1 - yes), size) + 1
+            score += np.log(a / a.sum() / (b / b.sum()))[patterns[:, j]]
+        yes = 1 / (1 + np.exp(-np.clip(score, -30, 30)))
+    return yes[at.reshape(-1)]
 
 
 def path_of(form: str, description: bool, nth: int, of: int) -> list[str]:
@@ -234,7 +331,7 @@ class Labeller:
         np.add.at(grad["paths"], f.paths.reshape(-1), np.repeat(dx[:, WIDTH:] / f.paths.shape[1], f.paths.shape[1], 0))
         return grad
 
-    def fit(self, pages: list[list[tuple[int, str]]], labels: list[list[bool]], steps: int = STEPS, rate: float = 0.01) -> Labeller:
+    def fit(self, pages: list[list[tuple[int, str]]], labels: list[list[float]], steps: int = STEPS, rate: float = 0.01) -> Labeller:
         """Adam on the mean cross-entropy, pages of similar length together, in an order fixed by the seed. Words of fewer than
         `KNOWN` of the pages are left unknown, so that the labeller learns what to make of those it will not know."""
         seen = Counter(w for page in pages for w in {w for _, form in page for w in split_words(form)})
@@ -255,20 +352,93 @@ class Labeller:
         return self
 
 
-def fit_labeller(pages: DataFrame, most: int = FIT_PAGES) -> Labeller | None:
-    """Fitted on the `most` different pages of smallest hash; None without pages. A first cut by the hash keeps what reaches
-    the driver near `most` rows at any size; copies may leave it a little short of them."""
-    near = int(min(1.0, 1.5 * most / max(1, pages.count())) * (1 << 30)) + (1 << 12)
-    hashed = pages.select("description", "snippet", F.shiftrightunsigned(F.xxhash64("description", "snippet"), 34).alias("h")).where(F.col("h") < near)
+def page_blocks(pages: DataFrame, key: str, group: str) -> DataFrame:
+    """(id, key, numbers, forms, lines): the blocks of each page, `key` its group; pages without blocks have empty lists."""
+    kinds = dict(pages.dtypes)
+
+    def read(batches):
+        for batch in batches:
+            rows = batch.to_pydict()
+            numbers, forms, lines = [], [], []
+            for description, snippet in zip(rows["description"], rows["snippet"], strict=True):
+                found, raw = blocks_of(description, snippet), (snippet or "").split("\n")
+                numbers.append([n for n, _ in found])
+                forms.append([f for _, f in found])
+                lines.append([raw[n - 1] if n else description for n, _ in found])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("key"), pa.array(numbers, pa.list_(pa.int32())), pa.array(forms, pa.list_(pa.string())), pa.array(lines, pa.list_(pa.string()))], names=["id", "key", "numbers", "forms", "lines"])
+
+    return pages.select(F.col(key).alias("id"), F.col(group).alias("key"), "description", "snippet").mapInArrow(read, f"id {kinds[key]}, key {kinds[group]}, numbers array<int>, forms array<string>, lines array<string>")
+
+
+def count_over(blocks: DataFrame, pages: list[list[tuple[int, str]]]) -> Counts:
+    """Counts over all of `blocks`, of the words and blocks of these pages. Tasks add up before anything is shuffled."""
+    wanted = ({w for page in pages for _, f in page for w in split_words(f)}, {bare(f) for page in pages for _, f in page})
+    shared = blocks.sparkSession.sparkContext.broadcast(wanted)
+
+    def count(batches):
+        words, forms = shared.value
+        got, stand = {}, set()
+
+        def flushed():
+            rows = [*((w, t, None, a, b) for (t, w), (a, b) in got.items()), *((f, None, k, 0, 0) for f, k in stand)]
+            got.clear()
+            stand.clear()
+            return pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], t) for j, t in enumerate((pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64()))], names=["what", "tongue", "key", "n", "several"])
+
+        for batch in batches:
+            for key, page in zip(batch.column("key").to_pylist(), batch.column("forms").to_pylist(), strict=True):
+                tongue, here = tongue_of(page), Counter(w for f in page for w in {*split_words(f)} & words)
+                for w, times in [*here.items(), ("", 1)]:
+                    a, b = got.get((tongue, w), (0, 0))
+                    got[tongue, w] = (a + 1, b + (times > 1))
+                if key is not None:
+                    stand.update((b, key) for f in page if (b := bare(f)) in forms)
+            if len(got) + len(stand) > 200_000:
+                yield flushed()
+        yield flushed()
+
+    counted = blocks.select(F.col("key").cast("string").alias("key"), "forms").mapInArrow(count, "what string, tongue string, key string, n bigint, several bigint")
+    per_key = counted.groupBy("what", "tongue", "key").agg(F.sum("n").alias("n"), F.sum("several").alias("several"))
+    rows = per_key.groupBy("what", "tongue").agg(F.sum("n").alias("n"), F.sum("several").alias("several"), F.count("key").alias("keys")).collect()
+    words = {(r.tongue, r.what): (r.n, r.several) for r in rows if r.tongue is not None}
+    return Counts({t: n for (t, w), (n, _) in words.items() if w == ""}, words, {r.what: r["keys"] for r in rows if r.tongue is None})
+
+
+def fit_labeller(blocks: DataFrame, most: int = FIT_PAGES) -> Labeller | None:
+    """Fitted on the `most` different pages of smallest hash of `page_blocks`; None without pages. A first cut by the hash keeps
+    what reaches the driver near `most` rows at any size; copies may leave it a little short of them."""
+    near = int(min(1.0, 1.5 * most / max(1, blocks.count())) * (1 << 30)) + (1 << 12)
+    hashed = blocks.select("numbers", "forms", F.shiftrightunsigned(F.xxhash64("numbers", "forms"), 34).alias("h")).where((F.col("h") < near) & (F.size("forms") > 0))
     sample = hashed.dropDuplicates(["h"]).orderBy("h").limit(most).collect()
-    blocks = [b for r in sorted(sample, key=lambda r: r.h) if (b := blocks_of(r.description, r.snippet))]
-    return Labeller().fit(blocks, [[cue(form) for _, form in page] for page in blocks]) if blocks else None
+    pages = [list(zip(r.numbers, r.forms, strict=True)) for r in sorted(sample, key=lambda r: r.h)]
+    if not pages:
+        return None
+    counts = count_over(blocks, pages)
+    labels = iter(agreed(np.array([v for page in pages for v in votes_of(page, counts)])).tolist())
+    return Labeller().fit(pages, [[next(labels) for _ in page] for page in pages])
+
+
+def save_labeller(spark: SparkSession, labeller: Labeller, path: str) -> None:
+    """As a table of weights and known words."""
+    rows = [(k, list(v.shape), v.tobytes(), None) for k, v in labeller.w.items()] + [("known", None, None, sorted(labeller.known or ()))]
+    spark.createDataFrame(rows, "name string, shape array<int>, weights binary, words array<string>").coalesce(1).write.mode("overwrite").parquet(path)
 
 
-def label_blocks(pages: DataFrame, key: str, labeller: Labeller | None) -> DataFrame:
-    """(key, line_no, line, furniture): all blocks of all pages as they stand, with the probability that each is furniture."""
-    kind = dict(pages.dtypes)[key]
-    shared = pages.sparkSession.sparkContext.broadcast((labeller.w, labeller.known) if labeller else None)
+def load_labeller(spark: SparkSession, path: str) -> Labeller:
+    out = Labeller()
+    for r in spark.read.parquet(path).collect():
+        if r.name == "known":
+            out.known = frozenset(r.words)
+        else:
+            out.w[r.name] = np.frombuffer(r.weights, np.float32).reshape(r["shape"])
+    return out
+
+
+def label_blocks(blocks: DataFrame, key: str, labeller: Labeller | None, lines: bool = True) -> DataFrame:
+    """(key, line_no, line, furniture): all of `page_blocks`, with the probability that each is furniture; without the column
+    `line` if `lines` is false."""
+    kind = dict(blocks.dtypes)["id"]
+    shared = blocks.sparkSession.sparkContext.broadcast((labeller.w, labeller.known) if labeller else None)
 
     def label(batches):
         model = Labeller() if shared.value is not None else None
@@ -277,29 +447,25 @@ def label_blocks(pages: DataFrame, key: str, labeller: Labeller | None) -> DataF
         for batch in batches:
             rows = batch.to_pydict()
             for a in range(0, len(rows["id"]), 512):
-                part = range(a, min(a + 512, len(rows["id"])))
-                found = [(k, blocks_of(rows["description"][k], rows["snippet"][k])) for k in part]
-                found = sorted(((k, b) for k, b in found if b), key=lambda x: len(x[1]))
-                for c in range(0, len(found), 64):
-                    group = found[c : c + 64]
-                    p = model.probabilities(model.features([b for _, b in group])) if model else np.zeros(sum(len(b) for _, b in group))
-                    ids, numbers, lines = [], [], []
-                    for k, b in group:
-                        raw = (rows["snippet"][k] or "").split("\n")
-                        ids += [rows["id"][k]] * len(b)
-                        numbers += [n for n, _ in b]
-                        lines += [raw[n - 1] if n else rows["description"][k] for n, _ in b]
-                    if ids:
-                        yield pa.RecordBatch.from_arrays([pa.array(ids, batch.schema.field("id").type), pa.array(numbers, pa.int64()), pa.array(lines, pa.string()), pa.array(p, pa.float64())], names=[key, "line_no", "line", "furniture"])
-
-    return pages.select(F.col(key).alias("id"), "description", "snippet").mapInArrow(label, f"`{key}` {kind}, line_no bigint, line string, furniture double")
-
-
-def main_content(pages: DataFrame, key: str) -> DataFrame:
+                part = sorted((k for k in range(a, min(a + 512, len(rows["id"]))) if rows["forms"][k]), key=lambda k: len(rows["forms"][k]))
+                for c in range(0, len(part), 64):
+                    group = part[c : c + 64]
+                    pages = [list(zip(rows["numbers"][k], rows["forms"][k], strict=True)) for k in group]
+                    p = model.probabilities(model.features(pages)) if model else np.zeros(sum(map(len, pages)))
+                    cols = [pa.array([rows["id"][k] for k, page in zip(group, pages, strict=True) for _ in page], batch.schema.field("id").type), pa.array([n for page in pages for n, _ in page], pa.int64())]
+                    cols += [pa.array([x for k in group for x in rows["lines"][k]], pa.string())] if lines else []
+                    yield pa.RecordBatch.from_arrays([*cols, pa.array(p, pa.float64())], names=names)
+
+    names = [key, "line_no", *["line"] * lines, "furniture"]
+    schema = ", ".join([f"`{key}` {kind}", "line_no bigint", *["line string"] * lines, "furniture double"])
+    return blocks.select("id", "numbers", "forms", *["lines"] * lines).mapInArrow(label, schema)
+
+
+def main_content(blocks: DataFrame, key: str, labeller: Labeller | None) -> DataFrame:
     """(key, description, snippet): of every page, only what the labeller takes for its own content, lines as they stand
     without trailing blanks. Null where nothing is left."""
-    blocks = label_blocks(pages, key, fit_labeller(pages)).where("furniture < 0.5")
+    own = label_blocks(blocks, key, labeller).where("furniture < 0.5")
     lines = F.sort_array(F.collect_list(F.when(F.col("line_no") > 0, F.struct("line_no", F.rtrim(F.regexp_replace("line", r"\s+$", "")).alias("line")))))
-    kept = blocks.groupBy(key).agg(F.max(F.when(F.col("line_no") == 0, F.col("line"))).alias("description"), F.concat_ws("\n", F.transform(lines, lambda x: x["line"])).alias("snippet"))
-    joined = pages.select(key).join(kept, key, "left")
+    kept = own.groupBy(key).agg(F.max(F.when(F.col("line_no") == 0, F.col("line"))).alias("description"), F.concat_ws("\n", F.transform(lines, lambda x: x["line"])).alias("snippet"))
+    joined = blocks.select(F.col("id").alias(key)).join(kept, key, "left")
     return joined.select(key, "description", F.when(F.col("snippet") != "", F.col("snippet")).alias("snippet"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .blocks import fit_labeller, label_blocks, main_content
+from .blocks import fit_labeller, label_blocks, main_content, page_blocks
 from .common import current, materialize, table
 from .distinctive import distinctive_cases, distinctive_terms
 from .forms import consistent_records, look_alikes
@@ -58,25 +58,27 @@ def _app_texts(spark: SparkSession, d: str) -> DataFrame:
     return app_text(apps, table(spark, d, "catalog_variant"))
 
 
-def _page_texts(spark: SparkSession, d: str) -> DataFrame:
-    """Written once, as the labeller's sample and its application both read it. The partitions by page are asked for, as few
-    bytes are much work here and adaptive execution would join them; the choice of the current row needs them anyway."""
-    rows = table(spark, d, "page_metadata").select("page_id", "captured_at", "description", "snippet")
-    return materialize(current(rows.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "page_id"), "page_id", "captured_at"))
+def _page_blocks(spark: SparkSession, d: str) -> DataFrame:
+    """Written once, as the labeller's sample, its counts and its application all read it. The partitions by page are asked for,
+    as few bytes are much work here and adaptive execution would join them; the choice of the current row needs them anyway."""
+    rows = table(spark, d, "page_metadata").select("page_id", "captured_at", "contract_key", "description", "snippet")
+    pages = current(rows.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "page_id"), "page_id", "captured_at")
+    return materialize(page_blocks(pages, "page_id", "contract_key"))
 
 
 def p3_blocks(spark: SparkSession, d: str) -> DataFrame:
-    pages = _page_texts(spark, d)
-    return label_blocks(pages, "page_id", fit_labeller(pages)).withColumn("furniture", F.round("furniture", 4))
+    blocks = _page_blocks(spark, d)
+    return label_blocks(blocks, "page_id", fit_labeller(blocks)).withColumn("furniture", F.round("furniture", 4))
 
 
 def p3_main(spark: SparkSession, d: str) -> DataFrame:
-    return main_content(_page_texts(spark, d), "page_id")
+    blocks = _page_blocks(spark, d)
+    return main_content(blocks, "page_id", fit_labeller(blocks))
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    pages = _page_texts(spark, d)
-    return label_blocks(pages, "page_id", fit_labeller(pages)).where("furniture >= 0.5").select("page_id", "line_no")
+    blocks = _page_blocks(spark, d)
+    return label_blocks(blocks, "page_id", fit_labeller(blocks), lines=False).where("furniture >= 0.5").select("page_id", "line_no")
 
 
 def p4_groups(spark: SparkSession, d: str) -> DataFrame:

@@ -42,7 +42,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize
-from .blocks import CUES, NAVIGATION
+from .blocks import NAVIGATION, PHRASES
 from .forms import altered, transducer
 
 #: Labels used at most, documents a term needs, and the lower bound of the share of its subject.
@@ -65,7 +65,7 @@ _SENTENCES = re.compile(r"(?<=[.!?…])\s+")
 
 
 #: The words that furniture of sites is made of; a sentence of mostly these is about no subject, whatever it names.
-_FURNITURE = {w for w in _WORDS.findall(CUES + NAVIGATION + " imprint nodes runs status systems normal collective rights reserved content licence contributors theme") if len(w) > 3}
+_FURNITURE = {w for w in _WORDS.findall(PHRASES + NAVIGATION + " imprint nodes runs status systems normal collective rights reserved content licence contributors theme") if len(w) > 3}
 _FURNITURE |= set("confidentialité conditions droits réservés datenschutz nutzungsbedingungen rechte vorbehalten privacidad condiciones derechos reservados".split())
 MOSTLY = 0.6
 #: Items of navigation lists may have run together.

@@ -3,7 +3,7 @@ import random
 import numpy as np
 import pytest
 
-from corvane.llm.blocks import Features, Labeller, blocks_of, cue, fit_labeller, label_blocks, main_content
+from corvane.llm.blocks import Counts, Features, Labeller, agreed, blocks_of, count_over, cue, fit_labeller, label_blocks, load_labeller, main_content, page_blocks, save_labeller, tongue_of, votes_of
 from corvane.llm import subjects
 from corvane.llm.forms import transducer
 from corvane.llm.subjects import Lexicon, fit_lexicon, grow_lexicon, learn, subject_posteriors, subjects_found
@@ -48,21 +48,22 @@ def test_gradient_is_the_slope():
 
 def test_blocks_are_told_apart(spark):
     rows, truth = pages()
-    df = spark.createDataFrame(rows, PAGES)
-    got = {(r.page_id, r.line_no): r.furniture >= 0.5 for r in label_blocks(df, "page_id", fit_labeller(df)).collect()}
+    df = page_blocks(spark.createDataFrame(rows, PAGES), "page_id", "page_id")
+    fitted = fit_labeller(df)
+    got = {(r.page_id, r.line_no): r.furniture >= 0.5 for r in label_blocks(df, "page_id", fitted).collect()}
     assert got.keys() == truth.keys()
     assert np.mean([got[k] == truth[k] for k in truth]) > 0.97
-    clean = {r.page_id: r for r in main_content(df, "page_id").collect()}
+    clean = {r.page_id: r for r in main_content(df, "page_id", fitted).collect()}
     assert clean.keys() == {r[0] for r in rows}
     assert all("Back to top" not in (r.snippet or "") and "\r" not in (r.snippet or "") for r in clean.values())
 
 
 def test_pages_without_blocks(spark):
-    df = spark.createDataFrame([(1, None, None, "x"), (2, "", "\n \r\n​", "x")], PAGES)
+    df = page_blocks(spark.createDataFrame([(1, None, None, "x"), (2, "", "\n \r\n​", "x")], PAGES), "page_id", "line")
     assert fit_labeller(df) is None
     assert label_blocks(df, "page_id", None).count() == 0
-    assert {tuple(r) for r in main_content(df, "page_id").collect()} == {(1, None, None), (2, None, None)}
-    assert main_content(df.limit(0), "page_id").count() == 0
+    assert {tuple(r) for r in main_content(df, "page_id", None).collect()} == {(1, None, None), (2, None, None)}
+    assert main_content(df.limit(0), "page_id", None).count() == 0
 
 
 def test_context_reaches_both_ways():
@@ -222,3 +223,57 @@ def test_ambiguous_words_need_their_neighbour():
     assert x.sentence(["orchestra", "scores"]) == 0
     assert x.sentence(["scores"]) == -1
     assert x.sentence(["match", "scores"]) == 1
+
+
+def matter_pages(n=300, seed=5):
+    """Pages each about one of ten matters; the furniture begins with no common phrase, and stands under many keys."""
+    rng, rows, truth = random.Random(seed), [], {}
+    matters = [[f"{c}{v}rk{x}n" for v in "aeio" for x in "aeiou"] for c in "bdfgklmprt"]
+    for k in range(n):
+        own = rng.choice(matters)
+        lines = [("Mitmachen · Rezensionen · Hilfe · Suche", True), ("Dernière modification, imprimer ou copier la page", True)][: rng.randint(0, 2)]
+        lines += [(f"The {rng.choice(own)} and the {rng.choice(own)} of {rng.choice(own)} from {rng.choice(own)} were seen in year {rng.randint(1, 99)}.", False) for _ in range(rng.randint(3, 7))]
+        lines += [("This site stores what the visitors of the page like", True), ("Back to top", True)][: rng.randint(0, 2)]
+        rows.append((k, None, "\n".join(x for x, _ in lines), f"key{k}"))
+        truth |= {(k, i): f for i, (_, f) in enumerate(lines, 1)}
+    return rows, truth
+
+
+def test_furniture_of_no_listed_wording_is_learned_from_counts(spark):
+    rows, truth = matter_pages()
+    df = page_blocks(spark.createDataFrame(rows, PAGES), "page_id", "line")
+    got = {(r.page_id, r.line_no): r.furniture >= 0.5 for r in label_blocks(df, "page_id", fit_labeller(df), lines=False).collect()}
+    forms = {(k, n): form for k, _, snippet, _ in rows for n, form in blocks_of(None, snippet)}
+    unlisted = [at for at, is_ in truth.items() if is_ and not cue(forms[at])]
+    assert len(unlisted) > 200
+    assert np.mean([got[at] for at in unlisted]) > 0.95
+    assert np.mean([got[at] for at, is_ in truth.items() if not is_]) < 0.02
+
+
+def test_counts_go_over_all_pages(spark):
+    rows = [(1, None, "The stone\nThe stone again", "a"), (2, None, "the stone", "b"), (3, None, "Menu", None), (4, None, "Menu", "a"), (5, None, "menu", "b"), (6, "x", None, "b")]
+    df = page_blocks(spark.createDataFrame(rows, PAGES).repartition(3), "page_id", "line")
+    counts = count_over(df, [[(1, "the stone"), (2, "menu")]])
+    assert counts == Counts({"en": 2, "": 4}, {("en", ""): (2, 0), ("", ""): (4, 0), ("en", "the"): (2, 1), ("en", "stone"): (2, 1), ("", "menu"): (3, 0)}, {"the stone": 2, "menu": 2})
+    assert tongue_of(["Der Stein und die Bank"]) == "de"
+    assert tongue_of(["12"]) == ""
+
+
+def test_votes_agree_on_hidden_answers():
+    page = [(0, "A page."), (1, "Back to top"), (2, "* 12")]
+    votes = votes_of(page, Counts({}, {}, {}))
+    assert [v[0] for v in votes] == [0, 4, 0]
+    assert [v[4] for v in votes] == [0, 1, 2]
+    p = agreed(np.array(votes * 5))
+    assert p.shape == (15,)
+    assert p[1] > p[0]
+
+
+def test_a_labeller_is_kept(spark, tmp_path):
+    rows, _ = pages(40)
+    df = page_blocks(spark.createDataFrame(rows, PAGES), "page_id", "line")
+    fitted = fit_labeller(df)
+    save_labeller(spark, fitted, str(tmp_path / "labeller"))
+    kept = load_labeller(spark, str(tmp_path / "labeller"))
+    answers = [sorted(tuple(r) for r in label_blocks(df, "page_id", m).collect()) for m in (fitted, kept)]
+    assert answers[0] == answers[1]
