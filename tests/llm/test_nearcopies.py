@@ -2,6 +2,7 @@ import itertools
 import random
 import re
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from corvane.llm import nearcopies
@@ -52,6 +53,39 @@ def test_dense_regions_are_searched_too(spark, monkeypatch):
     assert len(got) >= 0.98 * len(want), len(got) / len(want)
 
 
+def test_copies_are_compared_in_blocks(spark, monkeypatch):
+    """Texts that share nearly all words stay dense in every order, and labels are shared by more records than a task holds."""
+    monkeypatch.setattr(nearcopies, "REGION", 3)
+    monkeypatch.setattr(nearcopies, "SPLIT", 2)
+    base = " ".join(f"c{k}" for k in range(400))
+    rows = [(k, f"{base} u{k}", "c") for k in range(60)] + [(100 + k, base, "c") for k in range(7)] + [(200 + k, f"other text {k}", "c") for k in range(5)]
+    got = [tuple(r) for r in near_copy_pairs(spark.createDataFrame(rows, COLS), "id", F.col("text"), 0.7).collect()]
+    assert len(got) == len(set(got))
+    assert set(got) == brute(rows)
+
+
+def test_regions_are_as_deep_as_they_are_crowded(monkeypatch):
+    monkeypatch.setattr(nearcopies, "REGION", 2)
+    label = np.array([0x001002003004005, 0x001002003004005, 0x001002003004006, 0x001002009000000, 0x001002009000001, 0x001002009000001, 0x001002009000001, 0x005000000000000, 0x005000000000001])
+    region, dense = nearcopies._regions(np.zeros(9, np.int64), label, np.zeros(9, int), 3, 5)
+    assert dense.tolist() == [False] * 4 + [True] * 3 + [False] * 2
+    groups = [region[:2].tolist(), region[7:].tolist()]
+    assert all(len({*g}) == 1 for g in groups)
+    assert len({*region[[0, 2, 3, 7]].tolist()}) == 4
+    crowd = np.full(9, 1)
+    region, _ = nearcopies._regions(np.zeros(9, np.int64), label, crowd, 3, 5)
+    assert region[7] != region[8]
+    assert nearcopies._regions(np.zeros(9, np.int64), label, np.full(9, 2), 3, 5)[1].all()
+
+
+def test_near_pairs_within_regions():
+    sketch = np.zeros((6, 3), np.int64)
+    sketch[2] = -1
+    a, b = nearcopies._near(np.array([0, 0, 0, 4, 4, 7]), sketch, 50)
+    assert sorted(zip(a.tolist(), b.tolist())) == [(0, 1), (3, 4)]
+    assert [len(x) for x in nearcopies._near(np.zeros(0, np.int64), sketch[:0], 50)] == [0, 0]
+
+
 def test_groups_are_components(spark):
     rows = corpus(5, 40)
     got = {r.id: (r.group, r.links) for r in near_copy_groups(spark.createDataFrame(rows, COLS), "id", F.col("text"), 0.7).collect()}
