@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from .blocks import fit_labeller, label_blocks, main_content, page_blocks
 from .common import current, materialize, table
-from .distinctive import distinctive_cases, distinctive_terms
-from .forms import consistent_records, look_alikes
+from .distinctive import SIGNIFICANT, distinctive_cases, distinctive_terms, significant_terms
+from .forms import consistent_records, look_alike_groups, look_alikes
 from .mixture import mixture, packets, shares
 from .nearcopies import app_text, near_copy_groups, near_copy_pairs
 from .subjects import subject_posteriors, subjects_found
@@ -40,6 +40,10 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return distinctive_cases(_variants(spark, d), "variant_id", "contract_key", *TEXTS)
 
 
+def p1_distinctive(spark: SparkSession, d: str) -> DataFrame:
+    return significant_terms(p1_scores(spark, d)).select("variant_id", "term", "score")
+
+
 def p2_forms(spark: SparkSession, d: str) -> DataFrame:
     variants = consistent_records(_variants(spark, d), "variant_id", *TEXTS)
     pages = consistent_records(_pages(spark, d), "page_id", "title", "description", "snippet")
@@ -53,6 +57,14 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return a.union(b)
 
 
+def p2_groups(spark: SparkSession, d: str) -> DataFrame:
+    """The linear form of `p2_found`: every record of a pair with its class of equal texts and its group of equal looks."""
+    variants = look_alike_groups(_variants(spark, d), "variant_id", "title", "description")
+    pages = look_alike_groups(_pages(spark, d), "page_id", "title", "description")
+    a, b = (df.select(F.lit(tab).alias("tab"), "id", "class_id", "group_id") for tab, df in (("catalog_variant", variants), ("page_metadata", pages)))
+    return a.union(b)
+
+
 def _app_texts(spark: SparkSession, d: str) -> DataFrame:
     apps = current(table(spark, d, "app_entry").select("app_id", "last_seen", "contract_key", "title", "description"), "app_id", "last_seen")
     return app_text(apps, table(spark, d, "catalog_variant"))
@@ -133,7 +145,7 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return subjects_found(*_subject_tables(spark, d))
 
 
-QUERIES = {f.__name__: f for f in (p1_scores, p1_found, p2_forms, p2_found, p3_blocks, p3_main, p3_found, p4_groups, p4_found, p5_found, p5_records, p6_ids, p7_mixture, p7_shares, p8_posteriors, p8_composition, p8_found)}
+QUERIES = {f.__name__: f for f in (p1_scores, p1_distinctive, p1_found, p2_forms, p2_found, p2_groups, p3_blocks, p3_main, p3_found, p4_groups, p4_found, p5_found, p5_records, p6_ids, p7_mixture, p7_shares, p8_posteriors, p8_composition, p8_found)}
 
 _VARIANTS = """variants AS (
   SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY variant_id ORDER BY total_weight DESC NULLS LAST, contract_key DESC NULLS LAST,
@@ -173,6 +185,7 @@ picked AS (
 """
 SQL = {
     "p1_scores": _TERMS + "SELECT variant_id, term, tf, record_terms, total_tf, groups, round(score, 4) + 0.0 AS score FROM scored",
+    "p1_distinctive": _TERMS + f"SELECT variant_id, term, round(score, 4) AS score FROM scored WHERE round(score, 4) > {SIGNIFICANT}",
     "p1_found": _TERMS + "SELECT variant_id, term FROM scored WHERE score > 0 AND tf >= 3 AND groups BETWEEN 2 AND 8 AND regexp_matches(term, '^[a-z]{4,}$')",
     "p5_found": _SURVIVORS + "SELECT group_app_id, field, app_id FROM picked",
     "p5_records": _SURVIVORS

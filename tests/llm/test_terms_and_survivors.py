@@ -1,3 +1,4 @@
+import random
 import math
 import re
 from collections import Counter
@@ -5,7 +6,8 @@ from collections import Counter
 import pytest
 
 from corvane.llm.common import current
-from corvane.llm.distinctive import distinctive_cases, distinctive_terms
+from corvane.llm import distinctive
+from corvane.llm.distinctive import distinctive_cases, distinctive_terms, scored_cases, significant_terms
 from corvane.llm.survivors import app_survivors, surviving_records
 
 RECORDS = [
@@ -55,6 +57,7 @@ def test_cases_go_by_counts_where_the_term_is_rarer_than_elsewhere(spark):
 
 def test_no_rows_no_terms(spark):
     assert distinctive_terms(spark.createDataFrame([], COLS), "id", "grp", "a", "b").count() == 0
+    assert distinctive_cases(spark.createDataFrame([], COLS), "id", "grp", "a", "b").count() == 0
     one = distinctive_terms(spark.createDataFrame([(1, "k", "a a b", "", None)], COLS), "id", "grp", "a", "b", "c")
     assert {(r.term, r.score) for r in one.collect()} == {("a", 0.0), ("b", 0.0)}
 
@@ -95,3 +98,20 @@ def test_survivors_field_by_field(spark):
 
 def test_no_apps_no_groups(spark):
     assert app_survivors(spark.createDataFrame([], APPS), spark.createDataFrame([], VARIANTS)).count() == 0
+
+
+@pytest.mark.parametrize("most", [0, 200_000])
+def test_cases_are_those_of_all_scores(spark, monkeypatch, most):
+    """Whether the terms are broadcast or joined, terms of very many groups and a hot group included."""
+    monkeypatch.setattr(distinctive, "MOST_TERMS", most)
+    rng = random.Random(8)
+    words = [a + b + c for a in "bdfg" for b in "aeiou" for c in ("rk", "nt", "ll")]
+    rows = [(k, None if k % 17 == 0 else "hot" if k % 3 == 0 else f"key{k % 90}", " ".join(rng.choices(words[: 10 + k % 50], k=40)), f"rare{'abcdefghij'[k % 10]} " * (k % 5), None) for k in range(300)]
+    df = spark.createDataFrame(rows, COLS)
+    every = distinctive_terms(df, "id", "grp", "a", "b", "c")
+    want = {(r.id, r.term): (r.tf, r.record_terms, r.total_tf, r.groups, r.score) for r in every.where("tf >= 3 AND groups BETWEEN 2 AND 30 AND term RLIKE '^[a-z]{4,}$'").collect()}
+    got = scored_cases(df, "id", "grp", "a", "b", "c", groups=(2, 30)).collect()
+    assert len(got) == len({(r.id, r.term) for r in got})
+    assert {(r.id, r.term): (r.tf, r.record_terms, r.total_tf, r.groups, r.score) for r in got} == want
+    assert len(want) > 20
+    assert {r.score > 10.83 for r in significant_terms(every).collect()} == {True}
