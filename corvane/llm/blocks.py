@@ -251,6 +251,11 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
+def _summed(at: np.ndarray, rows: np.ndarray, size: int) -> np.ndarray:
+    """Rows added up by their number."""
+    return np.stack([np.bincount(at, rows[:, k], size) for k in range(rows.shape[1])], 1).astype(rows.dtype)
+
+
 class Labeller:
     """Bidirectional LSTM over block vectors with a logistic output; `w` holds all weights by name."""
 
@@ -326,9 +331,8 @@ class Labeller:
         d_top = d[:, :, None] * self.w["out"]
         dx = d_top[:, :, 2 * HIDDEN :] + self.back(x, kf, d_top[:, :, :HIDDEN], "f", grad) + self.back(x, kb, d_top[:, :, HIDDEN : 2 * HIDDEN], "b", grad)
         dx = dx.reshape(-1, 2 * WIDTH)[f.at]
-        grad["words"], grad["paths"] = np.zeros_like(self.w["words"]), np.zeros_like(self.w["paths"])
-        np.add.at(grad["words"], f.words, np.repeat(dx[:, :WIDTH] / f.counts[:, None], f.counts, 0))
-        np.add.at(grad["paths"], f.paths.reshape(-1), np.repeat(dx[:, WIDTH:] / f.paths.shape[1], f.paths.shape[1], 0))
+        grad["words"] = _summed(f.words, np.repeat(dx[:, :WIDTH] / f.counts[:, None], f.counts, 0), BUCKETS)
+        grad["paths"] = _summed(f.paths.reshape(-1), np.repeat(dx[:, WIDTH:] / f.paths.shape[1], f.paths.shape[1], 0), PATHS)
         return grad
 
     def fit(self, pages: list[list[tuple[int, str]]], labels: list[list[float]], steps: int = STEPS, rate: float = 0.01) -> Labeller:
