@@ -11,14 +11,18 @@ join it. So the words of languages and themes with few labels are found. All tha
 `MOST_GROWN` most frequent are broadcast, the rest reach the texts that hold them by a join on the word.
 
 Labelling functions, each giving every (document, subject) pair with any such sentence one of a few votes:
-* lexicon - the share of the document's sentences about the subject;
-* section - whether the subject stands in one or several of the document's sections (lines), and whether it leads one;
-* address - whether the app under the document's address is itself about the subject by its title and description;
+* lexicon - the share of the document's sentences about the subject, in `SHARES` steps around the definition's fifth;
+* section - what the headings of the document's sections say, by their own words, which are no sentences: that they name this
+  subject or only others; it abstains without such headings;
+* address - whether the app under the document's address is itself about the subject by its title and description; it abstains
+  without such an app;
 * source  - the kind of document, each source and null with a vote of its own.
 
-A latent model with one hidden yes or no per pair learns from all documents, without labels, how reliable each vote is
-(expectation maximisation over counts of vote patterns, of which there are at most 54 a source whatever the number of
-documents; more than `MOST_PATTERNS` of them stay in a table, one row a source, and each round is a sum over it). A document has a subject where the posterior is at least one half.
+A latent model with one hidden yes or no per pair starts from the lexicon's vote, whose meaning the definition gives: a fifth is
+yes, a twelfth no, and midway between them it is open (`FIRST`). It learns from all documents, without labels, how
+reliable the other votes are (expectation maximisation over counts of vote patterns, of which there are at most 63 a source
+whatever the number of documents; more than `MOST_PATTERNS` of them stay in a table, one row a source, and each round is a sum
+over it). A document has a subject where the posterior is at least one half.
 
 Plan: two passes over the texts in Arrow batches, one to grow the lexicon and one to vote; no text is shuffled, the votes are joined with the apps on the address
 (ids and numbers only), and vote patterns are counted with map-side combining before they reach the driver. Only where more
@@ -49,16 +53,16 @@ from .forms import altered, transducer
 FIT_LABELS, LEAST_DOCUMENTS, TELLING, AMBIGUOUS = 20_000, 4, 0.55, 0.28
 #: The same for words learned from texts without labels, and how many of these, of at most so many letters, are broadcast.
 LEAST_GROWN, TELLING_GROWN, MOST_GROWN, LONGEST_GROWN = 8, 0.6, 50_000, 64
-#: From these shares of sentences on, the lexicon's vote is one step higher; at least a fifth is the definition of a subject,
-#: at most a twelfth that of a passing mention.
-SHARES = (1 / 12 + 1e-9, 0.15)
+#: From these shares of sentences on, the lexicon's vote is one step higher. A fifth is the definition of a subject, a twelfth
+#: or less that of a passing mention.
+SHARES = (1 / 12 + 1e-9, 1 / 8, 0.15, 0.175, 0.2 - 1e-9, 0.3)
 ROUNDS = 40
 #: Patterns of votes that may reach the driver.
 MOST_PATTERNS = 20_000
 #: The votes other than the source, and how many levels each has.
-LEVELS = {"lex": 3, "sec": 6, "adr": 3}
-#: The answer that the lexicon's vote is taken for at first.
-FIRST = (0.02, 0.1, 0.95)
+LEVELS = {"lex": len(SHARES) + 1, "sec": 3, "adr": 3}
+#: How sure the definition makes of a subject at each of the lexicon's levels: even midway between a twelfth and a fifth, at 0.142.
+FIRST = (0.02, 0.2, 0.45, 0.7, 0.9, 0.97, 0.99)
 
 _WORDS = re.compile(r"[^\W\d_]+")
 _SENTENCES = re.compile(r"(?<=[.!?…])\s+")
@@ -147,32 +151,20 @@ class Lexicon:
         return max(score, key=lambda k: (score[k], -k)) if score and not furniture(words) else -1
 
     def read(self, text: str | None) -> list[tuple[int, float, int, int]]:
-        """(subject, share of sentences, vote of sections, sentences) of a text."""
+        """(subject, share of sentences, vote of the headings, sentences) of a text."""
         if not text or not self.word:
             return []
-        total, of, sections, leads, n_sections = 0, defaultdict(int), defaultdict(int), set(), 0
+        total, of, heads = 0, defaultdict(int), set()
         for heading, sentences in lines_of(text):
             here = [self.sentence(words) for words in sentences if len(words) > 1 or heading]
-            if not here:
-                continue
             if heading:
-                leads |= {k for k in here if k >= 0}
+                heads.update(k for k in here if k >= 0)
                 continue
-            n_sections += 1
             total += len(here)
             for k in here:
                 if k >= 0:
                     of[k] += 1
-            for k in {*here} - {-1}:
-                sections[k] += 1
-            first = next((k for k in here if k >= 0), -1)
-            if first >= 0:
-                leads.add(first)
-        out = []
-        for k, n in of.items():
-            spread = 0 if n_sections == 1 else 1 if sections[k] == 1 else 2
-            out.append((k, n / total, 2 * spread + (k in leads), total))
-        return sorted(out)
+        return sorted((k, n / total, (1 + (k in heads)) * bool(heads), total) for k, n in of.items())
 
     def evidence(self, text: str | None) -> tuple[int, set[str]]:
         """The one subject that a text is plainly about, -1 for none, and its words that the lexicon lacks, furniture
@@ -229,6 +221,13 @@ def fit_lexicon(documents: DataFrame, labels: DataFrame, subjects: list[str], mo
 
     def count(batches):
         got: dict[str, list[float]] = {}
+
+        def flushed():
+            cols = list(zip(*got.values(), strict=True)) if got else [[] for _ in range(len(names) + 1)]
+            out = pa.RecordBatch.from_arrays([pa.array(list(got), pa.string()), *[pa.array(c, pa.float64()) for c in cols]], names=["term", *names, "n"])
+            got.clear()
+            return out
+
         for batch in batches:
             for text, of in zip(batch.column("text").to_pylist(), batch.column("_subjects").to_pylist(), strict=True):
                 terms = set()
@@ -239,8 +238,9 @@ def fit_lexicon(documents: DataFrame, labels: DataFrame, subjects: list[str], mo
                     v[-1] += 1
                     for s in of:
                         v[index[s]] += 1 / len(of)
-        cols = list(zip(*got.values(), strict=True)) if got else [[] for _ in range(len(names) + 1)]
-        yield pa.RecordBatch.from_arrays([pa.array(list(got), pa.string()), *[pa.array(c, pa.float64()) for c in cols]], names=["term", *names, "n"])
+            if len(got) > 200_000:
+                yield flushed()
+        yield flushed()
 
     counted = texts.mapInArrow(count, "term string, " + ", ".join(f"{c} double" for c in [*names, "n"]))
     summed = counted.groupBy("term").agg(*[F.sum(c).alias(c) for c in [*names, "n"]])
@@ -368,23 +368,29 @@ def votes(documents: DataFrame, apps: DataFrame, lexicon: Lexicon) -> DataFrame:
     return joined.select("doc_id", "k", "share", lex.alias("lex"), "sec", adr.alias("adr"), F.coalesce(F.concat(F.lit("="), "source"), F.lit("")).alias("src"))
 
 
+def _anchor(level: np.ndarray) -> np.ndarray:
+    first = np.array(FIRST)[level]
+    return np.log(first / (1 - first))
+
+
 def learn(patterns: list[tuple[tuple, int]], rounds: int = ROUNDS) -> dict[tuple, float]:
-    """The posterior of each pattern (lexicon vote first) under a model in which the votes are independent given the hidden
-    answer. It starts from the definition: from a share of 0.15 on probably yes, below probably no."""
+    """The posterior of each pattern (lexicon vote first, source last) under a model in which the votes are independent given the
+    hidden answer. The lexicon's vote stands as the definition has it; level 0 of the votes between abstains."""
     if not patterns:
         return {}
     keys, n = [p for p, _ in patterns], np.array([c for _, c in patterns], float)
-    codes = []
-    for values in zip(*keys, strict=True):
-        levels = {v: i for i, v in enumerate(sorted(set(values)))}
-        codes.append((np.array([levels[v] for v in values]), len(levels)))
-    yes = np.array([FIRST[p[0]] for p in keys])
+    anchor, codes = _anchor(np.array([p[0] for p in keys])), []
+    columns = list(zip(*keys, strict=True))[1:]
+    for j, values in enumerate(columns):
+        speaks = np.array([j == len(columns) - 1 or v != 0 for v in values])
+        levels = {v: i for i, v in enumerate(sorted({v for v, s in zip(values, speaks, strict=True) if s}))}
+        codes.append((np.flatnonzero(speaks), np.array([levels[v] for v, s in zip(values, speaks, strict=True) if s], int), len(levels)))
+    yes = 1 / (1 + np.exp(-anchor))
     for _ in range(rounds):
-        ratio = np.log((n @ yes + 1) / (n @ (1 - yes) + 1))
-        score = np.full(len(keys), ratio)
-        for code, size in codes:
-            a, b = np.bincount(code, n * yes, size) + 1, np.bincount(code, n * (1 - yes), size) + 1
-            score += np.log(a / a.sum() / (b / b.sum()))[code]
+        score = anchor.copy()
+        for at, code, size in codes:
+            a, b = np.bincount(code, (n * yes)[at], size) + 1, np.bincount(code, (n * (1 - yes))[at], size) + 1
+            score[at] += np.log(a / a.sum() / (b / b.sum()))[code]
         yes = 1 / (1 + np.exp(-np.clip(score, -30, 30)))
     return dict(zip(keys, yes.tolist(), strict=True))
 
@@ -393,13 +399,15 @@ def _replayed(counts: np.ndarray, history: list[tuple[np.ndarray, np.ndarray]],
     """The answers for the patterns of some sources (a row each) after the rounds of which `history` has the sums over all
     sources, of the patterns for yes and for no."""
     level = np.indices(tuple(LEVELS.values())).reshape(len(LEVELS), -1)
-    yes = np.broadcast_to(np.array(FIRST)[level[0]], counts.shape)
+    anchor = _anchor(level[0])
+    yes = np.broadcast_to(1 / (1 + np.exp(-anchor)), counts.shape)
     for a, b in history:
-        score = np.full(counts.shape[1], np.log((a.sum() + 1) / (b.sum() + 1)))
-        for code, size in zip(level, LEVELS.values(), strict=True):
-            seen = np.bincount(code, a + b, size) > 0
-            x, y = ((np.bincount(code, v, size) + 1) * seen for v in (a, b))
-            score += np.log(np.where(seen, x / x.sum(), 1) / np.where(seen, y / y.sum(), 1))[code]
+        score = anchor.copy()
+        for code, size in list(zip(level, LEVELS.values(), strict=True))[1:]:
+            at = code > 0
+            seen = np.bincount(code[at], (a + b)[at], size) > 0
+            x, y = ((np.bincount(code[at], v[at], size) + 1) * seen for v in (a, b))
+            score += np.where(at, np.log(np.where(seen, x, 1) / max(x.sum(), 1) / (np.where(seen, y, 1) / max(y.sum(), 1)))[code], 0)
         x, y = ((counts * v).sum(1) + 1 for v in (yes, 1 - yes))
         score = score + np.log(x / (a.sum() + sources) / (y / (b.sum() + sources)))[:, None]
         yes = 1 / (1 + np.exp(-np.clip(score, -30, 30)))
@@ -408,7 +416,7 @@ def _replayed(counts: np.ndarray, history: list[tuple[np.ndarray, np.ndarray]],
 
 def learn_apart(counted: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """`learn` for any number of sources: (lex, sec, adr, src, posterior) of the patterns in (lex, sec, adr, src, n). Only sums
-    over all sources, of 54 numbers, reach the driver."""
+    over all sources, of 63 numbers, reach the driver."""
     size = int(np.prod([*LEVELS.values()]))
     cell = (F.col("lex") * LEVELS["sec"] + F.col("sec")) * LEVELS["adr"] + F.col("adr")
     table = materialize(counted.groupBy("src").agg(F.collect_list(F.struct(cell.cast("int").alias("cell"), "n")).alias("cells")))
@@ -467,6 +475,5 @@ def subject_posteriors(documents: DataFrame, labels: DataFrame, areas: DataFrame
 
 
 def subjects_found(documents: DataFrame, labels: DataFrame, areas: DataFrame, apps: DataFrame) -> DataFrame:
-    """(doc_id, subject) where the posterior is one half or more and, as an exact check, the share is no passing mention."""
-    scored = subject_posteriors(documents, labels, areas, apps)
-    return scored.where((F.col("posterior") >= 0.5) & (F.col("share") >= SHARES[1])).select("doc_id", "subject")
+    """(doc_id, subject) where the posterior is one half or more."""
+    return subject_posteriors(documents, labels, areas, apps).where("posterior >= 0.5").select("doc_id", "subject")

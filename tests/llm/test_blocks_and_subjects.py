@@ -183,17 +183,28 @@ def test_the_model_learns_which_vote_to_trust():
     patterns = {}
     for _ in range(4000):
         y = rng.random() < 0.6
-        lex = (2 if y else int(rng.integers(2))) if rng.random() < 0.9 else (1 if y else 2)
-        good, noise = int(y if rng.random() < 0.95 else not y), int(rng.integers(2))
+        lex = (5 if y else int(rng.integers(2))) if rng.random() < 0.9 else (1 if y else 5)
+        good, noise = 1 + int(y if rng.random() < 0.95 else not y), int(rng.integers(2))
+        if rng.random() < 0.1:
+            good = 0
         patterns[lex, good, noise] = patterns.get((lex, good, noise), 0) + 1
     p = learn(sorted(patterns.items()))
-    assert p[2, 1, 0] > 0.9
-    assert p[2, 1, 0] > p[2, 0, 0] + 0.2
-    assert p[1, 1, 0] > p[1, 0, 0] + 0.1
-    assert abs(p[2, 1, 0] - p[2, 1, 1]) < 0.1
+    assert p[5, 2, 0] > 0.9
+    assert p[5, 2, 0] > p[5, 1, 0] + 0.2
+    assert p[1, 2, 0] > p[1, 1, 0] + 0.1
+    assert p[1, 1, 0] < p[1, 0, 0] < p[1, 2, 0]
+    assert abs(p[5, 2, 0] - p[5, 2, 1]) < 0.1
     assert learn([]) == {}
 
 
+def test_headings_vote_by_their_own_words():
+    x = Lexicon([("marinades", 40, [38, 2]), ("treaties", 40, [2, 38])], ["food", "law"], [0.5, 0.5])
+    body = "We like marinades a lot. We sign treaties too."
+    assert [r[:3] for r in x.read(body)] == [(0, 0.5, 0), (1, 0.5, 0)]
+    assert [r[:3] for r in x.read(f"# Marinades today\n{body}")] == [(0, 0.5, 2), (1, 0.5, 1)]
+    assert [r[:3] for r in x.read(f"# Notes\n{body}")] == [(0, 0.5, 0), (1, 0.5, 0)]
+
+
 @pytest.mark.parametrize("most", [1, 20_000])
 def test_every_source_has_its_own_vote(spark, monkeypatch, most):
     rng, docs = random.Random(5), []
