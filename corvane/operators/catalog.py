@@ -126,14 +126,24 @@ def split_deltas(deltas: DataFrame, strict: bool = True) -> tuple[DataFrame, Dat
     return valid, rejected
 
 
-def apply_deltas(attestations: DataFrame, variants: DataFrame, facts: DataFrame, deltas: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """The three tables after valid deltas. The stored mini snippet is the delta's snippet; a repeated attestation is dropped
-    but its time, size and version still count."""
-    att = attestation_union(attestations, deltas.select(*attestations.columns))
+def add_attestations(attestations: DataFrame, deltas: DataFrame) -> DataFrame:
+    return attestation_union(attestations, deltas.select(*attestations.columns))
+
+
+def add_variants(variants: DataFrame, deltas: DataFrame) -> DataFrame:
+    """The stored mini snippet is the delta's snippet."""
     new = deltas.select("contract_key", "metadata_hash", "title", "description", F.col("snippet").alias("mini_snippet"))
-    var = variants.select(new.columns).unionByName(new).groupBy(*VARIANT_KEY).agg(F.max(F.struct("title", "description", "mini_snippet")).alias("v")).select(*VARIANT_KEY, "v.*")
-    env = entry_envelope(facts, deltas.select("contract_key", "size_bytes", "version", F.col("token_created_at").alias("first_seen"), F.col("token_created_at").alias("last_seen")))
-    return att, var, env
+    return variants.select(new.columns).unionByName(new).groupBy(*VARIANT_KEY).agg(F.max(F.struct("title", "description", "mini_snippet")).alias("v")).select(*VARIANT_KEY, "v.*")
+
+
+def add_facts(facts: DataFrame, deltas: DataFrame) -> DataFrame:
+    """A repeated attestation is dropped, but its time, size and version still count."""
+    return entry_envelope(facts, deltas.select("contract_key", "size_bytes", "version", F.col("token_created_at").alias("first_seen"), F.col("token_created_at").alias("last_seen")))
+
+
+def apply_deltas(attestations: DataFrame, variants: DataFrame, facts: DataFrame, deltas: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The three tables after valid deltas."""
+    return add_attestations(attestations, deltas), add_variants(variants, deltas), add_facts(facts, deltas)
 
 
 def catalog_violations(variants: DataFrame, attestations: DataFrame) -> DataFrame:
@@ -162,9 +172,15 @@ def expired(entries: DataFrame, now_ms: Column, ttl_days: int = CONFIG.entry_ttl
     return entries.withColumn("status", F.when(old, "Expired").otherwise(F.col("status")))
 
 
-def nested_state(variants: DataFrame, attestations: DataFrame, envelope: DataFrame) -> DataFrame:
-    """One row per entry with its variants and their attestations in canonical order, for export."""
-    atts = attestations.groupBy(*VARIANT_KEY).agg(F.sort_array(F.collect_list(F.struct("contributor_pubkey", "nonce", "difficulty", "token_created_at"))).alias("attestations"))
-    full = variants.join(atts, list(VARIANT_KEY), "left")
-    entries = full.groupBy("contract_key").agg(F.sort_array(F.collect_list(F.struct("metadata_hash", "title", "description", "mini_snippet", "attestations"))).alias("hash_variants"))
-    return envelope.join(entries, "contract_key", "left")
+def nested_state(variants: DataFrame, attestations: DataFrame, envelope: DataFrame, part: int = 10_000) -> DataFrame:
+    """(contract_key, size_bytes, ..., part, hash_variants): entries with their variants and their attestations in canonical order,
+    for export. A variant's attestations come in parts of about `part`, and an entry in as many rows as its largest variant
+    has parts, so that no hot entry is gathered into one row; variants of one row and part hold each attestation once."""
+    counted = attestations.groupBy(*VARIANT_KEY).agg((F.floor(F.count(F.lit(1)) / part) + 1).alias("parts"))
+    placed = attestations.join(counted, list(VARIANT_KEY)).withColumn("part", F.pmod(F.xxhash64("contributor_pubkey"), "parts").cast("int"))
+    atts = placed.groupBy(*VARIANT_KEY, "part").agg(F.sort_array(F.collect_list(F.struct("contributor_pubkey", "nonce", "difficulty", "token_created_at"))).alias("attestations"))
+    full = variants.join(atts, list(VARIANT_KEY), "left").withColumn("part", F.coalesce("part", F.lit(0)))
+    several = full.groupBy("contract_key", "part").agg((F.floor(F.count(F.lit(1)) / part) + 1).alias("blocks"))
+    spread = full.join(several, ["contract_key", "part"]).withColumn("block", F.pmod(F.xxhash64("metadata_hash"), "blocks").cast("int"))
+    entries = spread.groupBy("contract_key", "part", "block").agg(F.sort_array(F.collect_list(F.struct("metadata_hash", "title", "description", "mini_snippet", "attestations"))).alias("hash_variants"))
+    return envelope.join(entries, "contract_key", "left").withColumns({"part": F.coalesce("part", F.lit(0)), "block": F.coalesce("block", F.lit(0))})

@@ -78,6 +78,9 @@ def write_postings(postings: DataFrame, path: str, mode: str = "overwrite") -> N
     postings.repartitionByRange(F.col("shard_id"), F.col("word")).sortWithinPartitions("shard_id", "word").write.mode(mode).partitionBy("shard_id").parquet(path)
 
 
-def nested_shards(postings: DataFrame) -> DataFrame:
-    """(shard_id, word, entries) in canonical order, for export."""
-    return postings.groupBy("shard_id", "word").agg(F.sort_array(F.collect_list(F.struct("contract_key", "snippet", "tf_idf_score"))).alias("entries"))
+def nested_shards(postings: DataFrame, part: int = 10_000) -> DataFrame:
+    """(shard_id, word, part, entries) in canonical order, for export. A word of very many entries comes in parts of about `part`,
+    so that none is gathered into one row."""
+    sizes = postings.groupBy("shard_id", "word").agg((F.floor(F.count(F.lit(1)) / part) + 1).alias("parts"))
+    placed = postings.join(sizes, ["shard_id", "word"]).withColumn("part", F.pmod(F.xxhash64("contract_key"), "parts").cast("int"))
+    return placed.groupBy("shard_id", "word", "part").agg(F.sort_array(F.collect_list(F.struct("contract_key", "snippet", "tf_idf_score"))).alias("entries"))

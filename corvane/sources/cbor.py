@@ -275,6 +275,66 @@ def delta_blobs(deltas: DataFrame) -> DataFrame:
     return deltas.select("contract_key", blobs(F.struct(*deltas.columns)).alias("delta"))
 
 
+def catalog_blobs(variants: DataFrame, weighted: DataFrame, envelope: DataFrame, contributors: DataFrame | None = None) -> DataFrame:
+    """(contract_key, state): states of one entry each, as they are kept, of variants, weighted attestations and envelopes. One more
+    state, of a null key, holds the contributors in parts of about 10,000, if they are given. States merge, so that
+    no state has to hold everything."""
+    fields = ("contributor_pubkey", "nonce", "difficulty", "token_created_at", "weight")
+    atts = weighted.groupBy("contract_key", "metadata_hash").agg(F.sort_array(F.collect_list(F.struct(*fields))).alias("attestations"), F.sum("weight").alias("total_weight"))
+    kept = variants.select("contract_key", "metadata_hash", "title", "description", "mini_snippet").join(atts, ["contract_key", "metadata_hash"], "left")
+    entries = kept.groupBy("contract_key").agg(F.sort_array(F.collect_list(F.struct("metadata_hash", "title", "description", "mini_snippet", "total_weight", "attestations"))).alias("variants"))
+    rows = envelope.join(entries, "contract_key", "left").select("contract_key", F.struct("contract_key", "size_bytes", "version", "first_seen", "last_seen", "variants").alias("e"))
+
+    def attestation(a: dict) -> dict:
+        token = {"nonce": list(a["nonce"] or b""), "difficulty": a["difficulty"] or 0}
+        return {"contributor_pubkey": list(bytes.fromhex(a["contributor_pubkey"])), "antiflood_token": token, "token_created_at": a["token_created_at"], "weight": a["weight"]}
+
+    def variant(v: dict) -> dict:
+        return {"title": v["title"] or "", "description": v["description"] or "", "mini_snippet": v["mini_snippet"] or "", "attestations": [attestation(a) for a in v["attestations"] or []], "total_weight": v["total_weight"] or 0}
+
+    @F.arrow_udf("binary")
+    def blobs(entries: pa.Array) -> pa.Array:
+        out = []
+        for e in entries.to_pylist():
+            held = pairs_blob([(list(bytes.fromhex(v["metadata_hash"])), variant(v)) for v in e["variants"] or []])
+            first = _NONE if e["first_seen"] is None else e["first_seen"]
+            entry = {"size_bytes": e["size_bytes"], "version": e["version"], "first_seen": first, "last_seen": e["last_seen"], "hash_variants": Raw(held)}
+            out.append(encode({"entries": {e["contract_key"]: entry}, "contributors": {}}))
+        return pa.array(out, pa.binary())
+
+    states = rows.where("contract_key IS NOT NULL").select("contract_key", blobs("e").alias("state"))
+    if contributors is None:
+        return states
+
+    @F.arrow_udf("binary")
+    def people(parts: pa.Array) -> pa.Array:
+        one = lambda c: {"pubkey": list(bytes.fromhex(c["pubkey"])), "trust_score": c["trust_score"], "total_contributions": c["total_contributions"]}
+        return pa.array([encode({"entries": {}, "contributors": Raw(pairs_blob([(list(bytes.fromhex(c["pubkey"])), one(c)) for c in part]))}) for part in parts.to_pylist()], pa.binary())
+
+    size = contributors.agg(F.floor(F.count(F.lit(1)) / 10_000) + 1).scalar()
+    part = contributors.groupBy(F.pmod(F.xxhash64("pubkey"), size)).agg(F.sort_array(F.collect_list(F.struct("pubkey", "trust_score", "total_contributions"))).alias("c"))
+    return states.unionByName(part.select(F.lit(None).cast("string").alias("contract_key"), people("c").alias("state")))
+
+
+def shard_blobs(postings: DataFrame, batch: int = 10_000) -> DataFrame:
+    """(shard_id, state): states of shards as they are kept, each shard in states of at most about `batch` postings."""
+    parts = postings.groupBy("shard_id").agg((F.floor(F.count(F.lit(1)) / batch) + 1).alias("parts"))
+    placed = postings.join(parts, "shard_id").withColumn("part", F.pmod(F.xxhash64("word", "contract_key"), "parts"))
+    grouped = placed.groupBy("shard_id", "part").agg(F.sort_array(F.collect_list(F.struct("word", "contract_key", "snippet", "tf_idf_score"))).alias("p"))
+
+    @F.arrow_udf("binary")
+    def blobs(ids: pa.Array, rows: pa.Array) -> pa.Array:
+        out = []
+        for shard, found in zip(ids.to_pylist(), rows.to_pylist(), strict=True):
+            index: dict[str, list] = {}
+            for r in found:
+                index.setdefault(r["word"], []).append({k: r[k] for k in ("contract_key", "snippet", "tf_idf_score")})
+            out.append(encode({"shard_id": shard, "index": index}))
+        return pa.array(out, pa.binary())
+
+    return grouped.select("shard_id", blobs("shard_id", "p").alias("state"))
+
+
 def shard_delta_blobs(postings: DataFrame, nonce: bytes = bytes(8), difficulty: int = 1, batch: int = 10_000) -> DataFrame:
     """(shard_id, delta): postings in deltas of at most about `batch` entries, so that no shard is gathered into one row."""
     parts = F.floor(F.count(F.lit(1)).cast("long") / batch) + 1

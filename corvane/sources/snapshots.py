@@ -1,15 +1,17 @@
-"""State tables as snapshots: every version in a folder of its own, a pointer file names the current one.
+"""State tables as snapshots: every version in a folder of its own, a pointer file names the folders of the current one.
 
 A snapshot is complete before the pointer moves, so readers never see half of one, and a writer that dies leaves only an
-unused folder. Old versions are removed once two newer ones exist.
+unused folder. A version may share folders with the one before: a merge rewrites the buckets that it touches and no others.
+Folders that neither the current nor the previous version names are removed.
 """
 
 from __future__ import annotations
 
 import json
 import uuid
+from collections.abc import Callable, Iterable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schemas
@@ -22,21 +24,40 @@ def _fs(spark: SparkSession, path: str):
     return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
 
 
-def _pointer(spark: SparkSession, root: str) -> list[str]:
+def _pointer(spark: SparkSession, root: str) -> tuple[list[str], list[str]]:
+    """The folders of the current version and of the one before."""
     fs, p = _fs(spark, f"{root}/CURRENT")
     if not fs.exists(p):
-        return []
+        return [], []
     stream = fs.open(p)
     try:
-        return spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8").split()
+        lines = spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8").split("\n")
     finally:
         stream.close()
+    at = lines.index("--")
+    return lines[:at], [x for x in lines[at + 1 :] if x]
+
+
+def _point(spark: SparkSession, root: str, folders: list[str]) -> None:
+    now, before = _pointer(spark, root)
+    fs, p = _fs(spark, f"{root}/CURRENT")
+    out = fs.create(p, True)
+    out.write(bytearray("\n".join([*folders, "--", *now]).encode()))
+    out.close()
+    kept = {*folders, *now}
+    for gone in before:
+        if gone not in kept and not any(x.startswith(f"{gone}/") for x in kept):
+            f, q = _fs(spark, f"{root}/{gone}")
+            f.delete(q, True)
 
 
-def read_snapshot(spark: SparkSession, root: str, schema: str) -> DataFrame:
-    """The current version, or an empty table."""
-    versions = _pointer(spark, root)
-    return spark.read.schema(schema).parquet(f"{root}/{versions[0]}") if versions else spark.createDataFrame([], schema)
+def read_snapshot(spark: SparkSession, root: str, schema: str, buckets: Iterable[int] | None = None) -> DataFrame:
+    """The current version, or an empty table; of a version in buckets only those asked for, if any are."""
+    folders, _ = _pointer(spark, root)
+    if buckets is not None:
+        wanted = {f"bucket={b}" for b in buckets}
+        folders = [f for f in folders if "/" not in f or f.split("/")[1] in wanted]
+    return spark.read.schema(schema).parquet(*[f"{root}/{f}" for f in folders]) if folders else spark.createDataFrame([], schema)
 
 
 def write_snapshot(df: DataFrame, root: str, *partitions: str) -> str:
@@ -44,17 +65,29 @@ def write_snapshot(df: DataFrame, root: str, *partitions: str) -> str:
     spark, name = df.sparkSession, f"v-{uuid.uuid4().hex}"
     writer = df.write.option("compression", "zstd")
     (writer.partitionBy(*partitions) if partitions else writer).parquet(f"{root}/{name}")
-    old = _pointer(spark, root)
-    fs, p = _fs(spark, f"{root}/CURRENT")
-    out = fs.create(p, True)
-    out.write(bytearray("\n".join([name, *old[:1]]).encode()))
-    out.close()
-    for gone in old[1:]:
-        f, q = _fs(spark, f"{root}/{gone}")
-        f.delete(q, True)
+    _point(spark, root, [name])
     return name
 
 
+def merge_snapshot(batch: DataFrame, root: str, schema: str, bucket: Column, merge: Callable[[DataFrame, DataFrame], DataFrame]) -> list[int]:
+    """Merges a batch into the buckets that it touches: `bucket` is a small number by the key of a row, of the table and of the
+    batch alike, and `merge` makes new rows of old ones and of the batch. Returns the buckets that were rewritten."""
+    spark = batch.sparkSession
+    touched = sorted(r[0] for r in batch.select(bucket.alias("b")).distinct().collect())  # no more than there are buckets
+    if not touched:
+        return []
+    held, _ = _pointer(spark, root)
+    whole = [f for f in held if "/" not in f]
+    old = read_snapshot(spark, root, schema, None if whole else touched)
+    name = f"v-{uuid.uuid4().hex}"
+    merge(old, batch).withColumn("bucket", bucket).hint("rebalance", "bucket").write.option("compression", "zstd").partitionBy("bucket").parquet(f"{root}/{name}")
+    fs, p = _fs(spark, f"{root}/{name}")
+    new = [f"{name}/{s.getPath().getName()}" for s in fs.listStatus(p) if s.getPath().getName().startswith("bucket=")]
+    rewritten = {f.split("/")[1] for f in new} | {f"bucket={b}" for b in touched}
+    _point(spark, root, new + [f for f in held if not whole and f.split("/")[1] not in rewritten])
+    return touched
+
+
 def bootstrap(spark: SparkSession, root: str) -> None:
     """Empty state tables of a new catalog and its shards."""
     for name, schema in (("attestation", schemas.ATTESTATION), ("variant", schemas.VARIANT), ("envelope", schemas.ENVELOPE), ("contributor", schemas.CONTRIBUTOR), ("posting", schemas.POSTING)):

@@ -1,20 +1,26 @@
 """Continuous ingestion: update events in, snapshots of state out.
 
 Merges are commutative and idempotent, so late, repeated and reordered events need no watermark, and a micro-batch that
-runs twice does no harm. Each micro-batch is brought down to its own state before it meets the table, and the derived
-catalog is recomputed once per micro-batch.
+runs twice does no harm. Tables of facts lie in buckets by their key, and a micro-batch reads and rewrites only the buckets
+that it touches. The derived catalog, whose trust depends on all entries, is recomputed once per micro-batch, or not at all
+with `derive=False`, to be had when it is asked for (`finish`).
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from .. import schemas
-from ..operators.catalog import apply_deltas, attestation_union, catalog_finalize, contributor_trust, delta_reason
+from ..operators.catalog import add_attestations, add_facts, add_variants, catalog_finalize, contributor_trust, delta_reason
 from ..operators.postings import shard_delta_reason, shard_merge
-from ..sources.snapshots import read_snapshot, write_snapshot
+from ..sources.snapshots import merge_snapshot, read_snapshot, write_snapshot
+
+#: Into how many buckets the tables of facts are cut.
+BUCKETS = 64
 
 
 def read_events(spark: SparkSession, path: str, schema: str, files_per_trigger: int | None = None) -> DataFrame:
@@ -29,50 +35,63 @@ def _run(stream: DataFrame, merge, checkpoint: str, every: str | None) -> Stream
     return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
 
 
+def bucket_of(*keys: str) -> Column:
+    return F.pmod(F.xxhash64(*keys), F.lit(BUCKETS)).cast("int")
+
+
 def ingest_attestations(stream: DataFrame, root: str, checkpoint: str, every: str | None = None) -> StreamingQuery:
     """Attestations into the snapshot `root`/attestation."""
 
     def merge(batch: DataFrame, _: int) -> None:
-        old = read_snapshot(batch.sparkSession, f"{root}/attestation", schemas.ATTESTATION)
-        write_snapshot(attestation_union(old, batch.select(old.columns)), f"{root}/attestation")
+        merge_snapshot(batch, f"{root}/attestation", schemas.ATTESTATION, bucket_of("contract_key"), add_attestations)
 
     return _run(stream, merge, checkpoint, every)
 
 
-def ingest_deltas(stream: DataFrame, root: str, checkpoint: str, every: str | None = None) -> StreamingQuery:
+def finish(spark: SparkSession, root: str) -> None:
+    """The derived snapshots of contributors and entries under `root`, from the facts there."""
+    attestations, known = read_snapshot(spark, f"{root}/attestation", schemas.ATTESTATION), read_snapshot(spark, f"{root}/contributor", schemas.CONTRIBUTOR)
+    write_snapshot(contributor_trust(attestations, known), f"{root}/contributor")
+    write_snapshot(catalog_finalize(attestations, known), f"{root}/entry")
+
+
+def ingest_deltas(stream: DataFrame, root: str, checkpoint: str, every: str | None = None, derive: bool = True) -> StreamingQuery:
     """Catalog deltas into the snapshots of attestations, variants, envelopes, contributors and entries under `root`. Rejected
     deltas go to `root`/rejected."""
 
     def merge(batch: DataFrame, _: int) -> None:
-        spark = batch.sparkSession
-        at = lambda name, schema: read_snapshot(spark, f"{root}/{name}", schema)
         marked = delta_reason(batch).persist()
         try:
             valid = marked.where("reject_reason IS NULL").drop("reject_reason")
-            tables = apply_deltas(at("attestation", schemas.ATTESTATION), at("variant", schemas.VARIANT), at("envelope", schemas.ENVELOPE), valid)
-            for name, table in zip(("attestation", "variant", "envelope"), tables, strict=True):
-                write_snapshot(table, f"{root}/{name}")
+            for name, schema, add in (("attestation", schemas.ATTESTATION, add_attestations), ("variant", schemas.VARIANT, add_variants), ("envelope", schemas.ENVELOPE, add_facts)):
+                merge_snapshot(valid, f"{root}/{name}", schema, bucket_of("contract_key"), add)
             marked.where("reject_reason IS NOT NULL").write.mode("append").parquet(f"{root}/rejected")
         finally:
             marked.unpersist()
-        attestations, known = at("attestation", schemas.ATTESTATION), at("contributor", schemas.CONTRIBUTOR)
-        write_snapshot(contributor_trust(attestations, known), f"{root}/contributor")
-        write_snapshot(catalog_finalize(attestations, known), f"{root}/entry")
+        if derive:
+            finish(batch.sparkSession, root)
 
     return _run(stream, merge, checkpoint, every)
 
 
-def ingest_postings(stream: DataFrame, root: str, checkpoint: str, every: str | None = None) -> StreamingQuery:
-    """Valid shard deltas into the snapshot `root`/posting, a folder per shard."""
+def ingest_postings(stream: DataFrame, root: str, checkpoint: str, every: str | None = None, after: Callable[[DataFrame], None] | None = None) -> StreamingQuery:
+    """Valid shard deltas into the snapshot `root`/posting, a bucket per shard. `after` is called with the new index once a
+    micro-batch is in it, to ask again what was asked before."""
 
     def merge(batch: DataFrame, _: int) -> None:
-        old = read_snapshot(batch.sparkSession, f"{root}/posting", schemas.POSTING)
         valid = shard_delta_reason(batch).where("reject_reason IS NULL").select("shard_id", "word", "contract_key", "snippet", "tf_idf_score")
-        write_snapshot(shard_merge(old, valid), f"{root}/posting", "shard_id")
+        merge_snapshot(valid, f"{root}/posting", schemas.POSTING, F.col("shard_id").cast("int"), shard_merge)
+        if after is not None:
+            after(read_snapshot(batch.sparkSession, f"{root}/posting", schemas.POSTING))
 
     return _run(stream, merge, checkpoint, every)
 
 
+def replay(known: DataFrame, types: DataFrame, kind: str = "WebApp") -> DataFrame:
+    """The known keys without those of one type, so that their next appearance is processed again."""
+    return known.join(types.where(F.col("contract_type") == kind).select("contract_key"), "contract_key", "left_anti")
+
+
 def discovered(stream: DataFrame) -> DataFrame:
     """Each contract key once, at its first appearance."""
     return stream.dropDuplicates(["contract_key"])

@@ -77,3 +77,21 @@ def test_filters(spark):
     bits = bloom.bloom_bits(spark.createDataFrame([(b"hello",), (b"world",)], "i binary"), F.col("i"))
     blob = bloom.packed(bits).select(cbor.filter_blob(F.col("bytes")).alias("f"))
     assert {r.bit for r in cbor.filter_bits(blob, "f").collect()} == {r.bit for r in bits.collect()}
+
+
+def test_states_are_written_and_read(spark):
+    key = lambda n: f"{n:064x}"
+    envelope = spark.createDataFrame([("a", 5, 2, 1, 9), ("b", None, None, None, 3), (None, 1, 1, 1, 1)], "contract_key string, size_bytes long, version long, first_seen long, last_seen long")
+    variants = spark.createDataFrame([("a", key(1), "T", "D", "m"), ("a", key(2), None, "", "m2")], "contract_key string, metadata_hash string, title string, description string, mini_snippet string")
+    atts = spark.createDataFrame([("a", key(1), key(7), b"n", 16, 5, 2), ("a", key(1), key(8), None, None, 6, 3)], "contract_key string, metadata_hash string, contributor_pubkey string, nonce binary, difficulty short, token_created_at long, weight long")
+    people = spark.createDataFrame([(key(7), 4, 9)], "pubkey string, trust_score long, total_contributions long")
+    read = cbor.catalog_states(cbor.catalog_blobs(variants, atts, envelope, people), "state")
+    rows = lambda df: sorted((tuple(r) for r in df.collect()), key=repr)
+    assert rows(read["envelopes"]) == [("a", 5, 2, 1, 9), ("b", None, None, None, 3)]
+    assert rows(read["variants"]) == [("a", key(1), "T", "D", "m", 5), ("a", key(2), "", "", "m2", 0)]
+    assert rows(read["attestations"].drop("nonce")) == [("a", key(1), key(7), 16, 5, 2), ("a", key(1), key(8), 0, 6, 3)]
+    assert rows(read["contributors"]) == [(key(7), 4, 9)]
+    postings = spark.createDataFrame([(3, f"w{k % 4}", f"k{k}", "s", k) for k in range(30)], "shard_id short, word string, contract_key string, snippet string, tf_idf_score long")
+    blobs = cbor.shard_blobs(postings, batch=7)
+    assert blobs.count() > 1
+    assert rows(cbor.shard_states(blobs, "state")) == rows(postings)

@@ -1,12 +1,14 @@
 import hashlib
 import struct
 
+import pytest
 from pyspark.sql import functions as F
 
 from corvane import schemas
 from corvane.operators.catalog import attestation_union, catalog_finalize
 from corvane.operators.postings import shard_merge
-from corvane.sources.snapshots import read_snapshot
+from corvane.session import shared_folder
+from corvane.sources.snapshots import merge_snapshot, read_snapshot, write_snapshot
 from corvane.streaming import ingest
 
 
@@ -84,3 +86,53 @@ def test_stream_over_a_given_table(spark):
     streamed = e.queries()["stream_attestations"](spark, d)
     assert rows(streamed) == rows(e.queries()["attestation_union"](spark, d).select(streamed.columns))
     assert streamed.where(F.col("contract_key").isNull()).count() == 0
+
+
+def test_a_merge_rewrites_only_what_it_touches(spark, tmp_path):
+    root, schema = str(tmp_path / "t"), "k long, v long"
+    table = lambda *data: spark.createDataFrame(data, schema)
+    largest = lambda old, new: old.unionByName(new.select("k", "v")).groupBy("k").agg(F.max("v").alias("v"))
+    bucket = F.col("k").cast("int") % 8
+    assert merge_snapshot(table(*((k, 1) for k in range(16))), root, schema, bucket, largest) == list(range(8))
+    before = (tmp_path / "t" / "CURRENT").read_text().split("\n--")[0].split("\n")
+    assert merge_snapshot(table((3, 5), (11, 0), (19, 2)), root, schema, bucket, largest) == [3]
+    after = (tmp_path / "t" / "CURRENT").read_text().split("\n--")[0].split("\n")
+    assert {*before} - {*after} == {f for f in before if f.endswith("bucket=3")}
+    assert rows(read_snapshot(spark, root, schema)) == sorted([(k, 5 if k == 3 else 1) for k in range(16)] + [(19, 2)], key=repr)
+    assert rows(read_snapshot(spark, root, schema, buckets=[3])) == [(11, 1), (19, 2), (3, 5)]
+    assert merge_snapshot(table(), root, schema, bucket, largest) == []
+    # Replaced folders go once two newer versions exist; a table written as a whole is cut into buckets by the first merge.
+    merge_snapshot(table((3, 6)), root, schema, bucket, largest)
+    assert not list((tmp_path / "t").glob(before[3].split("/")[0] + "/bucket=3"))
+    write_snapshot(table((1, 1), (2, 2)), root)
+    assert merge_snapshot(table((2, 7)), root, schema, bucket, largest) == [2]
+    assert rows(read_snapshot(spark, root, schema)) == [(1, 1), (2, 7)]
+
+
+def test_a_search_is_asked_again_after_each_batch(spark, tmp_path):
+    src, root, seen = str(tmp_path / "in"), str(tmp_path / "state"), []
+    for n in range(3):
+        write(spark, [(11, "weather", f"k{n}", "s", n, b"1", 1)], schemas.SHARD_DELTA, src)
+    ingest.ingest_postings(ingest.read_events(spark, src, schemas.SHARD_DELTA, 1), root, f"{root}/log", after=lambda index: seen.append(index.count())).awaitTermination()
+    assert seen == [1, 2, 3]
+
+
+def test_replayed_keys_are_unknown_again(spark):
+    known = spark.createDataFrame([("a",), ("b",), ("c",)], "contract_key string")
+    types = spark.createDataFrame([("a", "WebApp"), ("b", "Data")], "contract_key string, contract_type string")
+    assert rows(ingest.replay(known, types)) == [("b",), ("c",)]
+
+
+def test_intermediate_tables_need_a_shared_folder():
+    class Context:
+        master, applicationId = "spark://host:7077", "app"
+        getCheckpointDir = staticmethod(lambda: None)
+
+    class Session:
+        sparkContext = Context
+        conf = {}
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_folder(Session)
+    Session.conf = {"spark.checkpoint.dir": "hdfs://x"}
+    assert shared_folder(Session) == "hdfs://x"
