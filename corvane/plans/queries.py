@@ -8,22 +8,27 @@ containers; two replicas hold what was received before one date and from an earl
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import display, hashing, html, scoring, text
 from ..functions.identity import public_key, sign, verified
 from ..operators import bloom, catalog, directory, postings, search
-from ..schemas import ATTESTATION, POSTING
-from ..sources import containers, snapshots
+from ..schemas import ATTESTATION, CATALOG_DELTA, POSTING, SHARD_DELTA
+from ..session import shared_folder
+from ..sources import cbor, containers, snapshots
 from ..streaming import ingest
 
 SEARCH = "release branches, dependency graphs and the release of séismic traces"
+#: A part of words that is no word of the index.
+PART = "orchestr"
+ENTRY = "contract_key string, title string, description string, status string, att_count long, weighted_att long, version long"
 #: What each of the two replicas received.
 REPLICA_A_UNTIL, REPLICA_B_FROM = "2025-07-01", "2025-01-01"
+KNOWN_UNTIL = 1_720_000_000
 
 
 def _table(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -98,17 +103,39 @@ def _postings(spark: SparkSession, d: str) -> DataFrame:
     return postings.build_postings(_texts(spark, d), "contract_key", "text", "mini_snippet")
 
 
-_saved: dict[tuple[str, str], str] = {}
+_saved: dict[tuple, str] = {}
 
 
-def _saved_postings(spark: SparkSession, d: str) -> DataFrame:
-    """The index as searches meet it: written by shard and word, once per application and data."""
-    at = (spark.sparkContext.applicationId, d)
+def _stamp(spark: SparkSession, d: str, *tables: str) -> tuple:
+    """Sizes and times of the files of some tables, which change with their content."""
+    out = []
+    for name in tables:
+        fs, p = snapshots._fs(spark, f"{d}/{name}.parquet")
+        files = fs.listStatus(p)
+        out.append((len(files), sum(f.getLen() for f in files), max((f.getModificationTime() for f in files), default=0)))
+    return tuple(out)
+
+
+def _kept(spark: SparkSession, d: str, name: str, tables: tuple[str, ...], write) -> str:
+    """Where a derived table lies that searches read: written once for the state of the files that it comes from."""
+    at = (spark.sparkContext.applicationId, d, name, _stamp(spark, d, *tables))
     if at not in _saved:
-        path = f"{_work(spark)}/posting"
-        postings.write_postings(_postings(spark, d), path)
+        path = f"{_work(spark)}/{name}"
+        write(path)
         _saved[at] = path
-    return spark.read.schema(POSTING).parquet(_saved[at])
+    return _saved[at]
+
+
+def _saved_postings(spark: SparkSession, d: str) -> DataFrame:
+    """The index as searches meet it, by shard and word."""
+    path = _kept(spark, d, "posting", ("catalog_variant",), lambda path: postings.write_postings(_postings(spark, d), path))
+    return spark.read.schema(POSTING).parquet(path)
+
+
+def _saved_entries(spark: SparkSession, d: str) -> DataFrame:
+    """The finished catalog as searches meet it, sorted by key."""
+    write = lambda path: _entries(spark, d).repartitionByRange("contract_key").sortWithinPartitions("contract_key").write.parquet(path)
+    return spark.read.schema(ENTRY).parquet(_kept(spark, d, "entry", ("catalog_variant", "catalog_attestation", "contributor", "app_entry"), write))
 
 
 def _replica_postings(spark: SparkSession, d: str) -> list[DataFrame]:
@@ -117,7 +144,7 @@ def _replica_postings(spark: SparkSession, d: str) -> list[DataFrame]:
 
 def _pages(spark: SparkSession, d: str) -> DataFrame:
     """(page_id, contract_key, version, html)."""
-    p = _table(spark, d, "page_metadata").dropDuplicates(["page_id"])
+    p = _current(_table(spark, d, "page_metadata"), "page_id", "captured_at")
     part = lambda c: F.coalesce(F.col(c), F.lit(""))
     page = F.concat(
         F.lit("<!DOCTYPE html><html><head><TITLE lang=x> "), part("title"), F.lit('</TITLE><meta name="description" content="'), F.translate(part("description"), '"<>', ""),
@@ -203,8 +230,9 @@ def shard_validate(spark, d):
 
 
 def nested_shards(spark, d):
-    n = postings.nested_shards(postings.shard_merge(_postings(spark, d)))
-    return n.select("shard_id", "word", F.size("entries").alias("n"), F.col("entries")[0]["contract_key"].alias("first_key"), F.array_max(F.transform("entries", lambda e: e["tf_idf_score"])).alias("best"))
+    n = postings.nested_shards(postings.shard_merge(_postings(spark, d)), part=50)
+    e = F.explode("entries").alias("e")
+    return n.select("shard_id", "word", e).groupBy("shard_id", "word").agg(F.count(F.lit(1)).cast("int").alias("n"), F.min("e.contract_key").alias("first_key"), F.max("e.tf_idf_score").alias("best"))
 
 
 # The catalog
@@ -266,8 +294,15 @@ def delta_validate(spark, d):
 
 
 def catalog_validate(spark, d):
+    """Over the state with a violation of each rule planted: keys emptied, titles changed after hashing, weights raised."""
     atts = _received(spark, d).drop("received_at").distinct()
-    return catalog.catalog_violations(_keyed_variants(spark, d), atts)
+    length = F.length("title")
+    broken = _keyed_variants(spark, d).withColumns({
+        "contract_key": F.when(length % 23 == 1, "").otherwise(F.col("contract_key")),
+        "title": F.when(length % 19 == 2, F.concat("title", F.lit("!"))).otherwise(F.col("title")),
+        "total_weight": F.col("total_weight") + F.when(length % 17 == 3, 1).otherwise(0),
+    })
+    return catalog.catalog_violations(broken, atts)
 
 
 def new_variants(spark, d):
@@ -282,9 +317,9 @@ def expired_entries(spark, d):
 
 
 def nested_state(spark, d):
-    n = catalog.nested_state(_keyed_variants(spark, d).drop("total_weight"), _attestations(spark, d), catalog.entry_envelope(_facts(spark, d)))
-    count = F.coalesce(F.size("hash_variants"), F.lit(0))
-    return n.select("contract_key", "size_bytes", F.greatest(count, F.lit(0)).alias("variants"), F.col("hash_variants")[0]["metadata_hash"].alias("first_hash"))
+    n = catalog.nested_state(_keyed_variants(spark, d).drop("total_weight"), _attestations(spark, d), catalog.entry_envelope(_facts(spark, d)), part=5)
+    hashes = n.select("contract_key", "size_bytes", F.explode_outer("hash_variants").alias("v")).select("contract_key", "size_bytes", "v.metadata_hash")
+    return hashes.groupBy("contract_key", "size_bytes").agg(F.countDistinct("metadata_hash").cast("int").alias("variants"), F.min("metadata_hash").alias("first_hash"))
 
 
 # Bloom filters and synchronization
@@ -348,7 +383,7 @@ def search_postings(spark, d):
 
 
 def search_results(spark, d):
-    return search.search(_saved_postings(spark, d), _entries(spark, d), SEARCH)
+    return search.search(_saved_postings(spark, d), _saved_entries(spark, d), SEARCH)
 
 
 def search_highlight(spark, d):
@@ -356,7 +391,7 @@ def search_highlight(spark, d):
 
 
 def search_all_words(spark, d):
-    return search.search_all_words(_saved_postings(spark, d), _entries(spark, d), SEARCH)
+    return search.search_all_words(_saved_postings(spark, d), _saved_entries(spark, d), SEARCH)
 
 
 def _catalog_apps(spark, d):
@@ -393,6 +428,42 @@ def cache_upsert(spark, d):
     return directory.upsert_cache(_cache(spark, d), updates.withColumns(empty))
 
 
+def search_fallback(spark, d):
+    """A query that is part of words only finds nothing in the index, so the directory is shown."""
+    shown, out = search.search_or_browse(_saved_postings(spark, d), _saved_entries(spark, d), _cache(spark, d), PART)
+    return out.select(F.lit(shown).alias("shown"), "contract_key", "title")
+
+
+def unknown_keys(spark, d):
+    """Keys of documents that were neither known at one time nor queued with a page captured before another."""
+    known = _cache(spark, d).where(F.col("first_seen") < KNOWN_UNTIL)
+    queued = _table(spark, d, "page_metadata").where(F.col("captured_at") < F.lit(REPLICA_B_FROM).cast("timestamp"))
+    return ingest.unknown(_table(spark, d, "documents").where("contract_key IS NOT NULL"), known, queued)
+
+
+def routed_responses(spark, d):
+    """Responses by key, of which the catalog's and the shards' have handlers of their own."""
+    keys = _cache(spark, d).select("contract_key")
+    fixed = spark.createDataFrame([("catalog", "catalog"), *((f"shard-{k}", "shard") for k in range(16))], "contract_key string, handler string")
+    return ingest.route(keys.union(fixed.select("contract_key")), fixed)
+
+
+def replayed_keys(spark, d):
+    return ingest.replay(_cache(spark, d).select("contract_key"), _types(spark, d))
+
+
+def cache_round_trip(spark, d):
+    path = f"{_work(spark)}/cache"
+    snapshots.write_cache(_cache(spark, d), path)
+    return snapshots.read_cache(spark, path)
+
+
+def hex_states(spark, d):
+    """States kept as hex text, some of them spoiled."""
+    v = _variants(spark, d).select("variant_id", F.when(F.col("variant_id") % 5 == 0, F.concat("metadata_hash", F.lit("x"))).otherwise(F.col("metadata_hash")).alias("state"))
+    return snapshots.decoded_state(v, "state").select("variant_id", F.octet_length("state").alias("size"), F.lower(F.hex("state")).alias("state"))
+
+
 def _log(spark, d):
     return _received(spark, d).select("contract_key", F.unix_millis("received_at").alias("ts_ms"), F.when(F.col("nonce").isNull(), "Failed").otherwise("Submitted").alias("status")).distinct()
 
@@ -435,7 +506,7 @@ def page_metadata_ui(spark, d):
 
 
 def container_extract(spark, d):
-    return containers.extract_containers(_packed(spark, d))
+    return containers.extract_containers(_packed(spark, d)).drop("size_bytes")
 
 
 def _packed(spark, d):
@@ -454,7 +525,7 @@ def container_version(spark, d):
 
 
 def container_latest(spark, d):
-    p = _table(spark, d, "page_metadata").dropDuplicates(["page_id"])
+    p = _current(_table(spark, d, "page_metadata"), "page_id", "captured_at")
     states = p.select("contract_key", F.unix_timestamp("captured_at").alias("version"), F.col("metadata_hash").alias("state"), "captured_at")
     cut = F.lit(REPLICA_A_UNTIL).cast("timestamp")
     out = containers.container_latest(states.where(F.col("captured_at") < cut), states.where(F.col("captured_at") >= cut))
@@ -471,22 +542,78 @@ def signatures(spark, d):
     """Signs a digest of each contributor's key with one of sixteen secrets, spoils some, and verifies."""
     keys = _contributors(spark, d)
 
-    @F.udf("struct<key: binary, message: binary, signature: binary>")
-    def signed(pubkey):
-        raw = bytes.fromhex(pubkey)
-        secret = bytes([raw[0] % 16]) * 32
-        return public_key(secret), raw + bytes([raw[1] % 2]), sign(secret, raw + b"\0")
+    @F.arrow_udf("struct<key: binary, message: binary, signature: binary>")
+    def signed(pubkeys: pa.Array) -> pa.Array:
+        out = []
+        for raw in map(bytes.fromhex, pubkeys.to_pylist()):
+            secret = bytes([raw[0] % 16]) * 32
+            out.append({"key": public_key(secret), "message": raw + bytes([raw[1] % 2]), "signature": sign(secret, raw + b"\0")})
+        return pa.array(out, pa.struct([(c, pa.binary()) for c in ("key", "message", "signature")]))
 
     s = keys.select("pubkey", signed("pubkey").alias("s"))
     return s.select("pubkey", verified(F.col("s.key"), F.col("s.message"), F.col("s.signature")).alias("valid"))
 
 
+def container_signed(spark, d):
+    """Signed containers of each contributor, of six kinds by the first byte of the key: three that hold - the signature an array of
+    numbers or a byte string, a longer key - and a changed page, version 0, and a short key."""
+
+    @F.arrow_udf("struct<parameters: binary, state: binary>")
+    def made(pubkeys: pa.Array) -> pa.Array:
+        out = []
+        for raw in map(bytes.fromhex, pubkeys.to_pylist()):
+            secret, kind = bytes([raw[1] % 16]) * 32, raw[0] % 6
+            state = containers.pack(f"<title>{raw.hex()}</title>", 0 if kind == 4 else 1 + raw[2], secret, as_array=kind != 1)
+            state = state[:-1] + bytes([state[-1] ^ 1]) if kind == 3 else state
+            out.append({"parameters": public_key(secret)[: 31 if kind == 5 else 32] + (b"more" if kind == 2 else b""), "state": state})
+        return pa.array(out, pa.struct([("parameters", pa.binary()), ("state", pa.binary())]))
+
+    s = _contributors(spark, d).select("pubkey", made("pubkey").alias("c"))
+    return s.select("pubkey", containers.signed_container(F.col("c.parameters"), F.col("c.state")).alias("valid"))
+
+
+# States, deltas and filters in their wire form
+
+
+def state_scan(spark, d):
+    """Attestations out of states, one state an entry."""
+    env = catalog.entry_envelope(_facts(spark, d))
+    blobs = cbor.catalog_blobs(_keyed_variants(spark, d), catalog.attestation_weights(_attestations(spark, d), _contributors(spark, d)), env)
+    return cbor.catalog_states(blobs, "state")["attestations"].select("contract_key", "metadata_hash", "contributor_pubkey", "token_created_at", "weight")
+
+
+def state_envelopes(spark, d):
+    env = catalog.entry_envelope(_facts(spark, d)).where("contract_key IS NOT NULL")
+    blobs = cbor.catalog_blobs(_keyed_variants(spark, d), catalog.attestation_weights(_attestations(spark, d), _contributors(spark, d)), env)
+    return cbor.catalog_states(blobs, "state")["envelopes"].select("contract_key", "size_bytes", "version", "first_seen", "last_seen")
+
+
+def shard_scan(spark, d):
+    return cbor.shard_states(cbor.shard_blobs(_postings(spark, d)), "state")
+
+
+def update_events(spark, d):
+    """Deltas written as they are submitted, and read again."""
+    given = _deltas(spark, d).where("title IS NOT NULL AND nonce IS NOT NULL").drop("received_at", "weight").distinct()
+    out = cbor.catalog_deltas(cbor.delta_blobs(given), "delta")
+    return out.select("contract_key", "metadata_hash", "contributor_pubkey", "title", "snippet", "size_bytes", "version", "difficulty", "token_created_at")
+
+
+def shard_events(spark, d):
+    return cbor.shard_deltas(cbor.shard_delta_blobs(_postings(spark, d)), "delta").select("word", "contract_key", "snippet", "tf_idf_score", "difficulty")
+
+
+def filter_round_trip(spark, d):
+    a = _attestations(spark, d)
+    packed = bloom.packed(bloom.bloom_bits(a, F.concat(F.col("contract_key").cast("binary"), F.unhex("contributor_pubkey"))))
+    return cbor.filter_bits(packed.select(cbor.filter_blob(F.col("bytes")).alias("blob")), "blob")
+
+
 # Streaming
 
 
 def _work(spark: SparkSession) -> str:
-    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()
-    return f"{folder}/corvane-stream-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/corvane-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
 
 
 def _files(spark: SparkSession, d: str, name: str, schema: str, select) -> DataFrame:
@@ -507,6 +634,55 @@ def stream_attestations(spark, d):
     return snapshots.read_snapshot(spark, f"{root}/attestation", ATTESTATION).withColumn("nonce", F.lower(F.hex("nonce")))
 
 
+def stream_deltas(spark, d):
+    """Deltas of two files, one a micro-batch, the second with everything of the first again."""
+    root, source = _work(spark), f"{_work(spark)}/deltas"
+    given = _deltas(spark, d).select([c.split(" ")[0] for c in CATALOG_DELTA.split(", ")])
+    given.where(F.length("contract_key") % 2 == 0).coalesce(1).write.parquet(source)
+    given.coalesce(1).write.mode("append").parquet(source)
+    snapshots.write_snapshot(_contributors(spark, d), f"{root}/contributor")
+    ingest.ingest_deltas(ingest.read_events(spark, source, CATALOG_DELTA, 1), root, f"{root}/log", derive=False).awaitTermination()
+    ingest.finish(spark, root)
+    return snapshots.read_snapshot(spark, f"{root}/entry", "contract_key string, status string, att_count long, weighted_att long, best_hash string, best_weight long")
+
+
+def _stream_postings(spark, d, after=None):
+    root, source = _work(spark), f"{_work(spark)}/postings"
+    given = _postings(spark, d).withColumns({"nonce": F.lit(b"1"), "difficulty": F.lit(1).cast("short")}).select("shard_id", "word", "contract_key", "snippet", "tf_idf_score", "nonce", "difficulty")
+    given.where("shard_id % 2 = 0").coalesce(1).write.parquet(source)
+    given.withColumn("shard_id", F.when(F.length("word") == 9, F.col("shard_id") + 1).otherwise(F.col("shard_id")).cast("short")).coalesce(1).write.mode("append").parquet(source)
+    ingest.ingest_postings(ingest.read_events(spark, source, SHARD_DELTA, 1), root, f"{root}/log", after=after).awaitTermination()
+    return snapshots.read_snapshot(spark, f"{root}/posting", POSTING)
+
+
+def stream_postings(spark, d):
+    """Shard deltas of two micro-batches; those of the second sent to a wrong shard are left out."""
+    return _stream_postings(spark, d)
+
+
+def search_after_batch(spark, d):
+    """What a search shows after each micro-batch, asked again whenever the index has changed."""
+    path = f"{_work(spark)}/shown"
+    ask = lambda index: search.relevance(search.matching_postings(index, SEARCH)).agg(F.count(F.lit(1)).alias("keys"), F.sum("relevance").alias("relevance")).write.mode("append").parquet(path)
+    _stream_postings(spark, d, ask)
+    return spark.read.parquet(path)
+
+
+def stream_discovered(spark, d):
+    """Each key once, at its first appearance in a stream."""
+    root = _work(spark)
+    stream = _files(spark, d, "catalog_attestation", _RECEIVED, lambda s: s.select("contract_key"))
+    keep = lambda batch, _: batch.write.mode("append").parquet(f"{root}/keys")
+    ingest.discovered(stream).writeStream.foreachBatch(keep).option("checkpointLocation", f"{root}/log").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{root}/keys")
+
+
+def sync_delta_shard_exact(spark, d):
+    """The exchange of postings without a filter: what one replica has and the other lacks, whole."""
+    a, b = _replica_postings(spark, d)
+    return bloom.missing_exact(a, b, "shard_id", "word", "contract_key").select("shard_id", "word", "contract_key", "tf_idf_score")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -515,6 +691,8 @@ QUERIES = {
         catalog_finalize, delta_validate, catalog_validate, new_variants, expired_entries, nested_state, bloom_bits, bloom_bytes, bloom_contains, catalog_summary, shard_summary,
         sync_delta_catalog, sync_delta_shard, sync_delta_exact, search_postings, search_highlight, search_all_words, dedup_by_title, directory_filter, app_directory,
         discovery_progress, needs_extraction, cache_upsert, contribution_recent, display_fields, pow_check, pow_token, page_metadata, page_snippet, page_metadata_ui, container_extract,
-        container_detect, container_version, container_latest, container_sync, signatures, stream_attestations,
+        container_detect, container_version, container_latest, container_sync, signatures, stream_attestations, search_fallback, unknown_keys, routed_responses, replayed_keys,
+        cache_round_trip, hex_states, container_signed, state_scan, state_envelopes, shard_scan, update_events, shard_events, filter_round_trip, stream_deltas, stream_postings,
+        search_after_batch, stream_discovered, sync_delta_shard_exact,
     )
 } | {"search": search_results}

@@ -1,14 +1,11 @@
-"""The same queries in SQL, as DuckDB runs it over the given tables.
-
-Queries without an entry here: container_extract, whose compressed sizes, and search_highlight, whose marks SQL cannot express.
-"""
+"""The same queries in SQL, as DuckDB runs it over the given tables."""
 
 from __future__ import annotations
 
 import unicodedata
 
 from ..functions.text import STOP_WORDS
-from .queries import REPLICA_A_UNTIL, REPLICA_B_FROM, SEARCH
+from .queries import KNOWN_UNTIL, PART, REPLICA_A_UNTIL, REPLICA_B_FROM, SEARCH
 
 WHITE = r"[\t\n\x0b\f\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 
@@ -154,6 +151,18 @@ BEST_TITLE = "CASE WHEN coalesce(description, '') <> '' THEN 1 ELSE 0 END DESC,
 PAGE_HTML = r"""pages AS (SELECT DISTINCT page_id, contract_key, coalesce(title, '') AS t, translate(coalesce(description, ''), '"<>', '') AS d, coalesce(snippet, '') AS s FROM page_metadata)"""
 VISIBLE = squeezed(r"regexp_replace(' ' || t || '' || regexp_replace(s, '\n', chr(10), 'g'), '<[^>]*>?|>', '', 'g')")
 
+MARKED = f"""{KEYED}, d AS (SELECT a.contract_key, lower(hex(a.metadata_hash)) AS metadata_hash, lower(hex(contributor_pubkey)) AS contributor_pubkey, nonce, difficulty, token_created_at,
+  k.title, k.description, k.mini_snippet AS snippet FROM catalog_attestation a LEFT JOIN keyed k ON a.contract_key = k.contract_key AND lower(hex(a.metadata_hash)) = k.metadata_hash),
+marked AS (SELECT *, CASE WHEN coalesce(contract_key, '') = '' THEN 'empty contract key' WHEN strlen(title) > 256 THEN 'title too long' WHEN strlen(description) > 1024 THEN 'description too long'
+  WHEN coalesce(octet_length(nonce), 0) = 0 OR coalesce(difficulty, 0) = 0 THEN 'no flood token' WHEN regexp_full_match(contributor_pubkey, '0*') THEN 'zero public key' WHEN coalesce(token_created_at, 0) = 0 THEN 'no token time'
+  WHEN {mhash("coalesce(title, '')", "coalesce(description, '')", "coalesce(snippet, '')")} IS DISTINCT FROM metadata_hash THEN 'wrong hash' END AS reject_reason FROM d)"""
+IN_A, IN_B = (f"contract_key IN (SELECT contract_key FROM catalog_attestation WHERE {w})" for w in (A_WHERE, B_WHERE))
+SEARCHED = f"""{POSTINGS}, {ENTRIES.replace(VARIANTS + ',', '', 1)}, {TERMS}, {MATCHES}, {RELEVANCE},
+ranked AS (SELECT r.*, coalesce(status, 'Pending') AS status, coalesce(att_count, 0) AS attestation_count, {rank('coalesce(weighted_att, 0)', 'coalesce(version, 0)', "coalesce(status, 'Pending')")} AS rank,
+  coalesce(title, contract_key) AS title, coalesce(description, '') AS description FROM relevance r LEFT JOIN entries USING (contract_key)),
+best AS (SELECT *, (relevance * 7000 + rank * 3000) // 10000 AS combined_score FROM ranked ORDER BY combined_score DESC, contract_key LIMIT 50)"""
+_WANTED = ", ".join(f"'{w}'" for w in dict.fromkeys(_QUERY_WORDS))
+
 SQL: dict[str, str] = {
     "tokens": f"SELECT doc_id, t.word, count(*) AS n FROM (SELECT doc_id, {words('text')} AS w FROM documents WHERE text IS NOT NULL), unnest(w) AS t(word) GROUP BY ALL",
     "normalize_text": f"SELECT doc_id, {norm('text')} AS text FROM documents",
@@ -184,18 +193,15 @@ UNION ALL SELECT contributor_pubkey, 0, count(*) FROM att GROUP BY 1) GROUP BY 1
     "best_variant": f"""WITH {att()}, w AS (SELECT contract_key, metadata_hash, sum(1 + coalesce(trust_score, 0))::BIGINT AS total_weight FROM att LEFT JOIN contributor ON contributor_pubkey = lower(hex(pubkey)) GROUP BY ALL)
 SELECT contract_key, metadata_hash, total_weight FROM w QUALIFY row_number() OVER (PARTITION BY contract_key ORDER BY total_weight DESC, metadata_hash DESC) = 1""",
     "catalog_finalize": f"WITH {att()}, {final()} SELECT * FROM final",
-    "delta_validate": f"""WITH {KEYED}, d AS (SELECT a.contract_key, lower(hex(a.metadata_hash)) AS metadata_hash, lower(hex(contributor_pubkey)) AS contributor_pubkey, nonce, difficulty, token_created_at,
-  k.title, k.description, k.mini_snippet AS snippet FROM catalog_attestation a LEFT JOIN keyed k ON a.contract_key = k.contract_key AND lower(hex(a.metadata_hash)) = k.metadata_hash),
-marked AS (SELECT *, CASE WHEN coalesce(contract_key, '') = '' THEN 'empty contract key' WHEN strlen(title) > 256 THEN 'title too long' WHEN strlen(description) > 1024 THEN 'description too long'
-  WHEN coalesce(octet_length(nonce), 0) = 0 OR coalesce(difficulty, 0) = 0 THEN 'no flood token' WHEN regexp_full_match(contributor_pubkey, '0*') THEN 'zero public key' WHEN coalesce(token_created_at, 0) = 0 THEN 'no token time'
-  WHEN {mhash("coalesce(title, '')", "coalesce(description, '')", "coalesce(snippet, '')")} IS DISTINCT FROM metadata_hash THEN 'wrong hash' END AS reject_reason FROM d)
-SELECT contract_key, metadata_hash, contributor_pubkey, reject_reason, count(*) AS n FROM marked GROUP BY ALL""",
+    "delta_validate": f"WITH {MARKED} SELECT contract_key, metadata_hash, contributor_pubkey, reject_reason, count(*) AS n FROM marked GROUP BY ALL",
     "catalog_validate": f"""WITH {KEYED}, a AS (SELECT DISTINCT contract_key, lower(hex(metadata_hash)) AS metadata_hash, contributor_pubkey, nonce, difficulty, token_created_at, weight FROM catalog_attestation),
-s AS (SELECT contract_key, metadata_hash, sum(weight) AS s FROM a GROUP BY ALL)
-SELECT contract_key, metadata_hash, 'empty contract key' AS rule FROM keyed WHERE coalesce(contract_key, '') = ''
-UNION ALL SELECT contract_key, metadata_hash, 'wrong hash' FROM keyed WHERE metadata_hash <> {mhash('title', 'description', 'mini_snippet')}
+s AS (SELECT contract_key, metadata_hash, sum(weight) AS s FROM a GROUP BY ALL),
+b AS (SELECT CASE WHEN length(title) % 23 = 1 THEN '' ELSE contract_key END AS contract_key, metadata_hash, title || CASE WHEN length(title) % 19 = 2 THEN '!' ELSE '' END AS title, description, mini_snippet,
+  total_weight + CASE WHEN length(title) % 17 = 3 THEN 1 ELSE 0 END AS total_weight FROM keyed)
+SELECT contract_key, metadata_hash, 'empty contract key' AS rule FROM b WHERE coalesce(contract_key, '') = ''
+UNION ALL SELECT contract_key, metadata_hash, 'wrong hash' FROM b WHERE metadata_hash <> {mhash('title', 'description', 'mini_snippet')}
 UNION ALL SELECT DISTINCT contract_key, metadata_hash, 'repeated public key' FROM (SELECT contract_key, metadata_hash FROM a GROUP BY contract_key, metadata_hash, contributor_pubkey HAVING count(*) > 1)
-UNION ALL SELECT k.contract_key, k.metadata_hash, 'wrong total weight' FROM keyed k LEFT JOIN s USING (contract_key, metadata_hash) WHERE k.total_weight <> coalesce(s.s, 0)""",
+UNION ALL SELECT b.contract_key, b.metadata_hash, 'wrong total weight' FROM b LEFT JOIN s USING (contract_key, metadata_hash) WHERE b.total_weight <> coalesce(s.s, 0)""",
     "new_variants": f"WITH {KEYED} SELECT contract_key, metadata_hash, title FROM keyed WHERE (contract_key, metadata_hash) NOT IN (SELECT (contract_key, lower(hex(metadata_hash))) FROM catalog_attestation WHERE {A_WHERE})",
     "expired_entries": f"""WITH {att()}, {status()}, seen AS (SELECT contract_key, max(epoch_us(received_at) // 1000) AS last_seen FROM catalog_attestation GROUP BY 1)
 SELECT contract_key, CASE WHEN last_seen < 1760000000000 - 7776000000 THEN 'Expired' ELSE status END AS status, last_seen FROM status JOIN seen USING (contract_key)""",
@@ -219,10 +225,15 @@ asked AS (SELECT shard_id, word, contract_key, tf_idf_score, unnest(bits) AS bit
 SELECT a.shard_id, word, contract_key, tf_idf_score, 1::SMALLINT AS difficulty FROM asked a LEFT JOIN peer p ON a.shard_id = p.shard_id AND a.bit = p.bit GROUP BY ALL HAVING count(p.bit) < count(*)""",
     "sync_delta_exact": f"WITH {att('a', A_WHERE)}, {att('b', B_WHERE)} SELECT contract_key, metadata_hash, contributor_pubkey FROM a ANTI JOIN b USING (contract_key, metadata_hash, contributor_pubkey)",
     "search_postings": f"WITH {POSTINGS}, {TERMS}, {MATCHES} SELECT shard_id, word, contract_key, tf_idf_score, times, pos FROM matches",
-    "search": f"""WITH {POSTINGS}, {ENTRIES.replace(VARIANTS + ',', '', 1)}, {TERMS}, {MATCHES}, {RELEVANCE},
-ranked AS (SELECT r.*, coalesce(status, 'Pending') AS status, coalesce(att_count, 0) AS attestation_count, {rank('coalesce(weighted_att, 0)', 'coalesce(version, 0)', "coalesce(status, 'Pending')")} AS rank,
-  coalesce(title, contract_key) AS title, coalesce(description, '') AS description FROM relevance r LEFT JOIN entries USING (contract_key))
-SELECT *, (relevance * 7000 + rank * 3000) // 10000 AS combined_score FROM ranked ORDER BY combined_score DESC, contract_key LIMIT 50""",
+    "search": f"WITH {SEARCHED} SELECT * FROM best",
+    "search_highlight": rf"""WITH {SEARCHED},
+marked AS (SELECT *, array_to_string(list_transform(regexp_extract_all(snippet, '[\p{{L}}\p{{N}}]+|[^\p{{L}}\p{{N}}]+'), lambda x: CASE WHEN {_plain('lower(x)')} IN ({_WANTED}) THEN '<mark>' || x || '</mark>' ELSE x END), '') AS m FROM best),
+placed AS (SELECT *, strlen(m) AS size, strlen(left(m, greatest(instr(m, '<mark>'), 1) - 1)) AS first_at FROM marked),
+bounds AS (SELECT *, CASE WHEN first_at <= 150 THEN 0 WHEN first_at + 150 >= size THEN size - 300 ELSE first_at - 150 END AS a, CASE WHEN first_at <= 150 THEN 300 WHEN first_at + 150 >= size THEN size ELSE first_at + 150 END AS b FROM placed),
+chars AS (SELECT contract_key, a, b, u.c, u.i, sum(strlen(u.c)) OVER (PARTITION BY contract_key ORDER BY u.i) AS ended FROM bounds, unnest(string_split(m, '')) WITH ORDINALITY AS u(c, i)),
+cut AS (SELECT contract_key, string_agg(c, '' ORDER BY i) AS part FROM chars WHERE ended - strlen(c) >= a AND ended <= b GROUP BY 1)
+SELECT contract_key, relevance, status, attestation_count, rank, combined_score, title, description,
+  CASE WHEN size <= 300 THEN m ELSE CASE WHEN a > 0 THEN '...' ELSE '' END || part || CASE WHEN b < size THEN '...' ELSE '' END END AS highlighted_snippet FROM bounds LEFT JOIN cut USING (contract_key)""",
     "search_all_words": f"""WITH {POSTINGS}, {ENTRIES.replace(VARIANTS + ',', '', 1)}, {TERMS}, {MATCHES},
 boosted AS (SELECT contract_key, least(least(sum(tf_idf_score * times), 4294967295) * CASE WHEN count(*) = (SELECT count(*) FROM terms) THEN 2 ELSE 1 END, 4294967295)::BIGINT AS relevance FROM matches GROUP BY 1),
 ranked AS (SELECT contract_key, relevance, {rank('coalesce(weighted_att, 0)', 'coalesce(version, 0)', "coalesce(status, 'Pending')")} AS rank FROM boosted LEFT JOIN entries USING (contract_key))
@@ -277,4 +288,32 @@ SELECT page_id, contract_key, title, coalesce(d, nullif(regexp_replace({cut('v',
     "container_version": "SELECT contract_key, floor(epoch(captured_at))::BIGINT AS version FROM (SELECT DISTINCT page_id, contract_key, captured_at FROM page_metadata)",
     "container_detect": "SELECT w AS whole, w AS container, count(DISTINCT page_id) AS n FROM page_metadata, (VALUES (TRUE), (FALSE)) AS t(w) GROUP BY w",
     "signatures": "SELECT lower(hex(pubkey)) AS pubkey, ('0x' || substr(hex(pubkey), 3, 2))::BIGINT % 2 = 0 AS valid FROM contributor",
+    "sync_delta_shard_exact": f"WITH {POSTINGS} SELECT shard_id, word, contract_key, tf_idf_score FROM postings WHERE {IN_A} AND NOT {IN_B}",
+    "search_fallback": f"WITH {CACHE} SELECT 'directory' AS shown, contract_key, title FROM cache WHERE coalesce(contains(lower(contract_key), '{PART}'), FALSE) OR coalesce(contains(lower(title), '{PART}'), FALSE) OR coalesce(contains(lower(description), '{PART}'), FALSE)",
+    "unknown_keys": f"""WITH {CACHE} SELECT DISTINCT d.contract_key FROM documents d ANTI JOIN (SELECT contract_key FROM cache WHERE first_seen < {KNOWN_UNTIL}) a ON a.contract_key = d.contract_key
+ANTI JOIN (SELECT contract_key FROM page_metadata WHERE captured_at < TIMESTAMPTZ '{REPLICA_B_FROM} 00:00:00+00') p ON p.contract_key = d.contract_key WHERE d.contract_key IS NOT NULL""",
+    "routed_responses": f"WITH {CACHE} SELECT contract_key, 'app' AS handler FROM cache UNION ALL SELECT 'catalog', 'catalog' UNION ALL SELECT 'shard-' || i, 'shard' FROM range(16) AS t(i)",
+    "replayed_keys": f"WITH {CACHE}, {TYPES} SELECT contract_key FROM cache ANTI JOIN (SELECT contract_key FROM types WHERE contract_type = 'WebApp') USING (contract_key)",
+    "cache_round_trip": f"WITH {CACHE} SELECT contract_key, title, description, first_seen, last_seen, size_bytes, subscribers, version FROM cache",
+    "hex_states": f"WITH {VARIANTS} SELECT variant_id, 32 AS size, metadata_hash AS state FROM variants WHERE variant_id % 5 <> 0",
+    "container_signed": "SELECT lower(hex(pubkey)) AS pubkey, ('0x' || substr(hex(pubkey), 1, 2))::BIGINT % 6 < 3 AS valid FROM contributor",
+    "state_scan": f"""WITH {KEYED}, {att()}, {ENVELOPE} SELECT a.contract_key, a.metadata_hash, contributor_pubkey, token_created_at, 1 + coalesce(trust_score, 0) AS weight
+FROM att a JOIN keyed USING (contract_key, metadata_hash) JOIN envelope USING (contract_key) LEFT JOIN contributor ON contributor_pubkey = lower(hex(pubkey))""",
+    "state_envelopes": f"WITH {ENVELOPE} SELECT * FROM envelope WHERE contract_key IS NOT NULL",
+    "shard_scan": f"WITH {POSTINGS} SELECT * FROM postings",
+    "update_events": f"""WITH {KEYED}, {ENVELOPE}, d AS (SELECT DISTINCT a.contract_key, lower(hex(a.metadata_hash)) AS metadata_hash, lower(hex(contributor_pubkey)) AS contributor_pubkey, nonce, difficulty, token_created_at,
+  k.title, k.description, k.mini_snippet AS snippet, e.size_bytes, e.version FROM catalog_attestation a JOIN keyed k ON a.contract_key = k.contract_key AND lower(hex(a.metadata_hash)) = k.metadata_hash
+  LEFT JOIN envelope e ON e.contract_key = a.contract_key WHERE nonce IS NOT NULL)
+SELECT contract_key, metadata_hash, contributor_pubkey, title, snippet, size_bytes, version, coalesce(difficulty, 0)::SMALLINT AS difficulty, token_created_at FROM d""",
+    "shard_events": f"WITH {POSTINGS} SELECT word, contract_key, snippet, tf_idf_score, 1::SMALLINT AS difficulty FROM postings",
+    "filter_round_trip": f"WITH {att()} SELECT DISTINCT unnest({bits('(encode(contract_key) || unhex(contributor_pubkey))')}) AS bit FROM att",
+    "stream_deltas": f"""WITH {MARKED}, att AS (SELECT contract_key, metadata_hash, contributor_pubkey FROM marked WHERE reject_reason IS NULL GROUP BY ALL), {final()} SELECT * FROM final""",
+    "stream_postings": f"WITH {POSTINGS} SELECT * FROM postings WHERE shard_id % 2 = 0 OR length(word) <> 9",
+    "search_after_batch": f"""WITH {POSTINGS}, {TERMS}, m AS (SELECT p.*, times, n FROM postings p JOIN terms t ON p.word = t.word, (VALUES (1), (2)) AS b(n) WHERE shard_id % 2 = 0 OR (n = 2 AND length(p.word) <> 9)),
+r AS (SELECT n, contract_key, least(sum(tf_idf_score * times), 4294967295)::BIGINT AS relevance FROM m GROUP BY ALL) SELECT count(*) AS keys, sum(relevance)::BIGINT AS relevance FROM r GROUP BY n""",
+    "stream_discovered": "SELECT DISTINCT contract_key FROM catalog_attestation",
+    "container_extract": f"""WITH pages AS (SELECT DISTINCT page_id, contract_key, floor(epoch(captured_at))::BIGINT AS version, coalesce(title, '') AS t, translate(coalesce(description, ''), '"<>', '') AS d, coalesce(snippet, '') AS s FROM page_metadata),
+e AS (SELECT page_id, contract_key, version, regexp_replace(trim(regexp_replace(t, '^{WHITE}+|{WHITE}+$', '', 'g')), '<[^>]*>?|>', '', 'g') AS t, d, {VISIBLE} AS v FROM pages),
+c AS (SELECT contract_key, version, left({norm('t')}, 256) AS title, left({norm('d')}, 1024) AS description, left({norm(cut('v', 2000))}, 2000) AS snippet, left({norm(cut('v', 300))}, 300) AS mini_snippet FROM e)
+SELECT *, {mhash('title', 'description', 'snippet')} AS metadata_hash FROM c""",
 }
