@@ -186,7 +186,7 @@ picked AS (
 SQL = {
     "p1_scores": _TERMS + "SELECT variant_id, term, tf, record_terms, total_tf, groups, round(score, 4) + 0.0 AS score FROM scored",
     "p1_distinctive": _TERMS + f"SELECT variant_id, term, round(score, 4) AS score FROM scored WHERE round(score, 4) > {SIGNIFICANT}",
-    "p1_found": _TERMS + "SELECT variant_id, term FROM scored WHERE score > 0 AND tf >= 3 AND groups BETWEEN 2 AND 8 AND regexp_matches(term, '^[a-z]{4,}$')",
+    "p1_found": _TERMS + "SELECT variant_id, term FROM scored WHERE tf >= 3 AND groups BETWEEN 2 AND 8 AND regexp_matches(term, '^[a-z]{4,}$')",
     "p5_found": _SURVIVORS + "SELECT group_app_id, field, app_id FROM picked",
     "p5_records": _SURVIVORS
     + """SELECT p.group_app_id, max(g.contract_key) FILTER (WHERE field = 'record') AS contract_key, max(g.title) FILTER (WHERE field = 'record') AS title,
