@@ -30,7 +30,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import discard, materialize
 
 # Letters of other scripts that look like a Latin letter in common fonts.
 LOOK_ALIKES = {
@@ -238,14 +238,16 @@ def consistent_records(df: DataFrame, key: str, *texts: str) -> DataFrame:
 
 
 def _alike(df: DataFrame, key: str, *texts: str) -> DataFrame:
-    """(form, raw, id) of records whose texts have the same forms as other records' but are not equal to them as they stand; forms
-    and texts as digests of 128 bits. The transducer runs once over each record; what it gives is written, as it is read
-    for the choice of forms and for their records."""
+    """(form, raw, id), written, of records whose texts have the same forms as other records' but are not equal to them as they
+    stand; forms and texts as digests of 128 bits. The transducer runs once over each record; what it gives is written
+    too, as it is read for the choice of forms and for their records."""
     digest = lambda cols: F.substring(F.unhex(F.sha2(F.concat_ws("\x00", *cols), 256)), 1, 16)
     raw = [F.coalesce(F.col(t), F.lit("")) for t in texts]
     rows = materialize(df.select(digest([consistent_form(F.col(t)) for t in texts]).alias("form"), digest(raw).alias("raw"), F.col(key).alias("id")))
     several = rows.groupBy("form").agg(F.min("raw").alias("first"), F.max("raw").alias("last")).where("first <> last").select("form")
-    return rows.join(several, "form", "left_semi")
+    out = materialize(rows.join(several, "form", "left_semi"))
+    discard(rows)
+    return out
 
 
 def look_alikes(df: DataFrame, key: str, *texts: str) -> DataFrame:
@@ -253,7 +255,7 @@ def look_alikes(df: DataFrame, key: str, *texts: str) -> DataFrame:
 
     Records with equal texts make one class. Only classes are paired, by the digest of their forms; members join them
     afterwards, so a text that a third of all records share costs no comparison with itself."""
-    members = materialize(_alike(df, key, *texts))
+    members = _alike(df, key, *texts)
     classes = members.select("form", "raw").distinct()
     pairs = classes.withColumnRenamed("raw", "raw_a").join(classes.withColumnRenamed("raw", "raw_b"), "form").where("raw_a < raw_b")
     a = members.select("form", F.col("raw").alias("raw_a"), F.col("id").alias("a"))
@@ -265,7 +267,7 @@ def look_alikes(df: DataFrame, key: str, *texts: str) -> DataFrame:
 def look_alike_groups(df: DataFrame, key: str, *texts: str) -> DataFrame:
     """(id, class_id, group_id), one row per record that looks like another one with other characters: the smallest ids of the records
     with its very texts and of those that look like it."""
-    members = materialize(_alike(df, key, *texts))
+    members = _alike(df, key, *texts)
     classes = members.groupBy("form", "raw").agg(F.min("id").alias("class_id"))
     groups = classes.groupBy("form").agg(F.min("class_id").alias("group_id"))
     return members.join(classes, ["form", "raw"]).join(groups, "form").select("id", "class_id", "group_id")

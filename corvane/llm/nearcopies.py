@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, text_of
+from .common import discard, materialize, text_of
 
 TREES, LEAST, DEPTH, REGION, ORDERS, DEEPER, LEVELS = 24, 3, 5, 128, 10, 3, 2
 #: Bits of a signature value in a label.
@@ -193,13 +193,15 @@ def _block_candidates(members: DataFrame, most_bits: int) -> DataFrame:
 
 
 def candidates(signed: DataFrame, threshold: float) -> DataFrame:
-    """(id_a, id_b), each once, of `signed` (id, labels, s0...): pairs that the forest brings together."""
+    """(id_a, id_b), each once, of `signed` (id, labels, s0...): pairs that the forest brings together. Written, as what they come
+    from is deleted."""
     most_bits = _most_bits(threshold)
     entries = signed.select("id", *_SKETCH, F.posexplode("labels").alias("tree", "label"))
     entries, rows, depths = entries.withColumn("order", F.col("tree").cast("long")), signed.count() * TREES, (LEAST, DEPTH)
-    found: list[DataFrame] = []
+    found, steps = [], []
     for level in range(LEVELS + 1):
         step = materialize(_sorted_candidates(entries, *depths, rows, most_bits))
+        steps.append(step)
         found.append(step.where("region IS NULL").select("id_a", "id_b"))
         dense = step.where("region IS NOT NULL").select(F.col("id_a").alias("id"), "region").distinct()
         rows = dense.count() * ORDERS
@@ -215,7 +217,9 @@ def candidates(signed: DataFrame, threshold: float) -> DataFrame:
         order = F.xxhash64("region", "nth").bitwiseAND(F.lit(-32)).bitwiseOR(F.col("region").bitwiseAND(F.lit(31)))
         entries = entries.select("id", *_SKETCH, order.alias("order"), F.shiftright("label", VALUE * (DEPTH - DEEPER)).alias("label"))
         depths = (DEEPER - 1, DEEPER)
-    return reduce(DataFrame.union, found).distinct()
+    out = materialize(reduce(DataFrame.union, found).distinct())
+    discard(*steps)
+    return out
 
 
 def near_copy_links(df: DataFrame, key: str, text: Column, threshold: float) -> tuple[DataFrame, DataFrame]:
@@ -228,7 +232,7 @@ def near_copy_links(df: DataFrame, key: str, text: Column, threshold: float) ->
     reps = rows.groupBy("set").agg(F.min("id").alias("rep"))
     members = materialize(rows.select("set", "id").join(reps, "set").select("rep", "id"))
     signed = rows.drop("set", "text").join(members.where("rep = id").select("id"), "id", "left_semi")
-    pairs = materialize(candidates(signed, threshold))
+    pairs = candidates(signed, threshold)
     needed = rows.join(pairs.select(F.explode(F.array("id_a", "id_b")).alias("id")).distinct(), "id", "left_semi")
     words = lambda s: needed.select(F.col("id").alias(f"id_{s}"), word_hashes(F.col("text")).alias(f"words_{s}"))
     common = F.size(F.array_intersect("words_a", "words_b"))
@@ -257,14 +261,16 @@ def components(links: DataFrame) -> DataFrame:
     """(id, group): the smallest id that each linked id is connected with. Every round takes the smallest label among the
     neighbours and then the label of that label, so the number of rounds grows with the logarithm of the longest path."""
     edges = materialize(links.select("id_a", "id_b").union(links.select("id_b", "id_a")).toDF("id", "other").distinct())
-    labels = materialize(edges.groupBy("id").agg(F.least(F.col("id"), F.min("other")).alias("group")))
+    held = labels = materialize(edges.groupBy("id").agg(F.least(F.col("id"), F.min("other")).alias("group")))
     while True:
         near = edges.join(labels.select(F.col("id").alias("other"), "group"), "other").groupBy("id").agg(F.min("group").alias("near"))
         step = labels.join(near, "id").select("id", F.col("group").alias("before"), F.least("group", "near").alias("group"))
         jump = labels.select(F.col("id").alias("group"), F.col("group").alias("further"))
         after = materialize(step.join(jump, "group", "left").select("id", "before", F.least("group", F.coalesce("further", "group")).alias("group")))
-        labels = after.select("id", "group")
+        discard(held)
+        held, labels = after, after.select("id", "group")
         if after.where(F.col("before") != F.col("group")).isEmpty():
+            discard(edges)
             return labels
 
 
