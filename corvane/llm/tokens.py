@@ -4,8 +4,8 @@ The ids of a pre-token come from a dynamic programme over its byte prefixes. For
 with which its encoding ends; that token is found by trying the vocabulary entries that end there, longest first, and
 keeping the one that is compatible with the last token of the prefix before it. Two neighbouring tokens are compatible
 if merging their bytes from scratch would yield these two again. Walking the stored last tokens backwards gives the ids.
-As the entries of a prefix never change when bytes are appended, an append costs only the new bytes, and an edit only
-the pre-tokens around it (`Encoded`).
+As the entries of a prefix never change when bytes are appended, an append goes on from the stored entries of the last
+pre-token and costs only the new bytes, and an edit encodes only the pre-tokens around it anew (`Encoded`).
 
 Defined results: a null text and an empty text both have the empty list of ids. Strings of special tokens inside a text
 are ordinary text. Texts of any length are encoded as a whole. Equal rows get equal ids; other columns are kept as they are.
@@ -154,6 +154,8 @@ class Encoded:
     def __init__(self, encoder: PrefixEncoder, text: str = ""):
         self.encoder, self.pieces = encoder, encoder.pieces.findall(text)
         self.each = [encoder.piece(p) for p in self.pieces]
+        #: The last tokens of all prefixes of the last pre-token, and its bytes, once an append has needed them.
+        self.lasts: tuple[bytes, list[int]] = (b"", [-1])
 
     @property
     def text(self) -> str:
@@ -164,7 +166,19 @@ class Encoded:
         return [i for ids in self.each for i in ids]
 
     def append(self, more: str) -> None:
-        self.edit(sum(map(len, self.pieces)), 0, more)
+        """Pre-tokens before the last one end where they end whatever follows; the last one may go on, and its own prefixes keep
+        their last tokens."""
+        if not more:
+            return
+        tail = self.pieces.pop() if self.pieces else ""
+        if tail:
+            self.each.pop()
+        for piece in self.encoder.pieces.findall(tail + more):
+            raw = piece.encode("utf-8", "replace")
+            done, known = self.lasts
+            self.lasts = raw, self.encoder.lasts(raw, known if raw.startswith(done) else None)
+            self.pieces.append(piece)
+            self.each.append(self.encoder.walk(raw, self.lasts[1]))
 
     def edit(self, at: int, remove: int, insert: str) -> None:
         """Replaces `remove` characters from `at` on by `insert`. Encoding starts two pre-tokens before the change and goes on
@@ -192,7 +206,7 @@ class Encoded:
             if m.end() in ends:
                 resume = ends[m.end()]
                 break
-        self.pieces[k:resume], self.each[k:resume] = pieces, each
+        self.pieces[k:resume], self.each[k:resume], self.lasts = pieces, each, (b"", [-1])
 
 
 @lru_cache(maxsize=4)
