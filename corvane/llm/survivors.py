@@ -24,34 +24,58 @@ def group_text(text: Column) -> Column:
     return F.when(t != "", t)
 
 
+def _best(df: DataFrame, key: str, group: Column, fields: Mapping[str, tuple[Column, Sequence[Column]]], values: Mapping[str, Column]) -> DataFrame:
+    """(_group, _n, _first, _field...): of each group the best struct of each field; a field of `values` carries its value along."""
+
+    def composite(name: str) -> Column:
+        has, by = fields[name]
+        parts = [has.alias("has"), *[p.alias(f"p{k}") for k, p in enumerate(by)], (-F.col(key)).alias("id")]
+        return F.struct(*parts, *([values[name].alias("value")] if name in values else [])).alias(f"_{name}")
+
+    rows = df.select(F.col(key).alias("_id"), group.alias("_group"), *map(composite, fields))
+    best = rows.where(F.col("_group").isNotNull()).groupBy("_group").agg(F.count(F.lit(1)).alias("_n"), F.min("_id").alias("_first"), *[F.max(f"_{name}").alias(f"_{name}") for name in fields])
+    return best.where("_n >= 2")
+
+
 def survivors(df: DataFrame, key: str, group: Column, fields: Mapping[str, tuple[Column, Sequence[Column]]]) -> DataFrame:
     """(group_id, field, id): for each group of two or more and each field, the record it comes from. `fields` gives for each
     name whether a record has the field, and the priorities by which records that have it are ordered, highest first."""
-    rows = df.select(F.col(key).alias("_id"), group.alias("_group"), *[F.struct(has.alias("has"), *[p.alias(f"p{k}") for k, p in enumerate(by)], (-F.col(key)).alias("id")).alias(f"_{name}") for name, (has, by) in fields.items()])
-    best = rows.where(F.col("_group").isNotNull()).groupBy("_group").agg(F.count(F.lit(1)).alias("_n"), F.min("_id").alias("_first"), *[F.max(f"_{name}").alias(f"_{name}") for name in fields])
     chosen = F.array(*[F.struct(F.lit(name).alias("field"), F.col(f"_{name}.has").alias("has"), (-F.col(f"_{name}.id")).alias("id")) for name in fields])
-    return best.where("_n >= 2").select(F.col("_first").alias("group_id"), F.explode(chosen).alias("c")).where("c.has").select("group_id", F.col("c.field").alias("field"), F.col("c.id").alias("id"))
+    best = _best(df, key, group, fields, {})
+    return best.select(F.col("_first").alias("group_id"), F.explode(chosen).alias("c")).where("c.has").select("group_id", F.col("c.field").alias("field"), F.col("c.id").alias("id"))
 
 
-def app_survivors(apps: DataFrame, variants: DataFrame) -> DataFrame:
-    """(group_app_id, field, app_id) of apps with the same title; the weight of an app sums its key's variants."""
+def survivor_values(df: DataFrame, key: str, group: Column, fields: Mapping[str, tuple[Column, Sequence[Column]]], values: Mapping[str, Column]) -> DataFrame:
+    """(group_id, field...): the values of the surviving records themselves, out of the same single aggregation; null for a field
+    that the whole group lacks."""
+    best = _best(df, key, group, fields, values)
+    return best.select(F.col("_first").alias("group_id"), *[F.when(F.col(f"_{name}.has"), F.col(f"_{name}.value")).alias(name) for name in values])
+
+
+def _app_fields(apps: DataFrame, variants: DataFrame) -> tuple[DataFrame, dict[str, tuple[Column, list[Column]]]]:
+    """Apps with the weight of their key's variants, and by what each field is chosen."""
     weights = variants.groupBy(F.col("contract_key").alias("_key")).agg(F.sum("total_weight").alias("_weight"))
-    joined = apps.select("app_id", "contract_key", "title", (F.coalesce("description", F.lit("")) != "").alias("_described"), "size_bytes", "version").join(weights, F.col("contract_key") == F.col("_key"), "left")
+    joined = apps.withColumn("_described", F.coalesce("description", F.lit("")) != "").join(weights, F.col("contract_key") == F.col("_key"), "left")
     zero = lambda c: F.coalesce(F.col(c), F.lit(0))
-    yes, described = F.lit(True), F.col("_described")
-    fields = {
-        "record": (yes, [described.cast("int"), zero("_weight"), zero("size_bytes"), zero("version")]),
+    described = F.col("_described")
+    return joined, {
+        "record": (F.lit(True), [described.cast("int"), zero("_weight"), zero("size_bytes"), zero("version")]),
         "description": (described, [zero("_weight")]),
         "size_bytes": (F.col("size_bytes").isNotNull(), [F.col("size_bytes")]),
         "version": (F.col("version").isNotNull(), [F.col("version")]),
     }
+
+
+def app_survivors(apps: DataFrame, variants: DataFrame) -> DataFrame:
+    """(group_app_id, field, app_id) of apps with the same title; the weight of an app sums its key's variants."""
+    joined, fields = _app_fields(apps, variants)
     return survivors(joined, "app_id", group_text(F.col("title")), fields).select(F.col("group_id").alias("group_app_id"), "field", F.col("id").alias("app_id"))
 
 
 def surviving_records(apps: DataFrame, variants: DataFrame) -> DataFrame:
     """One built record per group: (group_app_id, contract_key, title, description, size_bytes, version), each value from the
     app that survives for it. A field that the whole group lacks is null."""
-    picked = app_survivors(apps, variants)
-    value = F.struct("app_id", "contract_key", "title", "description", "size_bytes", "version").alias("v")
-    at = lambda field, col: F.max(F.when(F.col("field") == field, F.col(f"v.{col}"))).alias(col)
-    return picked.join(apps.select(F.col("app_id"), value), "app_id").groupBy("group_app_id").agg(at("record", "contract_key"), at("record", "title"), at("description", "description"), at("size_bytes", "size_bytes"), at("version", "version"))
+    joined, fields = _app_fields(apps, variants)
+    values = {"record": F.struct("contract_key", "title"), "description": F.col("description"), "size_bytes": F.col("size_bytes"), "version": F.col("version")}
+    built = survivor_values(joined, "app_id", group_text(F.col("title")), fields, values)
+    return built.select(F.col("group_id").alias("group_app_id"), "record.contract_key", "record.title", "description", "size_bytes", "version")
