@@ -96,6 +96,7 @@ _TAIL = re.compile(r"(?:\s*(?:\[\d+\]|ok|✕|▼))*\W*$")
 _WORDS = re.compile(r"[^\W\d_]+|\d+")
 #: Where one block may have run into the next.
 _JOINS = re.compile(r" [·|] |(?<=[a-zäöüéàß.])(?=[A-ZÄÖÜÉÀ©])")
+_MARKS = [(s, f" {s} ") for s in "|/·»>,•"]
 _ITEMS = re.compile(r"\s[|/·»>,•]\s|, ")
 _END = re.compile(r"[.!?…]\W*$")
 _LABEL = re.compile(r"\W*[^:]{2,24}: ")
@@ -115,7 +116,7 @@ def cue(form: str) -> bool:
 
 def tongue_of(forms: Iterable[str]) -> str:
     """The language of most function words of a page, empty without any."""
-    seen = Counter(t for f in forms for w in _WORDS.findall(f.lower()) if (t := _TONGUE.get(w)))
+    seen = Counter(t for f in forms for w in split_words(f) if (t := _TONGUE.get(w)))
     return min(seen, key=lambda t: (-seen[t], t)) if seen else ""
 
 
@@ -185,22 +186,28 @@ def path_of(form: str, description: bool, nth: int, of: int) -> list[str]:
         place = ("first", "second", "third")[nth] if nth < 3 else ("last", "last but one")[of - 1 - nth] if of - nth < 3 else "inside"
     lead = _LEAD.match(form)
     n = len(form.split())
-    parts = [s for s in "|/·»>,•" if form.count(f" {s} ") + (form.count(", ") if s == "," else 0) > 1]
+    parts = [s for s, spaced in _MARKS if form.count(spaced) + (form.count(", ") if s == "," else 0) > 1]
     case = "upper" if form.isupper() else "title" if form.istitle() else "mixed" if _HUMP.search(form) else "plain"
     end = form[-1:] if form[-1:] in ".:?!✕▼]" else "word"
     size = f"size {min(n.bit_length(), 6)}"
-    steps = [place, f"mark {lead[0].strip()[:1] if lead else ''}", f"items {''.join(parts)}", f"case {case}", f"end {end}", size, f"digits {min(sum(c.isdigit() for c in form), 3)}"]
+    steps = [place, f"mark {lead[0].strip()[:1] if lead else ''}", f"items {''.join(parts)}", f"case {case}", f"end {end}", size, f"digits {min(sum(map(str.isdigit, form)), 3)}"]
     return steps + [f"{size} {steps[2]}", f"{size} end {end}"]
 
 
+@lru_cache(maxsize=20_000)
+def _path(step: str) -> int:
+    return zlib.crc32(step.encode()) % PATHS
+
+
 @lru_cache(maxsize=200_000)
 def _bucket(word: str) -> int:
     return zlib.crc32(word.encode("utf-8", "replace")) % BUCKETS
 
 
-def split_words(form: str) -> list[str]:
+@lru_cache(maxsize=20_000)
+def split_words(form: str) -> tuple[str, ...]:
     """Lower-case words, numbers as 0; run-together list items are told apart at their capitals."""
-    return ["0" if w[0].isdigit() else w for w in _WORDS.findall(_HUMP.sub(" ", form).lower())]
+    return tuple("0" if w[0].isdigit() else w for w in _WORDS.findall(_HUMP.sub(" ", form).lower()))
 
 
 def words_of(form: str, known: frozenset[str] | None = None) -> list[int]:
@@ -238,7 +245,7 @@ class Features:
                 words += w
                 counts.append(len(w))
                 nth = step - (len(page) - len(lines))
-                paths.append([zlib.crc32(s.encode()) % PATHS for s in path_of(form, n == 0, nth, len(lines))])
+                paths.append([*map(_path, path_of(form, n == 0, nth, len(lines)))])
                 self.at.append(k * max(int(self.length.max()), 1) + step)
         self.words, self.counts = np.array(words, np.int64), np.array(counts, np.int64)
         self.paths = np.array(paths, np.int64).reshape(len(counts), -1)
