@@ -35,6 +35,12 @@ def _table(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
+def _spread(df: DataFrame) -> DataFrame:
+    """A plain scan over all cores: a table of fewer parts than there are cores is dealt out, as its texts are much work."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def _hex(c: str):
     return F.lower(F.hex(c)).alias(c)
 
@@ -168,7 +174,7 @@ def _types(spark: SparkSession, d: str) -> DataFrame:
 
 
 def tokens(spark, d):
-    return postings.tokens(_table(spark, d, "documents").where("text IS NOT NULL"), "doc_id", "text")
+    return postings.tokens(_spread(_table(spark, d, "documents").where("text IS NOT NULL").select("doc_id", "text")), "doc_id", "text")
 
 
 def normalize_text(spark, d):
@@ -192,7 +198,7 @@ def shard_routing(spark, d):
 
 
 def tfidf(spark, d):
-    return postings.scored_words(_table(spark, d, "documents"), "doc_id", "text")
+    return postings.scored_words(_spread(_table(spark, d, "documents").select("doc_id", "text")), "doc_id", "text")
 
 
 def rank_score(spark, d):
