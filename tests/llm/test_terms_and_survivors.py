@@ -115,3 +115,29 @@ def test_cases_are_those_of_all_scores(spark, monkeypatch, most):
     assert {(r.id, r.term): (r.tf, r.record_terms, r.total_tf, r.groups, r.score) for r in got} == want
     assert len(want) > 20
     assert {r.score > 10.83 for r in significant_terms(every).collect()} == {True}
+
+
+@pytest.mark.parametrize("most", [0, 200_000])
+def test_cases_are_counted_without_scores(spark, monkeypatch, most):
+    """No score is computed and nothing is written that only a score needs; the cases are those of a plain count."""
+    written = []
+    monkeypatch.setattr(distinctive, "MOST_TERMS", most)
+    monkeypatch.setattr(distinctive, "log_likelihood", lambda *_: pytest.fail("cases have no score in them"))
+    materialize = distinctive.materialize
+    monkeypatch.setattr(distinctive, "materialize", lambda df: written.append(materialize(df)) or written[-1])
+    rng = random.Random(3)
+    words = ["pump", "valve", "hose", "abc", "w3", "crêpe", "the", "seal", "gear", "bolt"]
+    rows = [(k, None if k % 11 == 0 else f"key{k % 13}", " ".join(rng.choices(words[: 3 + k % 8], k=9)), f"rare{'abcdefg'[k % 7]} " * (k % 5), None) for k in range(60)]
+    got = [tuple(r) for r in distinctive_cases(spark.createDataFrame(rows, COLS), "id", "grp", "a", "b", "c").collect()]
+    want = {key for key, (tf, _, groups, _) in brute(rows).items() if tf >= 3 and 2 <= groups <= 8 and re.fullmatch("[a-z]{4,}", key[1])}
+    assert len(got) == len(set(got)) and set(got) == want and len(want) > 5
+    assert [set(df.columns) for df in written] == [{"term"}, {"_id", "_group", "term", "tf"}]
+    assert {r.term for r in written[0].collect()} >= {term for _, term in want}
+    assert not {r.term for r in written[0].collect()} & {"abc", "w3", "crêpe", "the"}
+
+
+def test_texts_are_cut_once(spark):
+    df = spark.createDataFrame(RECORDS, COLS)
+    plan = distinctive._records(df, "id", "grp", "a", "b", "c")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("split(") == 1
+    assert {r._id for r in distinctive._records(df, "id", "grp", "a", "b", "c").collect()} == {1, 2, 4, 5}
