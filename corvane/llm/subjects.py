@@ -36,9 +36,10 @@ labels the lexicon is empty and so is the result. Repeated texts get the same su
 from __future__ import annotations
 
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from contextlib import contextmanager
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -65,7 +66,20 @@ LEVELS = {"lex": len(SHARES) + 1, "sec": 3, "adr": 3}
 FIRST = (0.02, 0.2, 0.45, 0.7, 0.9, 0.97, 0.99)
 
 _WORDS = re.compile(r"[^\W\d_]+")
-_SENTENCES = re.compile(r"(?<=[.!?…])\s+")
+#: What stands for a sentence's last sign, for "#" and for all else that is neither letter nor blank. `str.split` takes them for blanks.
+_END, _HEAD, _OTHER = "\x1e", "\x1d", "\x1f"
+
+
+@lru_cache(maxsize=10_000)
+def _kind(c: str) -> str:
+    """The character itself if words are made of it or it ends a line, else what stands for its kind."""
+    if c == "\n" or _WORDS.fullmatch(c):
+        return c
+    return " " if c.isspace() else _END if c in ".!?…" else _HEAD if c == "#" else _OTHER
+
+
+_ASCII = bytes(range(128))
+_KINDS = bytes(ord(_kind(chr(i))) for i in range(128)) + bytes(range(128, 256))
 
 
 #: The words that furniture of sites is made of; a sentence of mostly these is about no subject, whatever it names.
@@ -77,30 +91,52 @@ _LISTED = tuple(w for w in NAVIGATION.split() if len(w) > 2)
 
 
 def furniture(words: list[str]) -> bool:
-    here = sum(map(_FURNITURE.__contains__, words)) + sum(len(w) > 12 and w not in _FURNITURE and w.startswith(_LISTED) for w in words)
+    long = [w for w in words if len(w) > 12]
+    if not long and _FURNITURE.isdisjoint(words):
+        return False
+    here = sum(map(_FURNITURE.__contains__, words)) + sum(w not in _FURNITURE and w.startswith(_LISTED) for w in long)
     if len(words) > 6 and 5 * here < len(words):
         return False
     return here >= MOSTLY * max(1, sum(len(w) > 3 for w in words))
 
 
+def _beyond_ascii(text: bytes) -> str:
+    return text.translate(None, _ASCII).decode("utf-8", "surrogatepass")
+
+
 def readable(text: str) -> str:
-    """The text in consistent form, line by line, where it holds characters that the form may alter."""
-    if text.isascii() or not altered().search(text):
+    """The text in consistent form, line by line, where it holds characters that the form may alter; where these are few, only
+    the parts between blanks that hold them. The form of a part is that of the same part of its line, but for the order of marks
+    after a blank, of which no word is made."""
+    if text.isascii() or not (many := len(altered().findall(_beyond_ascii(text.encode("utf-8", "surrogatepass"))))):
         return text
-    form = transducer()
-    return "\n".join(map(form, text.split("\n")))
+    form, found = transducer(), altered().search
+    if 2 * many > text.count(" "):
+        return "\n".join(map(form, text.split("\n")))
+    return "\n".join([" ".join([form(x) if not x.isascii() and found(x) else x for x in line.split(" ")]) for line in text.split("\n")])
 
 
 def lines_of(text: str) -> Iterator[tuple[bool, list[list[str]]]]:
-    """Of each line, whether it is a heading, and the lower-case words of its sentences."""
-    for line in readable(text).lower().split("\n"):
-        words = [w for s in _SENTENCES.split(line) if (w := _WORDS.findall(s))]
+    """Of each line, whether it is a heading, and the lower-case words of its sentences. Words are runs of letters; a sentence ends
+    at one of .!?… before a blank. All characters but letters are replaced by their kinds in whole texts, so that splitting
+    at fixed strings is left."""
+    raw = readable(text).lower().encode("utf-8", "surrogatepass")
+    text = raw.translate(_KINDS).decode("utf-8", "surrogatepass")
+    if not text.isascii():
+        kinds = {c: _kind(c) for c in set(_WORDS.sub("", _beyond_ascii(raw)))}
+        if len(kinds) > 32:
+            text = text.translate(str.maketrans(kinds))
+        else:
+            for c, kind in kinds.items():
+                text = text.replace(c, kind)
+    for line in text.split("\n"):
+        words = [w for s in line.split(f"{_END} ") if (w := s.split())]
         if words:
-            yield line.lstrip().startswith("#"), words
+            yield line.lstrip(" ").startswith(_HEAD), words
 
 
 def terms_of(words: list[str]) -> set[str]:
-    return {*words, *(f"{a} {b}" for a, b in zip(words, words[1:]))}
+    return {*words, *map(" ".join, zip(words, words[1:]))}
 
 
 class Lexicon:
@@ -135,9 +171,12 @@ class Lexicon:
 
     def sentence(self, words: list[str]) -> int:
         """The subject of a sentence, -1 for none."""
-        hits = [e for e in map(self.entry.get, words) if e]
+        hits = list(filter(None, map(self.entry.get, words)))
         if not hits:
             return -1
+        first = hits[0][0]
+        if first >= 0 and all([k == first for k, _ in hits]):
+            return -1 if furniture(words) else first
         score: dict[int, float] = {}
         for k, x in hits:
             score[k] = score.get(k, 0.0) + x
@@ -171,23 +210,19 @@ class Lexicon:
         aside."""
         if not text or not self.word:
             return -1, set()
-        of, total, words = defaultdict(int), 0, set()
-        for _, sentences in lines_of(text):
-            for here in sentences:
-                total += 1
-                words.update(here)
-                of[self.sentence(here)] += 1
+        sentences = [words for _, line in lines_of(text) for words in line]
+        of, total = Counter(map(self.sentence, sentences)), len(sentences)
         of.pop(-1, None)
         if not of:
             return -1, set()
         k = max(of, key=lambda x: (of[x], -x))
         if of[k] < 2 or of[k] < 0.15 * total or of[k] < 0.8 * sum(of.values()):
             return -1, set()
-        return k, self.lacking(words)
+        return k, self.lacking(set().union(*sentences))
 
     def lacking(self, words: set[str]) -> set[str]:
         """Those of the words that are not in the lexicon but may join it."""
-        return {w for w in words if len(w) > 3 and w not in self.entry and w not in _FURNITURE and not (len(w) > 12 and w.startswith(_LISTED))}
+        return {w for w in words.difference(self.entry, _FURNITURE) if len(w) > 3 and not (len(w) > 12 and w.startswith(_LISTED))}
 
     def learn(self, rows: list) -> Lexicon:
         """With further words, of (word, subject, weight)."""
@@ -211,6 +246,20 @@ class Lexicon:
         return max(found, key=lambda x: (x[1], -x[0]))[0] if found else -1
 
 
+def tallied(got: dict[tuple[int, ...], Counter], size: int) -> tuple[list[str], np.ndarray]:
+    """The terms counted by the subjects of their texts, and a row for each of `size` subjects, to which a text of several gives
+    equal parts of one, and one for the number of texts."""
+    terms = list(set().union(*got.values()))
+    place, rows = {t: i for i, t in enumerate(terms)}, np.zeros((size + 1, len(terms)))
+    for of, counts in got.items():
+        at = np.fromiter(map(place.__getitem__, counts), np.int64, len(counts))
+        n = np.fromiter(counts.values(), np.float64, len(counts))
+        rows[size, at] += n
+        for k in of:
+            rows[k, at] += n / len(of)
+    return terms, rows
+
+
 def fit_lexicon(documents: DataFrame, labels: DataFrame, subjects: list[str], most: int = FIT_LABELS) -> Lexicon:
     """From the texts of the labelled documents; the labels are cut by hash to `most`, so they may be broadcast."""
     known = labels.where(F.col("subject").isin(subjects)).select("doc_id", "subject").distinct()
@@ -220,25 +269,20 @@ def fit_lexicon(documents: DataFrame, labels: DataFrame, subjects: list[str], mo
     names = [f"s{k}" for k in range(len(subjects))]
 
     def count(batches):
-        got: dict[str, list[float]] = {}
+        got: dict[tuple[int, ...], Counter] = defaultdict(Counter)
 
         def flushed():
-            cols = list(zip(*got.values(), strict=True)) if got else [[] for _ in range(len(names) + 1)]
-            out = pa.RecordBatch.from_arrays([pa.array(list(got), pa.string()), *[pa.array(c, pa.float64()) for c in cols]], names=["term", *names, "n"])
+            terms, rows = tallied(got, len(names))
             got.clear()
-            return out
+            return pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), *map(pa.array, rows)], names=["term", *names, "n"])
 
         for batch in batches:
             for text, of in zip(batch.column("text").to_pylist(), batch.column("_subjects").to_pylist(), strict=True):
                 terms = set()
-                for line in readable(text).split("\n"):
-                    terms |= terms_of(_WORDS.findall(line.lower()))
-                for t in (*terms, ""):
-                    v = got.setdefault(t, [0.0] * (len(names) + 1))
-                    v[-1] += 1
-                    for s in of:
-                        v[index[s]] += 1 / len(of)
-            if len(got) > 200_000:
+                for _, sentences in lines_of(text):
+                    terms |= terms_of([w for words in sentences for w in words])
+                got[tuple(map(index.__getitem__, of))].update((*terms, ""))
+            if sum(map(len, got.values())) > 200_000:
                 yield flushed()
         yield flushed()
 
@@ -268,23 +312,19 @@ def grow_lexicon(documents: DataFrame, lexicon: Lexicon) -> Lexicon:
     names = [f"s{k}" for k in range(size)]
 
     def count(batches):
-        got: dict[str, list[int]] = {}
+        got: dict[tuple[int, ...], Counter] = defaultdict(Counter)
 
         def flushed():
-            cols = list(zip(*got.values(), strict=True)) if got else [[] for _ in names]
-            out = pa.RecordBatch.from_arrays([pa.array(list(got), pa.string()), *[pa.array(c, pa.int64()) for c in cols]], names=["word", *names])
+            words, rows = tallied(got, size)
             got.clear()
-            return out
+            return pa.RecordBatch.from_arrays([pa.array(words, pa.string()), *map(pa.array, rows[:size].astype(np.int64))], names=["word", *names])
 
         for batch in batches:
             for text in batch.column("text").to_pylist():
                 k, words = shared.value.evidence(text)
                 if k >= 0:
-                    for w in (*words, ""):
-                        if w not in got:
-                            got[w] = [0] * size
-                        got[w][k] += 1
-            if len(got) > 200_000:
+                    got[k,].update((*words, ""))
+            if sum(map(len, got.values())) > 200_000:
                 yield flushed()
         yield flushed()
 

@@ -1,11 +1,14 @@
 import random
+import re
+import time
+from collections import Counter
 
 import numpy as np
 import pytest
 
 from corvane.llm.blocks import Counts, Features, Labeller, agreed, blocks_of, count_over, cue, fit_labeller, label_blocks, load_labeller, main_content, page_blocks, save_labeller, tongue_of, votes_of
 from corvane.llm import subjects
-from corvane.llm.forms import transducer
+from corvane.llm.forms import altered, transducer
 from corvane.llm.subjects import Lexicon, fit_lexicon, grow_lexicon, learn, subject_posteriors, subjects_found
 
 CONTENT = ["The makers care about guild archives more than about pilgrim roads.", "Print any page of treaties with one tap.", "Old fortresses can be moved to the shelf.", "* 12 pottery shards", "Short version: Three editors check all census rolls for errors."]
@@ -171,6 +174,57 @@ def test_every_unclean_character_is_read_in_the_consistent_form():
             assert words(transducer()(text)) == words(text), hex(at)
 
 
+def plain_lines(text):
+    """What `lines_of` gives, as it is defined: by the form of whole lines and expressions for words and sentences' ends."""
+    if not text.isascii() and altered().search(text):
+        text = "\n".join(map(transducer(), text.split("\n")))
+    lines = [(line.lstrip().startswith("#"), [w for s in re.split(r"(?<=[.!?…])\s+", line) if (w := re.findall(r"[^\W\d_]+", s))]) for line in text.lower().split("\n")]
+    return [x for x in lines if x[1]]
+
+
+def test_lines_are_as_defined():
+    rng = random.Random(3)
+    signs = [*"aAzZß9_.!?…#-'|\n\r\t\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u2028\u3000\u200b\u200d\ufe0f\u0301\u0308\u0e33\uff9e각İΣσéñ中²½ªа．", *" " * 12, *[". "] * 4, "\u1112", "\u1161", "\U0001f468"]
+    every = [*map(chr, range(0xD800)), *map(chr, range(0xE000, 0x20000))]
+    for k in range(10_000):
+        text = "".join(" " if rng.random() < k % 2 / 2 else rng.choice(signs if rng.random() < 0.8 else every) for _ in range(rng.randint(0, 40)))
+        assert list(subjects.lines_of(text)) == plain_lines(text), ascii(text)
+    many = "".join(map(chr, range(0x2000, 0x2C00)))
+    assert list(subjects.lines_of(f"# One… two\n{many} three. four")) == plain_lines(f"# One… two\n{many} three. four")
+
+
+def test_only_parts_with_altered_characters_are_formed(monkeypatch):
+    formed = []
+    monkeypatch.setattr(subjects, "transducer", lambda: lambda x: formed.append(x) or transducer()(x))
+    assert list(subjects.lines_of("# Été\nReaders asked for mаrinades. – We did!")) == [(True, [["été"]]), (False, [["readers", "asked", "for", "marinades"], ["we", "did"]])]
+    assert formed == ["mаrinades."]
+
+
+def test_lines_cost_less_than_expressions_do():
+    rng = random.Random(6)
+    texts = ["\n".join(document(rng, rng.choice(["food", "law"])) + " – él, 1984." * (k % 2) for _ in range(3)) for k in range(300)]
+
+    def seconds(f):
+        times = []
+        for _ in range(7):
+            began = time.process_time()
+            for x in texts:
+                list(f(x))
+            times.append(time.process_time() - began)
+        return min(times)
+
+    plain_lines(texts[1]), list(subjects.lines_of(texts[1]))
+    assert seconds(subjects.lines_of) < 0.75 * seconds(plain_lines)
+
+
+def test_tallies_give_equal_parts():
+    terms, rows = subjects.tallied({(0,): Counter(a=2, b=1), (0, 1): Counter(a=1)}, 2)
+    assert dict(zip(terms, rows.T.tolist(), strict=True)) == {"a": [2.5, 0.5, 3], "b": [1, 0, 1]}
+    terms, rows = subjects.tallied({}, 2)
+    assert terms == []
+    assert rows.shape == (3, 0)
+
+
 def test_labels_are_bounded_by_hash(spark):
     d = spark.createDataFrame([(k, "marinades dumplings") for k in range(50)], "doc_id long, text string")
     lab = spark.createDataFrame([(k, "food") for k in range(50)], "doc_id long, subject string")
