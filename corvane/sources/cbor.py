@@ -13,6 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.postings import batched
 from ..schemas import CONFIG
 
 _NONE = (1 << 64) - 1  # "never seen" in unsigned times
@@ -318,9 +319,7 @@ def catalog_blobs(variants: DataFrame, weighted: DataFrame, envelope: DataFrame,
 
 def shard_blobs(postings: DataFrame, batch: int = 10_000) -> DataFrame:
     """(shard_id, state): states of shards as they are kept, each shard in states of at most about `batch` postings."""
-    parts = postings.groupBy("shard_id").agg((F.floor(F.count(F.lit(1)) / batch) + 1).alias("parts"))
-    placed = postings.join(parts, "shard_id").withColumn("part", F.pmod(F.xxhash64("word", "contract_key"), "parts"))
-    grouped = placed.groupBy("shard_id", "part").agg(F.sort_array(F.collect_list(F.struct("word", "contract_key", "snippet", "tf_idf_score"))).alias("p"))
+    grouped = batched(postings, batch).agg(F.sort_array(F.collect_list(F.struct("word", "contract_key", "snippet", "tf_idf_score"))).alias("p"))
 
     @F.arrow_udf("binary")
     def blobs(ids: pa.Array, rows: pa.Array) -> pa.Array:
@@ -337,10 +336,7 @@ def shard_blobs(postings: DataFrame, batch: int = 10_000) -> DataFrame:
 
 def shard_delta_blobs(postings: DataFrame, nonce: bytes = bytes(8), difficulty: int = 1, batch: int = 10_000) -> DataFrame:
     """(shard_id, delta): postings in deltas of at most about `batch` entries, so that no shard is gathered into one row."""
-    parts = F.floor(F.count(F.lit(1)).cast("long") / batch) + 1
-    sizes = postings.groupBy("shard_id").agg(parts.alias("parts"))
-    grouped = postings.join(sizes, "shard_id").groupBy("shard_id", F.pmod(F.xxhash64("word", "contract_key"), "parts").alias("part"))
-    entries = grouped.agg(F.sort_array(F.collect_list(F.struct("word", "contract_key", "snippet", "tf_idf_score"))).alias("entries"))
+    entries = batched(postings, batch).agg(F.sort_array(F.collect_list(F.struct("word", "contract_key", "snippet", "tf_idf_score"))).alias("entries"))
 
     @F.arrow_udf("binary")
     def blobs(rows: pa.Array) -> pa.Array:
