@@ -93,10 +93,10 @@ def best_variant(variant_weights: DataFrame) -> DataFrame:
     return best.select("contract_key", "b.metadata_hash", "b.total_weight")
 
 
-def catalog_finalize(attestations: DataFrame, contributors: DataFrame, threshold: int = CONFIG.confirmation_threshold) -> DataFrame:
+def catalog_finalize(attestations: DataFrame, contributors: DataFrame, threshold: int = CONFIG.confirmation_threshold, trust: DataFrame | None = None) -> DataFrame:
     """(contract_key, status, att_count, weighted_att, best_hash, best_weight): contributors, trust, weights and status in one
-    pass; status depends on counts alone, so nothing has to be repeated."""
-    weights = variant_weights(attestation_weights(attestations, contributor_trust(attestations, contributors, threshold)))
+    pass; status depends on counts alone, so nothing has to be repeated. `trust` is `contributor_trust` where that is saved."""
+    weights = variant_weights(attestation_weights(attestations, contributor_trust(attestations, contributors, threshold) if trust is None else trust))
     summed = weights.groupBy("contract_key").agg(F.sum("total_weight").alias("weighted_att"), F.max(F.struct("total_weight", "metadata_hash")).alias("b"))
     status = entry_status(attestations, threshold)
     return status.join(summed, "contract_key").select("contract_key", "status", "att_count", "weighted_att", F.col("b.metadata_hash").alias("best_hash"), F.col("b.total_weight").alias("best_weight"))
