@@ -92,9 +92,10 @@ def submitted_postings(df: DataFrame, key: str, text: str, snippet: str, score:
 
 
 def shard_merge(*states: DataFrame) -> DataFrame:
-    """Max-wins union: per (word, contract_key) the highest score with its snippet, of equal ones the smallest snippet."""
-    both = reduce(DataFrame.unionByName, states)
-    best = both.groupBy("shard_id", "word", "contract_key").agg(F.min(F.struct((-F.col("tf_idf_score")).alias("s"), "snippet")).alias("b"))
+    """Max-wins union: per (word, contract_key) the highest score with its snippet, of equal ones the smallest snippet. Moved and
+    sorted by key first, a text's equal snippets lie together and are compressed away."""
+    both = reduce(DataFrame.unionByName, states).repartition("contract_key")
+    best = both.groupBy("contract_key", "shard_id", "word").agg(F.min(F.struct((-F.col("tf_idf_score")).alias("s"), "snippet")).alias("b"))
     return best.select("shard_id", "word", "contract_key", F.col("b.snippet").alias("snippet"), (-F.col("b.s")).alias("tf_idf_score"))
 
 

@@ -69,9 +69,10 @@ def write_snapshot(df: DataFrame, root: str, *partitions: str) -> str:
     return name
 
 
-def merge_snapshot(batch: DataFrame, root: str, schema: str, bucket: Column, merge: Callable[[DataFrame, DataFrame], DataFrame]) -> list[int]:
+def merge_snapshot(batch: DataFrame, root: str, schema: str, bucket: Column, merge: Callable[[DataFrame, DataFrame], DataFrame], gather: bool = True) -> list[int]:
     """Merges a batch into the buckets that it touches: `bucket` is a small number by the key of a row, of the table and of the
-    batch alike, and `merge` makes new rows of old ones and of the batch. Returns the buckets that were rewritten."""
+    batch alike, and `merge` makes new rows of old ones and of the batch. Returns the buckets that were rewritten. Without `gather` the
+    merged rows are written where they are, a file a task and bucket: for few buckets of wide rows."""
     spark = batch.sparkSession
     touched = sorted(r[0] for r in batch.select(bucket.alias("b")).distinct().collect())  # no more than there are buckets
     if not touched:
@@ -80,7 +81,8 @@ def merge_snapshot(batch: DataFrame, root: str, schema: str, bucket: Column, mer
     whole = [f for f in held if "/" not in f]
     old = read_snapshot(spark, root, schema, None if whole else touched)
     name = f"v-{uuid.uuid4().hex}"
-    merge(old, batch).withColumn("bucket", bucket).hint("rebalance", "bucket").write.option("compression", "zstd").partitionBy("bucket").parquet(f"{root}/{name}")
+    merged = merge(old, batch).withColumn("bucket", bucket)
+    (merged.hint("rebalance", "bucket") if gather else merged).write.option("compression", "zstd").partitionBy("bucket").parquet(f"{root}/{name}")
     fs, p = _fs(spark, f"{root}/{name}")
     new = [f"{name}/{s.getPath().getName()}" for s in fs.listStatus(p) if s.getPath().getName().startswith("bucket=")]
     rewritten = {f.split("/")[1] for f in new} | {f"bucket={b}" for b in touched}

@@ -80,7 +80,7 @@ def ingest_postings(stream: DataFrame, root: str, checkpoint: str, every: str |
 
     def merge(batch: DataFrame, _: int) -> None:
         valid = shard_delta_reason(batch).where("reject_reason IS NULL").select("shard_id", "word", "contract_key", "snippet", "tf_idf_score")
-        merge_snapshot(valid, f"{root}/posting", schemas.POSTING, F.col("shard_id").cast("int"), shard_merge)
+        merge_snapshot(valid, f"{root}/posting", schemas.POSTING, F.col("shard_id").cast("int"), shard_merge, gather=False)
         if after is not None:
             after(read_snapshot(batch.sparkSession, f"{root}/posting", schemas.POSTING))
 
